@@ -5,14 +5,20 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from siltmark.llm import mixing, topk
+from siltmark.llm import mixing, packing, topk
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str, *columns: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet").select(*columns)
 
 
+def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    sequences = packing.pack(_table(spark, sf_dir, "documents", "doc_id", "text"))
+    return sequences.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
+
+
 def op7_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.top_k(_table(spark, sf_dir, "embeddings", "vec_id", "embedding"))
 
@@ -66,7 +72,7 @@ WITH d AS (
 SELECT p.doc_id, p.size, p.source_size, p.target, coalesce(h.taken, 0)::BIGINT AS taken FROM p LEFT JOIN h USING (doc_id)
 """
 
-QUERIES = {"op7_topk": op7_topk, "op8_mixing": op8_mixing}
+QUERIES = {"op4_packing": op4_packing, "op7_topk": op7_topk, "op8_mixing": op8_mixing}
 ORACLES = {"op7_topk": OP7, "op8_mixing": OP8}
 
 
