@@ -155,7 +155,7 @@ def top_k(vectors: DataFrame, query_every: int = 50, k: int = 5, shard_rows: int
     shards, blocks = max(1, -(-n // shard_rows)), max(1, -(-(n // query_every) // block_rows))
     rows = base.withColumn("shard", F.pmod(F.xxhash64("vec_id"), F.lit(shards)).cast("int"))
     queries = base.where(F.col("vec_id") % query_every == 0).groupBy("vec_id").agg(F.min("v").alias("v"))
-    queries = queries.withColumn("block", F.pmod(F.xxhash64("vec_id", F.lit(1)), F.lit(blocks)).cast("int"))
+    queries = written(queries.withColumn("block", F.pmod(F.xxhash64("vec_id", F.lit(1)), F.lit(blocks)).cast("int")), "queries")
     schema = "query_id long, vec_id long, score long"
 
     def searched(rows: DataFrame, asked: DataFrame, lo: int, hi: int) -> DataFrame:
