@@ -7,13 +7,20 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from siltmark.llm import mixing, neardup, packing, topk
+from siltmark.llm import langid, mixing, neardup, packing, topk
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str, *columns: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet").select(*columns)
 
 
+def op1_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    held_out = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 3 == 1
+    docs = _table(spark, sf_dir, "documents", "doc_id", "text", "lang")
+    found = langid.identify(docs, langid.fit(docs, ~held_out))
+    return found.select("doc_id", F.coalesce(held_out, F.lit(False)).alias("held_out"), "lang_pred", "score", "rejected")
+
+
 def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     groups = neardup.near_duplicates(_table(spark, sf_dir, "documents", "doc_id", "text"))
     return groups.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
@@ -77,7 +84,7 @@ WITH d AS (
 SELECT p.doc_id, p.size, p.source_size, p.target, coalesce(h.taken, 0)::BIGINT AS taken FROM p LEFT JOIN h USING (doc_id)
 """
 
-QUERIES = {"op2_simhash": op2_simhash, "op4_packing": op4_packing, "op7_topk": op7_topk, "op8_mixing": op8_mixing}
+QUERIES = {"op1_langid": op1_langid, "op2_simhash": op2_simhash, "op4_packing": op4_packing, "op7_topk": op7_topk, "op8_mixing": op8_mixing}
 ORACLES = {"op7_topk": OP7, "op8_mixing": OP8}
 
 
