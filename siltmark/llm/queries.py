@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from siltmark.llm import langid, mixing, neardup, packing, topk
+from siltmark.llm import langid, mixing, neardup, packing, quality, topk
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str, *columns: str) -> DataFrame:
@@ -31,6 +31,11 @@ def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sequences.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
 
 
+def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = quality.quality(_table(spark, sf_dir, "documents", "doc_id", "lang", "text"))
+    return found.drop("lang")
+
+
 def op7_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.top_k(_table(spark, sf_dir, "embeddings", "vec_id", "embedding"))
 
@@ -84,7 +89,7 @@ WITH d AS (
 SELECT p.doc_id, p.size, p.source_size, p.target, coalesce(h.taken, 0)::BIGINT AS taken FROM p LEFT JOIN h USING (doc_id)
 """
 
-QUERIES = {"op1_langid": op1_langid, "op2_simhash": op2_simhash, "op4_packing": op4_packing, "op7_topk": op7_topk, "op8_mixing": op8_mixing}
+QUERIES = {"op5_quality": op5_quality, "op1_langid": op1_langid, "op2_simhash": op2_simhash, "op4_packing": op4_packing, "op7_topk": op7_topk, "op8_mixing": op8_mixing}
 ORACLES = {"op7_topk": OP7, "op8_mixing": OP8}
 
 
