@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from siltmark.llm import langid, mixing, neardup, packing, quality, topk
+from siltmark.llm import langid, linededup, mixing, neardup, packing, quality, topk
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str, *columns: str) -> DataFrame:
@@ -36,6 +36,26 @@ def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.drop("lang")
 
 
+def op6_linededup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cleaned = linededup.without_boilerplate(_table(spark, sf_dir, "documents", "doc_id", "text", "source"))
+    return cleaned.select("doc_id", "text", F.col("_sm_lines").alias("n_lines"), F.col("_sm_removed").alias("n_removed"))
+
+
+OP6 = """
+WITH l AS (
+  SELECT doc_id, source, i, lines[i] AS line, trim(lines[i], E' \\t\\r') AS bare
+  FROM (SELECT doc_id, source, string_split(text, E'\\n') AS lines FROM documents), LATERAL unnest(range(1, len(lines) + 1)) u(i)
+), b AS (
+  SELECT bare FROM l WHERE bare <> '' GROUP BY bare HAVING count(DISTINCT coalesce(source, chr(1) || 'null')) >= 5
+), k AS (
+  SELECT l.doc_id, string_agg(l.line, E'\\n' ORDER BY i) FILTER (b.bare IS NULL) AS kept, count(*)::BIGINT AS n, count(b.bare)::BIGINT AS r
+  FROM l LEFT JOIN b ON l.bare = b.bare GROUP BY l.doc_id
+)
+SELECT d.doc_id, CASE WHEN k.r > 0 THEN coalesce(k.kept, '') ELSE d.text END AS text, coalesce(k.n, 0)::BIGINT AS n_lines, coalesce(k.r, 0)::BIGINT AS n_removed
+FROM documents d LEFT JOIN k ON d.doc_id = k.doc_id
+"""
+
+
 def op7_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.top_k(_table(spark, sf_dir, "embeddings", "vec_id", "embedding"))
 
@@ -89,8 +109,8 @@ WITH d AS (
 SELECT p.doc_id, p.size, p.source_size, p.target, coalesce(h.taken, 0)::BIGINT AS taken FROM p LEFT JOIN h USING (doc_id)
 """
 
-QUERIES = {"op5_quality": op5_quality, "op1_langid": op1_langid, "op2_simhash": op2_simhash, "op4_packing": op4_packing, "op7_topk": op7_topk, "op8_mixing": op8_mixing}
-ORACLES = {"op7_topk": OP7, "op8_mixing": OP8}
+QUERIES = {"op6_linededup": op6_linededup, "op5_quality": op5_quality, "op1_langid": op1_langid, "op2_simhash": op2_simhash, "op4_packing": op4_packing, "op7_topk": op7_topk, "op8_mixing": op8_mixing}
+ORACLES = {"op6_linededup": OP6, "op7_topk": OP7, "op8_mixing": OP8}
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
