@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from siltmark.llm import langid, linededup, mixing, neardup, packing, pii, quality, topk
+from siltmark.llm import langid, linededup, mixing, neardup, packing, pii, quality, tokenstore, topk
+from siltmark.plans.session import new_path
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str, *columns: str) -> DataFrame:
@@ -26,6 +27,12 @@ def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return groups.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def op3_tokenstore(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = new_path(spark, "tokens")
+    tokenstore.write_tokens(_table(spark, sf_dir, "documents", "doc_id", "text"), path)
+    return tokenstore.read_tokens(spark, path).select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
+
+
 def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     sequences = packing.pack(_table(spark, sf_dir, "documents", "doc_id", "text"))
     return sequences.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
@@ -114,7 +121,7 @@ def op9_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.summary(pii.find_pii(_table(spark, sf_dir, "documents", "doc_id", "text")))
 
 
-QUERIES = {"op9_pii": op9_pii, "op6_linededup": op6_linededup, "op5_quality": op5_quality, "op1_langid": op1_langid, "op2_simhash": op2_simhash, "op4_packing": op4_packing, "op7_topk": op7_topk, "op8_mixing": op8_mixing}
+QUERIES = {"op3_tokenstore": op3_tokenstore, "op9_pii": op9_pii, "op6_linededup": op6_linededup, "op5_quality": op5_quality, "op1_langid": op1_langid, "op2_simhash": op2_simhash, "op4_packing": op4_packing, "op7_topk": op7_topk, "op8_mixing": op8_mixing}
 ORACLES = {"op6_linededup": OP6, "op7_topk": OP7, "op8_mixing": OP8}
 
 

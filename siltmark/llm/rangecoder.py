@@ -15,7 +15,7 @@ from __future__ import annotations
 
 import numpy as np
 
-SLOTS = 2048
+SLOTS = 1024
 STATES = 32
 #: Ids below 8 are classes of their own; above, an octave has two classes.
 _CLASS_LOW = np.array([*range(8), *((2 + half) << (e - 1) for e in range(3, 16) for half in (0, 1))], dtype=np.int64)
@@ -24,57 +24,59 @@ CLASSES = len(_CLASS_LOW)
 _CLASS_OF = (np.searchsorted(_CLASS_LOW, np.arange(1 << 16), side="right") - 1).astype(np.int64)
 _TOP, _LOW_MASK = np.int64(1) << 32, (np.int64(1) << 32) - 1
 _GAIN = 24
+#: What a slot's confidence (0 to 3) becomes after a right and after a wrong prediction.
+_AFTER_HIT = np.array([1, 2, 3, 3], dtype=np.int32)
 
 
 class _Model:
-    """The statistics of a batch of blocks; coder and decoder run through the same states."""
+    """The statistics of a batch of blocks; coder and decoder run through the same states.
+
+    A slot holds a predicted id times 4 plus its confidence. A state holds two odds, out of
+    65536: that order 2 is right, and that order 1 is if order 2 is not.
+    """
 
     def __init__(self, lanes: int):
         self.lanes = lanes
-        self.slot_base = np.arange(lanes, dtype=np.int64) * SLOTS
-        self.state_base = np.arange(lanes, dtype=np.int64) * STATES
-        self.class_base = np.arange(lanes, dtype=np.int64) * (CLASSES + 1)
-        self.count_base = np.arange(lanes, dtype=np.int64) * CLASSES
-        self.id2, self.id1 = (np.zeros(lanes * SLOTS, np.uint16) for _ in range(2))
-        self.sure2, self.sure1 = (np.zeros(lanes * SLOTS, np.uint8) for _ in range(2))
+        self.lane = np.arange(lanes, dtype=np.int64)
+        self.slot_base, self.state_base = self.lane * SLOTS, self.lane * STATES
+        self.slots2, self.slots1 = (np.zeros(lanes * SLOTS, np.int32) for _ in range(2))
         self.odds2, self.odds1 = (np.full(lanes * STATES, 8192, np.int32) for _ in range(2))
-        self.counts = np.full((lanes, CLASSES), 2, np.int32)
-        self.counts += (1 << _CLASS_BITS // 3).astype(np.int32)
+        self.counts = np.repeat((2 + (1 << _CLASS_BITS // 3)).astype(np.int32)[:, None], lanes, axis=1)
+        self.flat_counts = self.counts.reshape(-1)
+        self.sums = np.zeros((CLASSES + 1, lanes), np.int16)
+        self.flat_sums = self.sums.reshape(-1)
         self.before1 = np.zeros(lanes, np.int64)
         self.before2 = np.zeros(lanes, np.int64)
-        self.sums = np.zeros((lanes, CLASSES + 1), np.int64)
         self.step = 0
         self.refresh()
 
     def refresh(self) -> None:
         """Cumulative order-0 frequencies out of 1024, each at least 1."""
-        total = np.cumsum(self.counts, axis=1, dtype=np.int64)
-        self.sums[:, 1:] = total * (1024 - CLASSES) // total[:, -1:] + np.arange(1, CLASSES + 1)
+        total = np.cumsum(self.counts, axis=0, dtype=np.int64)
+        self.sums[1:] = total * (1024 - CLASSES) // total[-1] + np.arange(1, CLASSES + 1)[:, None]
 
-    def predict(self):
-        """Predictions of order 2 and 1, and the odds (of 256) of each being right."""
+    def predict(self) -> tuple[np.ndarray, np.ndarray]:
+        """Predicts by order 2 and 1; returns the odds (of 256) of each being right."""
         mixed = self.before1 * 40503
-        self.at2 = self.slot_base + ((mixed + self.before2 * 30011 >> 5) & (SLOTS - 1))
-        self.at1 = self.slot_base + (mixed >> 4 & (SLOTS - 1))
-        self.two, self.one = self.id2[self.at2].astype(np.int64), self.id1[self.at1].astype(np.int64)
-        self.c2, self.c1 = self.sure2[self.at2], self.sure1[self.at1]
-        self.state = self.state_base + ((self.c2 << 2) + self.c1) + ((self.two == self.one) << 4)
-        self.o2, self.o1 = self.odds2[self.state], self.odds1[self.state]
+        self.at2 = ((mixed + self.before2 * 30011 >> 5) & (SLOTS - 1)) + self.slot_base
+        self.at1 = (mixed >> 4 & (SLOTS - 1)) + self.slot_base
+        self.slot2, self.slot1 = self.slots2.take(self.at2), self.slots1.take(self.at1)
+        self.two, self.one = self.slot2 >> 2, self.slot1 >> 2
+        self.sure2, self.sure1 = self.slot2 & 3, self.slot1 & 3
+        self.state = self.state_base + ((self.sure2 << 2) + self.sure1 + ((self.two == self.one) << 4))
+        self.o2, self.o1 = self.odds2.take(self.state), self.odds1.take(self.state)
         f2 = 1 + (self.o2 * 252 >> 16)
-        return f2.astype(np.int64), (1 + ((254 - f2) * self.o1 >> 16)).astype(np.int64)
-
-    def learn(self, ids: np.ndarray, hit2: np.ndarray, hit1: np.ndarray, miss: np.ndarray, cls: np.ndarray) -> None:
-        self.odds2[self.state] = self.o2 + ((hit2 * 65535 - self.o2) >> 4)
-        self.odds1[self.state] = np.where(hit2, self.o1, self.o1 + ((hit1 * 65535 - self.o1) >> 4))
-        small = ids.astype(np.uint16)
-        weak = self.c2 == 0
-        self.id2[self.at2] = np.where(hit2 | ~weak, self.two, small)
-        self.sure2[self.at2] = np.where(hit2, np.minimum(self.c2 + 1, 3), self.c2 - ~weak)
-        good, weak = self.one == ids, self.c1 == 0
-        self.id1[self.at1] = np.where(good | ~weak, self.one, small)
-        self.sure1[self.at1] = np.where(good, np.minimum(self.c1 + 1, 3), self.c1 - ~weak)
-        self.counts.ravel()[self.count_base + cls] += _GAIN * miss
-        self.before2, self.before1 = self.before1, ids
+        return f2, 1 + ((254 - f2) * self.o1 >> 16)
+
+    def learn(self, ids: np.ndarray, hit2: np.ndarray, hit1: np.ndarray, miss: np.ndarray, place: np.ndarray) -> None:
+        """``ids`` as int32; ``place`` of their classes in the counts, which grow where ``miss``."""
+        self.odds2[self.state] = self.o2 + ((hit2 * np.int32(65535) - self.o2) >> 4)
+        self.odds1[self.state] = self.o1 + (((hit1 * np.int32(65535) - self.o1) >> 4) * ~hit2)
+        new = ids << 2
+        self.slots2[self.at2] = np.where(hit2, (self.slot2 & -4) + _AFTER_HIT.take(self.sure2), np.where(self.sure2 == 0, new, self.slot2 - 1))
+        self.slots1[self.at1] = np.where(self.one == ids, (self.slot1 & -4) + _AFTER_HIT.take(self.sure1), np.where(self.sure1 == 0, new, self.slot1 - 1))
+        self.flat_counts[place] += miss * np.int32(_GAIN)
+        self.before2, self.before1 = self.before1, ids.astype(np.int64)
         self.step += 1
         if self.step % 64 == 0 or self.step in (4, 16, 32):
             self.refresh()
@@ -86,36 +88,36 @@ def encode(ids: np.ndarray) -> list[bytes]:
     model = _Model(lanes)
     low, span = np.zeros(lanes, np.int64), np.full(lanes, np.int64(1) << 48)
     words = np.zeros((lanes, 2 * steps + 3), np.uint32)
-    flat, at = words.ravel(), np.arange(lanes, dtype=np.int64) * words.shape[1]
-    sums = model.sums.ravel()
+    flat, at = words.reshape(-1), np.arange(lanes, dtype=np.int64) * words.shape[1]
+    sums = model.flat_sums
     for t in range(steps):
-        x = ids[t].astype(np.int64)
+        x = ids[t].astype(np.int32)
         f2, f1 = model.predict()
         hit2 = model.two == x
         hit1 = (model.one == x) & ~hit2
         miss = ~(hit2 | hit1)
-        cls = _CLASS_OF[x]
-        place = model.class_base + cls
-        first = sums[place]
+        cls = _CLASS_OF.take(x)
+        place = cls * lanes + model.lane
+        first, next_ = sums.take(place), sums.take(place + lanes)
+        both = f2 + f1
         r = span >> 8
-        low += r * np.where(hit2, 0, np.where(hit1, f2, f2 + f1))
-        span = r * np.where(hit2, f2, np.where(hit1, f1, 256 - f2 - f1))
+        low += r * np.where(hit2, 0, np.where(hit1, f2, both))
+        span = r * np.where(hit2, f2, np.where(hit1, f1, 256 - both))
         r = span >> 10
         low += r * (first * miss)
-        span = r * np.where(miss, sums[place + 1] - first, 1024)
-        r = span >> _CLASS_BITS[cls] * miss
-        low += r * ((x - _CLASS_LOW[cls]) * miss)
-        span = r
-        model.learn(x, hit2, hit1, miss, cls)
-        for _ in range(2):
-            short = np.flatnonzero(span < _TOP)
-            if not len(short):
-                break
-            rest = low[short]
-            flat[at[short]] = rest >> 32
-            at[short] += 1
+        r *= np.where(miss, next_ - first, np.int16(1024))
+        span = r >> _CLASS_BITS.take(cls) * miss
+        low += span * ((x - _CLASS_LOW.take(cls)) * miss)
+        model.learn(x, hit2, hit1, miss, place)
+        short = np.flatnonzero(span < _TOP)
+        while len(short):
+            rest, where = low.take(short), at.take(short)
+            flat[where] = rest >> 32
+            at[short] = where + 1
             low[short] = (rest & _LOW_MASK) << 16
-            span[short] <<= 16
+            grown = span.take(short) << 16
+            span[short] = grown
+            short = short[grown < _TOP]
     for shift in (32, 16, 0):
         flat[at] = low >> 32 if shift == 32 else low >> shift & 0xFFFF
         at += 1
@@ -130,43 +132,44 @@ def decode(blocks: list[bytes], steps: int) -> np.ndarray:
     """The ids (steps x blocks) of blocks that were coded with the same number of steps."""
     lanes = len(blocks)
     width = max(len(b) for b in blocks) // 2 + 4
-    words = np.zeros((lanes, width), np.int64)
+    words = np.zeros((lanes, width), np.uint16)
     for i, b in enumerate(blocks):
         words[i, : len(b) // 2] = np.frombuffer(b, "<u2")
     model = _Model(lanes)
-    flat, at = words.ravel(), np.arange(lanes, dtype=np.int64) * width + 3
-    code = (words[:, 0] << 32) + (words[:, 1] << 16) + words[:, 2]
+    flat, at = words.reshape(-1), np.arange(lanes, dtype=np.int64) * width + 3
+    code = (words[:, 0].astype(np.int64) << 32) + (words[:, 1].astype(np.int64) << 16) + words[:, 2]
     span = np.full(lanes, np.int64(1) << 48)
     ids = np.zeros((steps, lanes), np.uint16)
-    flat_sums = model.sums.ravel()
+    sums = model.flat_sums
     for t in range(steps):
         f2, f1 = model.predict()
+        both = f2 + f1
         r = span >> 8
         v = code // r
         hit2 = v < f2
-        hit1 = (v < f2 + f1) & ~hit2
+        hit1 = (v < both) & ~hit2
         miss = ~(hit2 | hit1)
-        code -= r * np.where(hit2, 0, np.where(hit1, f2, f2 + f1))
-        span = r * np.where(hit2, f2, np.where(hit1, f1, 256 - f2 - f1))
+        code -= r * np.where(hit2, 0, np.where(hit1, f2, both))
+        span = r * np.where(hit2, f2, np.where(hit1, f1, 256 - both))
         r = span >> 10
-        v = np.minimum(code // r, 1023)
-        cls = (model.sums <= v[:, None]).sum(axis=1) - 1
-        place = model.class_base + cls
-        first = flat_sums[place]
+        v = np.minimum(code // r, 1023).astype(np.int16)
+        cls = np.add.reduce((model.sums[1:] <= v).view(np.uint8), axis=0, dtype=np.uint8).astype(np.int64)
+        place = cls * lanes + model.lane
+        first, next_ = sums.take(place), sums.take(place + lanes)
         code -= r * (first * miss)
-        span = r * np.where(miss, flat_sums[place + 1] - first, 1024)
-        r = span >> _CLASS_BITS[cls] * miss
-        rest = code // r * miss
-        code -= r * rest
-        span = r
-        x = np.where(hit2, model.two, np.where(hit1, model.one, _CLASS_LOW[cls] + rest))
+        r *= np.where(miss, next_ - first, np.int16(1024))
+        span = r >> _CLASS_BITS.take(cls) * miss
+        rest = code // span * miss
+        code -= span * rest
+        x = np.where(hit2, model.two, np.where(hit1, model.one, _CLASS_LOW.take(cls) + rest)).astype(np.int32)
         ids[t] = x
-        model.learn(x, hit2, hit1, miss, _CLASS_OF[x])
-        for _ in range(2):
-            short = np.flatnonzero(span < _TOP)
-            if not len(short):
-                break
-            code[short] = (code[short] << 16) + flat[np.minimum(at[short], flat.size - 1)]
-            at[short] += 1
-            span[short] <<= 16
+        model.learn(x, hit2, hit1, miss, place)
+        short = np.flatnonzero(span < _TOP)
+        while len(short):
+            where = at.take(short)
+            code[short] = (code.take(short) << 16) + flat.take(where, mode="clip")
+            at[short] = where + 1
+            grown = span.take(short) << 16
+            span[short] = grown
+            short = short[grown < _TOP]
     return ids

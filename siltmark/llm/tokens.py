@@ -4,8 +4,8 @@ from __future__ import annotations
 
 import os
 import re
-
-import numpy as np
+import sys
+from array import array
 
 TWO_SPACES = re.compile(r"\s\s")
 #: Words that a worker keeps, in each of its caches.
@@ -19,6 +19,13 @@ def _byte_letters() -> dict[int, int]:
     return {b: b if b in shown else 256 + rest.index(b) for b in range(256)}
 
 
+def _packed(ids: list[int]) -> bytes:
+    out = array("H", ids)
+    if sys.byteorder == "big":
+        out.byteswap()
+    return out.tobytes()
+
+
 class _Words(dict):
     """Ids (little-endian unsigned 16 bits) by word; ``lead`` stands before each word in its text."""
 
@@ -29,7 +36,7 @@ class _Words(dict):
         self.marks = {m: self._encode(m) for m in ".,"}
 
     def _encode(self, text: str) -> bytes:
-        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype="<u2").tobytes()
+        return _packed(self.tokenizer.encode(text, add_special_tokens=False).ids)
 
     def __missing__(self, word: str) -> bytes:
         mark, stem = b"", word
@@ -39,7 +46,7 @@ class _Words(dict):
         if stem and stem.isalpha() and max(stem) < "İ":
             text = stem.lower() if self.lower else self.lead + stem
             text = text.encode().decode("latin-1").translate(self.letters)
-            ids = np.array([t.id for t in self.model.tokenize(text)], dtype="<u2").tobytes() + mark
+            ids = _packed([t.id for t in self.model.tokenize(text)]) + mark
         else:
             ids = self._encode(self.lead + word)
         if len(self) < CACHE_WORDS:
