@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from siltmark.llm import langid, linededup, mixing, neardup, packing, pii, quality, tokenstore, topk
+from siltmark.llm import langid, linededup, mixing, neardup, packing, pii, quality, substr, tokenstore, topk
 from siltmark.plans.session import new_path
 
 
@@ -121,7 +121,11 @@ def op9_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.summary(pii.find_pii(_table(spark, sf_dir, "documents", "doc_id", "text")))
 
 
-QUERIES = {"op3_tokenstore": op3_tokenstore, "op9_pii": op9_pii, "op6_linededup": op6_linededup, "op5_quality": op5_quality, "op1_langid": op1_langid, "op2_simhash": op2_simhash, "op4_packing": op4_packing, "op7_topk": op7_topk, "op8_mixing": op8_mixing}
+def op10_substr(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substr.shared_passages(_table(spark, sf_dir, "documents", "doc_id", "text"))
+
+
+QUERIES = {"op10_substr": op10_substr, "op3_tokenstore": op3_tokenstore, "op9_pii": op9_pii, "op6_linededup": op6_linededup, "op5_quality": op5_quality, "op1_langid": op1_langid, "op2_simhash": op2_simhash, "op4_packing": op4_packing, "op7_topk": op7_topk, "op8_mixing": op8_mixing}
 ORACLES = {"op6_linededup": OP6, "op7_topk": OP7, "op8_mixing": OP8}
 
 
