@@ -170,7 +170,7 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, max_bits: int = MAX
     linked = found.join(distinct, found.node == distinct.fp).select("fp", "component", "least")
     best = linked.groupBy("component").agg(F.min("least").alias("component_id"))
     moved = linked.join(best, "component").select("fp", "component_id")
-    final = distinct.join(moved, "fp", "left").select("fp", F.coalesce("component_id", "least").alias("component_id"))
+    final = written(distinct.join(moved, "fp", "left").select("fp", F.coalesce("component_id", "least").alias("component_id")), "final")
     return prints.join(final, "fp").select("doc_id", "fp", "component_id")
 
 
