@@ -70,3 +70,14 @@ def without_boilerplate(docs: DataFrame, site: str = "source", min_sites: int =
     columns = [clean.alias("text") if c == "text" else F.col(f"`{c}`") for c in docs.columns]
     removed = F.when(F.col("_sm_bad").isNull(), F.lit(0)).otherwise(n - F.size(kept))
     return joined.select(*columns, F.when(text.isNull(), 0).otherwise(n).cast("long").alias("_sm_lines"), F.coalesce(removed, F.lit(0)).cast("long").alias("_sm_removed"))
+
+
+def cleaned(docs: DataFrame, **options) -> DataFrame:
+    """``docs`` after ``without_boilerplate``, with the same columns; n_chars, if there, is the new length.
+
+    Rows whose text loses all its lines stay, with an empty text.
+    """
+    out = without_boilerplate(docs, **options)
+    changed = F.col("_sm_removed") > 0
+    length = F.length("text").cast(dict(docs.dtypes).get("n_chars", "long"))
+    return out.select(*[F.when(changed, length).otherwise(F.col("n_chars")).alias(c) if c == "n_chars" else F.col(f"`{c}`") for c in docs.columns])

@@ -48,11 +48,12 @@ def source_targets(sizes: DataFrame, weights=WEIGHTS, max_repeat: int = MAX_REPE
     after = by_cap.rowsBetween(0, Window.unboundedFollowing)
     every = Window.partitionBy()
     level = (F.sum("source_size").over(every) * float(share) - (F.sum("cap").over(upto) - F.col("cap"))) / F.sum("weight").over(after)
+    # The first source, by cap per weight, whose cap its share doesn't reach: its level holds for all that follow.
     return (
         sources.withColumn("level", level)
-        .withColumn("below", F.col("cap") < F.col("level") * F.col("weight"))
-        .withColumn("water", F.min(F.when(~F.col("below"), F.col("level"))).over(every))
-        .withColumn("target", F.when(F.col("below") | F.col("water").isNull(), F.col("cap")).otherwise(F.col("water") * F.col("weight")))
+        .withColumn("level", F.when(F.col("cap") >= F.col("level") * F.col("weight"), F.col("level")))
+        .withColumn("water", F.min_by("level", F.when(F.col("level").isNotNull(), F.struct(F.col("cap") / F.col("weight"), F.col("rank")))).over(every))
+        .withColumn("target", F.least(F.col("cap"), F.coalesce(F.col("water") * F.col("weight"), F.col("cap"))))
         .select("source", "rank", "base", "source_size", "weight", "target")
     )
 

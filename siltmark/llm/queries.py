@@ -87,7 +87,7 @@ def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 OP8 = """
-WITH d AS (
+WITH RECURSIVE d AS (
   SELECT doc_id, source, md5('0:' || coalesce(doc_id::VARCHAR, '')) AS k,
          coalesce(len(regexp_extract_all(text, '[^\\x20\\x09-\\x0D]+')), 0)::BIGINT AS size
   FROM documents
@@ -95,13 +95,14 @@ WITH d AS (
   SELECT source, sum(size)::BIGINT AS source_size, row_number() OVER (ORDER BY source NULLS LAST) - 1 AS rnk FROM d GROUP BY source
 ), c AS (
   SELECT *, [5.0, 2.0, 1.0][(rnk % 3) + 1]::DOUBLE AS w, source_size::DOUBLE * 3 AS cap FROM s
-), l AS (
-  SELECT *, (sum(source_size) OVER () * 1.0::DOUBLE - (sum(cap) OVER u - cap)) / sum(w) OVER v AS lev FROM c
-  WINDOW u AS (ORDER BY cap / w, rnk ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW),
-         v AS (ORDER BY cap / w, rnk ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING)
+), r(i, source, rnk, source_size, w, cap, capped, level) AS (
+  SELECT 0, source, rnk, source_size, w, cap, false, 0::DOUBLE FROM c
+  UNION ALL
+  SELECT i + 1, source, rnk, source_size, w, cap, capped OR cap < x * w, x FROM (
+    SELECT *, (sum(source_size) OVER () - coalesce(sum(cap) FILTER (capped) OVER (), 0)) / sum(w) FILTER (NOT capped) OVER () AS x FROM r WHERE i < 40
+  )
 ), t AS (
-  SELECT source, rnk, source_size, CASE WHEN cap < lev * w THEN cap
-         ELSE coalesce(min(CASE WHEN NOT cap < lev * w THEN lev END) OVER () * w, cap) END AS target FROM l
+  SELECT source, rnk, source_size, CASE WHEN capped THEN cap ELSE level * w END AS target FROM r WHERE i = 40
 ), p AS (
   SELECT d.doc_id, d.size, d.k, t.rnk, t.source_size, t.target,
          sum(d.size) OVER (PARTITION BY d.source ORDER BY d.k, d.doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS served
