@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import os
 import tempfile
 import uuid
@@ -86,3 +87,13 @@ def remove(df: DataFrame) -> None:
     jvm, spark = df.sparkSession._jvm, df.sparkSession
     p = jvm.org.apache.hadoop.fs.Path(path)
     p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
+
+
+def release(spark: SparkSession) -> None:
+    """Lets Spark delete the shuffle files of finished jobs whose plans nothing refers to.
+
+    Spark does so when the driver collects garbage, which may be long after; an operator
+    with several large shuffles calls this between them.
+    """
+    gc.collect()
+    spark._jvm.System.gc()
