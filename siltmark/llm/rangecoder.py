@@ -4,11 +4,11 @@ Blocks are independent: each starts with fresh statistics. Because of that a bat
 blocks is coded in lockstep, one id of every block a step, with array operations.
 
 For every id the coder knows two predictions, the id that last followed the same two ids
-(order 2) and the same one id (order 1), each with a confidence of 0 to 3. The joint
-confidence selects adaptive odds of "order 2 is right", "order 1 is right" and "neither";
-so the orders are mixed by how well they did before in that state. In the last case the
-id is coded by adaptive order-0 frequencies of its magnitude class and by its place in
-the class.
+(order 2) and the same one id (order 1), each with a confidence of 0 to 3. What is coded is
+one symbol: "as order 2 says", "as order 1 says", or the magnitude class of the id (order
+0), and for a class the place in it. The odds of the symbols adapt in every block and state,
+the state being how sure the two predictions are; so the three orders are mixed by how well
+each has done so far where the others were as sure as now.
 """
 
 from __future__ import annotations
@@ -16,69 +16,69 @@ from __future__ import annotations
 import numpy as np
 
 SLOTS = 1024
-STATES = 32
-#: Ids below 8 are classes of their own; above, an octave has two classes.
-_CLASS_LOW = np.array([*range(8), *((2 + half) << (e - 1) for e in range(3, 16) for half in (0, 1))], dtype=np.int64)
-_CLASS_BITS = np.array([*[0] * 8, *(e - 1 for e in range(3, 16) for _ in (0, 1))], dtype=np.int64)
-CLASSES = len(_CLASS_LOW)
-_CLASS_OF = (np.searchsorted(_CLASS_LOW, np.arange(1 << 16), side="right") - 1).astype(np.int64)
-_TOP, _LOW_MASK = np.int64(1) << 32, (np.int64(1) << 32) - 1
-_GAIN = 24
-#: What a slot's confidence (0 to 3) becomes after a right and after a wrong prediction.
-_AFTER_HIT = np.array([1, 2, 3, 3], dtype=np.int32)
+STATES = 4
+#: Ids below 4 are classes of their own; above, every octave is one.
+_CLASS_LOW = [*range(4), *(1 << e for e in range(2, 16))]
+_CLASS_BITS = [*[0] * 4, *range(2, 16)]
+#: Symbols: 0 order 2 is right, 1 order 1 is right, then the classes.
+SYMBOLS = 2 + len(_CLASS_LOW)
+_LOW = np.array([0, 0, *_CLASS_LOW], dtype=np.int64)
+_BITS = np.array([0, 0, *_CLASS_BITS], dtype=np.int64)
+_SYMBOL_OF = (np.searchsorted(_CLASS_LOW, np.arange(1 << 16), side="right") + 1).astype(np.int64)
+#: Frequencies add up to 2 ** 12. Low and span have 61 bits and give out 32 at a time.
+_TOTAL, _FREE = 12, 29
+_FULL, _SHORT, _FREE_MASK = np.int64(1) << 61, np.int64(1) << _FREE, (np.int64(1) << _FREE) - 1
+_GAIN = np.int32(24)
+_FIRST_REFRESHES = (4, 8, 16, 32, 64)
 
 
 class _Model:
     """The statistics of a batch of blocks; coder and decoder run through the same states.
 
-    A slot holds a predicted id times 4 plus its confidence. A state holds two odds, out of
-    65536: that order 2 is right, and that order 1 is if order 2 is not.
+    A slot holds a predicted id times 4 plus its confidence. Symbol counts are kept by
+    (state, symbol, block), so that blocks lie side by side.
     """
 
     def __init__(self, lanes: int):
         self.lanes = lanes
         self.lane = np.arange(lanes, dtype=np.int64)
-        self.slot_base, self.state_base = self.lane * SLOTS, self.lane * STATES
+        self.slot_base = self.lane * SLOTS
         self.slots2, self.slots1 = (np.zeros(lanes * SLOTS, np.int32) for _ in range(2))
-        self.odds2, self.odds1 = (np.full(lanes * STATES, 8192, np.int32) for _ in range(2))
-        self.counts = np.repeat((2 + (1 << _CLASS_BITS // 3)).astype(np.int32)[:, None], lanes, axis=1)
+        start = np.array([8, 8, *(2 + (1 << b // 3) for b in _CLASS_BITS)], np.int32)
+        self.counts = np.ascontiguousarray(np.broadcast_to(start[None, :, None], (STATES, SYMBOLS, lanes)))
         self.flat_counts = self.counts.reshape(-1)
-        self.sums = np.zeros((CLASSES + 1, lanes), np.int16)
+        self.sums = np.zeros((STATES, SYMBOLS + 1, lanes), np.int16)
         self.flat_sums = self.sums.reshape(-1)
-        self.before1 = np.zeros(lanes, np.int64)
-        self.before2 = np.zeros(lanes, np.int64)
+        self.before1, self.before2 = np.zeros(lanes, np.int64), np.zeros(lanes, np.int64)
         self.step = 0
         self.refresh()
 
     def refresh(self) -> None:
-        """Cumulative order-0 frequencies out of 1024, each at least 1."""
-        total = np.cumsum(self.counts, axis=0, dtype=np.int64)
-        self.sums[1:] = total * (1024 - CLASSES) // total[-1] + np.arange(1, CLASSES + 1)[:, None]
+        """Cumulative frequencies from the counts, each frequency at least 1."""
+        total = np.cumsum(self.counts, axis=1, dtype=np.int32)
+        share = (total * np.float32((1 << _TOTAL) - SYMBOLS) / total[:, -1:]).astype(np.int16)
+        share[:, -1] = (1 << _TOTAL) - SYMBOLS
+        self.sums[:, 1:] = share + np.arange(1, SYMBOLS + 1, dtype=np.int16)[None, :, None]
 
-    def predict(self) -> tuple[np.ndarray, np.ndarray]:
-        """Predicts by order 2 and 1; returns the odds (of 256) of each being right."""
+    def predict(self) -> None:
         mixed = self.before1 * 40503
-        self.at2 = ((mixed + self.before2 * 30011 >> 5) & (SLOTS - 1)) + self.slot_base
         self.at1 = (mixed >> 4 & (SLOTS - 1)) + self.slot_base
+        mixed += self.before2 * 30011
+        self.at2 = (mixed >> 5 & (SLOTS - 1)) + self.slot_base
         self.slot2, self.slot1 = self.slots2.take(self.at2), self.slots1.take(self.at1)
         self.two, self.one = self.slot2 >> 2, self.slot1 >> 2
-        self.sure2, self.sure1 = self.slot2 & 3, self.slot1 & 3
-        self.state = self.state_base + ((self.sure2 << 2) + self.sure1 + ((self.two == self.one) << 4))
-        self.o2, self.o1 = self.odds2.take(self.state), self.odds1.take(self.state)
-        f2 = 1 + (self.o2 * 252 >> 16)
-        return f2, 1 + ((254 - f2) * self.o1 >> 16)
-
-    def learn(self, ids: np.ndarray, hit2: np.ndarray, hit1: np.ndarray, miss: np.ndarray, place: np.ndarray) -> None:
-        """``ids`` as int32; ``place`` of their classes in the counts, which grow where ``miss``."""
-        self.odds2[self.state] = self.o2 + ((hit2 * np.int32(65535) - self.o2) >> 4)
-        self.odds1[self.state] = self.o1 + (((hit1 * np.int32(65535) - self.o1) >> 4) * ~hit2)
+        self.state = (self.slot2 & 2) + (self.slot1 >> 1 & 1)
+
+    def learn(self, ids: np.ndarray, place: np.ndarray) -> None:
+        """Takes in the ids (int32), whose symbols lie at ``place`` in the counts."""
         new = ids << 2
-        self.slots2[self.at2] = np.where(hit2, (self.slot2 & -4) + _AFTER_HIT.take(self.sure2), np.where(self.sure2 == 0, new, self.slot2 - 1))
-        self.slots1[self.at1] = np.where(self.one == ids, (self.slot1 & -4) + _AFTER_HIT.take(self.sure1), np.where(self.sure1 == 0, new, self.slot1 - 1))
-        self.flat_counts[place] += miss * np.int32(_GAIN)
+        for slots, at, slot, told in ((self.slots2, self.at2, self.slot2, self.two), (self.slots1, self.at1, self.slot1, self.one)):
+            sure = slot & 3
+            slots[at] = np.where(told == ids, slot + (sure < 3), np.where(sure == 0, new, slot - 1))
+        self.flat_counts[place] += _GAIN
         self.before2, self.before1 = self.before1, ids.astype(np.int64)
         self.step += 1
-        if self.step % 64 == 0 or self.step in (4, 16, 32):
+        if self.step % 128 == 0 or self.step in _FIRST_REFRESHES:
             self.refresh()
 
 
@@ -86,90 +86,78 @@ def encode(ids: np.ndarray) -> list[bytes]:
     """Codes the columns of ``ids`` (steps x blocks, values below 65536), each to bytes of its own."""
     steps, lanes = ids.shape
     model = _Model(lanes)
-    low, span = np.zeros(lanes, np.int64), np.full(lanes, np.int64(1) << 48)
-    words = np.zeros((lanes, 2 * steps + 3), np.uint32)
-    flat, at = words.reshape(-1), np.arange(lanes, dtype=np.int64) * words.shape[1]
+    low, span = np.zeros(lanes, np.int64), np.full(lanes, _FULL)
+    width = steps + 3
+    words = np.zeros(lanes * width, np.int64)
+    at = model.lane * width
     sums = model.flat_sums
+    wide = ids.astype(np.int32)
+    classes = _SYMBOL_OF.take(wide)
     for t in range(steps):
-        x = ids[t].astype(np.int32)
-        f2, f1 = model.predict()
-        hit2 = model.two == x
-        hit1 = (model.one == x) & ~hit2
-        miss = ~(hit2 | hit1)
-        cls = _CLASS_OF.take(x)
-        place = cls * lanes + model.lane
-        first, next_ = sums.take(place), sums.take(place + lanes)
-        both = f2 + f1
-        r = span >> 8
-        low += r * np.where(hit2, 0, np.where(hit1, f2, both))
-        span = r * np.where(hit2, f2, np.where(hit1, f1, 256 - both))
-        r = span >> 10
-        low += r * (first * miss)
-        r *= np.where(miss, next_ - first, np.int16(1024))
-        span = r >> _CLASS_BITS.take(cls) * miss
-        low += span * ((x - _CLASS_LOW.take(cls)) * miss)
-        model.learn(x, hit2, hit1, miss, place)
-        short = np.flatnonzero(span < _TOP)
-        while len(short):
+        x = wide[t]
+        model.predict()
+        symbol = np.where(model.two == x, 0, np.where(model.one == x, 1, classes[t]))
+        row = (model.state * SYMBOLS + symbol) * lanes + model.lane
+        place = row + model.state * lanes  # a state has one more cumulative sum than symbols
+        first = sums.take(place)
+        r = span >> _TOTAL
+        low += r * first
+        span = r * (sums.take(place + lanes) - first) >> _BITS.take(symbol)
+        low += span * ((x - _LOW.take(symbol)) * (symbol > 1))
+        model.learn(x, row)
+        short = np.flatnonzero(span < _SHORT)
+        if len(short):
             rest, where = low.take(short), at.take(short)
-            flat[where] = rest >> 32
+            words[where] = rest >> _FREE
             at[short] = where + 1
-            low[short] = (rest & _LOW_MASK) << 16
-            grown = span.take(short) << 16
-            span[short] = grown
-            short = short[grown < _TOP]
-    for shift in (32, 16, 0):
-        flat[at] = low >> 32 if shift == 32 else low >> shift & 0xFFFF
-        at += 1
-    for j in range(words.shape[1] - 1, 0, -1):  # a word may hold a carry for the one before
-        words[:, j - 1] += words[:, j] >> 16
-    out = (words & 0xFFFF).astype("<u2")
-    ends = at - np.arange(lanes) * words.shape[1]
-    return [out[i, : ends[i]].tobytes() for i in range(lanes)]
+            low[short] = (rest & _FREE_MASK) << 32
+            span[short] <<= 32
+    words[at] = low >> _FREE
+    words[at + 1] = (low & _FREE_MASK) << 32 - _FREE
+    ends = at + 2 - model.lane * width
+    words = words.reshape(lanes, width)
+    for j in range(width - 1, 0, -1):  # a word may hold a carry for the one before
+        words[:, j - 1] += words[:, j] >> 32
+    out = (words & 0xFFFFFFFF).astype("<u4")
+    return [out[i, :n].tobytes() for i, n in enumerate(ends.tolist())]
 
 
 def decode(blocks: list[bytes], steps: int) -> np.ndarray:
     """The ids (steps x blocks) of blocks that were coded with the same number of steps."""
     lanes = len(blocks)
-    width = max(len(b) for b in blocks) // 2 + 4
-    words = np.zeros((lanes, width), np.uint16)
+    width = max(len(b) for b in blocks) // 4 + 2
+    words = np.zeros((lanes, width), np.int64)
     for i, b in enumerate(blocks):
-        words[i, : len(b) // 2] = np.frombuffer(b, "<u2")
+        words[i, : len(b) // 4] = np.frombuffer(b, "<u4")
     model = _Model(lanes)
-    flat, at = words.reshape(-1), np.arange(lanes, dtype=np.int64) * width + 3
-    code = (words[:, 0].astype(np.int64) << 32) + (words[:, 1].astype(np.int64) << 16) + words[:, 2]
-    span = np.full(lanes, np.int64(1) << 48)
+    code = (words[:, 0] << _FREE) + (words[:, 1] >> 32 - _FREE)
+    # What follows the first 61 bits, 32 at a time.
+    later = ((words[:, 1:-1] & (1 << 32 - _FREE) - 1) << _FREE) + (words[:, 2:] >> 32 - _FREE)
+    later = np.ascontiguousarray(np.concatenate([later, np.zeros((lanes, 1), np.int64)], axis=1))
+    flat, at, last = later.reshape(-1), model.lane * later.shape[1], (model.lane + 1) * later.shape[1] - 1
+    span = np.full(lanes, _FULL)
     ids = np.zeros((steps, lanes), np.uint16)
     sums = model.flat_sums
     for t in range(steps):
-        f2, f1 = model.predict()
-        both = f2 + f1
-        r = span >> 8
-        v = code // r
-        hit2 = v < f2
-        hit1 = (v < both) & ~hit2
-        miss = ~(hit2 | hit1)
-        code -= r * np.where(hit2, 0, np.where(hit1, f2, both))
-        span = r * np.where(hit2, f2, np.where(hit1, f1, 256 - both))
-        r = span >> 10
-        v = np.minimum(code // r, 1023).astype(np.int16)
-        cls = np.add.reduce((model.sums[1:] <= v).view(np.uint8), axis=0, dtype=np.uint8).astype(np.int64)
-        place = cls * lanes + model.lane
-        first, next_ = sums.take(place), sums.take(place + lanes)
-        code -= r * (first * miss)
-        r *= np.where(miss, next_ - first, np.int16(1024))
-        span = r >> _CLASS_BITS.take(cls) * miss
-        rest = code // span * miss
+        model.predict()
+        r = span >> _TOTAL
+        v = np.minimum(code // r, (1 << _TOTAL) - 1).astype(np.int16)
+        passed = np.add.reduce((model.sums[:, 1:] <= v).view(np.uint8), axis=1, dtype=np.uint8)
+        symbol = passed.reshape(-1).take(model.state * lanes + model.lane).astype(np.int64)
+        row = (model.state * SYMBOLS + symbol) * lanes + model.lane
+        place = row + model.state * lanes
+        first = sums.take(place)
+        code -= r * first
+        span = r * (sums.take(place + lanes) - first) >> _BITS.take(symbol)
+        rest = code // span * (symbol > 1)
         code -= span * rest
-        x = np.where(hit2, model.two, np.where(hit1, model.one, _CLASS_LOW.take(cls) + rest)).astype(np.int32)
+        x = np.where(symbol > 1, _LOW.take(symbol) + rest, np.where(symbol == 0, model.two, model.one)).astype(np.int32)
         ids[t] = x
-        model.learn(x, hit2, hit1, miss, place)
-        short = np.flatnonzero(span < _TOP)
-        while len(short):
+        model.learn(x, row)
+        short = np.flatnonzero(span < _SHORT)
+        if len(short):
             where = at.take(short)
-            code[short] = (code.take(short) << 16) + flat.take(where, mode="clip")
-            at[short] = where + 1
-            grown = span.take(short) << 16
-            span[short] = grown
-            short = short[grown < _TOP]
+            code[short] = (code.take(short) << 32) + flat.take(where)
+            at[short] = np.minimum(where + 1, last.take(short))
+            span[short] <<= 32
     return ids
