@@ -15,7 +15,7 @@ from __future__ import annotations
 
 import numpy as np
 
-SLOTS = 1024
+SLOTS = 512
 STATES = 4
 #: Ids below 4 are classes of their own; above, every octave is one.
 _CLASS_LOW = [*range(4), *(1 << e for e in range(2, 16))]

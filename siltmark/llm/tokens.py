@@ -33,6 +33,7 @@ class _Words(dict):
         super().__init__()
         self.tokenizer, self.lead, self.lower = tokenizer, lead, lower
         self.model, self.letters = tokenizer.model, _byte_letters()
+        self.lead_letters = lead.translate(self.letters)
         self.marks = {m: self._encode(m) for m in ".,"}
 
     def _encode(self, text: str) -> bytes:
@@ -43,10 +44,11 @@ class _Words(dict):
         if word and word[-1] in self.marks:
             mark, stem = self.marks[word[-1]], word[:-1]
         # A run of letters below U+0250 other than the few that decompose is one pre-token: its letters go to the model as they are.
-        if stem and stem.isalpha() and max(stem) < "İ":
-            text = stem.lower() if self.lower else self.lead + stem
-            text = text.encode().decode("latin-1").translate(self.letters)
-            ids = _packed([t.id for t in self.model.tokenize(text)]) + mark
+        if stem.isalpha() and (stem.isascii() or max(stem) < "İ"):
+            text = stem.lower() if self.lower else stem
+            if not text.isascii():
+                text = text.encode().decode("latin-1").translate(self.letters)
+            ids = _packed([t.id for t in self.model.tokenize(self.lead_letters + text)]) + mark
         else:
             ids = self._encode(self.lead + word)
         if len(self) < CACHE_WORDS:

@@ -25,14 +25,14 @@ from pyspark.sql import functions as F
 
 from siltmark.llm import rangecoder
 from siltmark.llm.tokens import encoder, tokenizer_path
-from siltmark.plans.session import ship_package
+from siltmark.plans.session import ship_package, written
 
 MAGIC = b"SLTK1\0"
 BLOCK_IDS = 2048
 #: A chunk is closed at so many ids; documents stay whole, so a long one makes a larger chunk.
 CHUNK_IDS = 1 << 20
 #: Blocks that are coded in lockstep at most, over chunks.
-LANES = 2048
+LANES = 4096
 _DOC = np.dtype([("doc_id", "<i8"), ("null", "u1"), ("n", "<u8")])
 _BLOCK = np.dtype([("size", "<u4"), ("crc", "<u4")])
 
@@ -161,6 +161,7 @@ def read_tokens(spark: SparkSession, path: str) -> DataFrame:
     chunks = spark.read.parquet(path)
     order = Window.orderBy("segment", "chunk").rowsBetween(Window.unboundedPreceding, -1)
     base = chunks.select(F.col("segment").alias("s"), F.col("chunk").alias("c"), F.coalesce(F.sum("n_tokens").over(order), F.lit(0)).alias("base"))
+    base = written(base, "bases")  # its size is known then, so a small one is broadcast and data isn't shuffled
     placed = chunks.join(base, (F.col("segment") == F.col("s")) & (F.col("chunk") == F.col("c"))).select("base", "data")
     names = ["doc_id", "start", "n_tokens", "ids"]
 
