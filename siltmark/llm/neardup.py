@@ -6,6 +6,7 @@ from collections.abc import Iterator
 from itertools import combinations
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, Window
@@ -197,7 +198,7 @@ def deduplicated(docs: DataFrame, **options) -> DataFrame:
 
 def _fingerprint_column(shingle: int):
     @F.pandas_udf("long")
-    def column(texts: "pd.Series") -> "pd.Series":  # noqa: F821
+    def column(texts: pd.Series) -> pd.Series:
         return texts.map(lambda t: fingerprint(t, shingle))
 
     return column
