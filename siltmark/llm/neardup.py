@@ -138,6 +138,16 @@ def _linker(max_bits: int):
     return run
 
 
+def links(distinct: DataFrame, max_bits: int = MAX_BITS) -> DataFrame:
+    """(a, b): links that connect all fingerprints of ``distinct`` (fp) that differ in ``max_bits`` bits at most."""
+    keys = []
+    for i, kept in enumerate(combinations(range(8), 8 - max_bits)):
+        mask = int.from_bytes(bytes(255 if p in kept else 0 for p in range(8)), "little", signed=True)
+        keys.append(F.xxhash64(F.lit(i), F.col("fp").bitwiseAND(F.lit(mask))))
+    postings = distinct.select(F.explode(F.array(*keys)).alias("key"), "fp").repartition("key")
+    return postings.mapInArrow(_linker(max_bits), "a long, b long")
+
+
 def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, max_bits: int = MAX_BITS) -> DataFrame:
     """(doc_id, fp, component_id) for every row of ``docs`` (doc_id, text).
 
@@ -161,13 +171,7 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, max_bits: int = MAX
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text"))
     prints = written(rows.mapInArrow(_fingerprints(shingle), "doc_id long, fp long"), "fingerprints")
     distinct = written(prints.groupBy("fp").agg(F.min("doc_id").alias("least")), "distinct")
-    keys = []
-    for i, kept in enumerate(combinations(range(8), 8 - max_bits)):
-        mask = int.from_bytes(bytes(255 if p in kept else 0 for p in range(8)), "little", signed=True)
-        keys.append(F.xxhash64(F.lit(i), F.col("fp").bitwiseAND(F.lit(mask))))
-    postings = distinct.select(F.explode(F.array(*keys)).alias("key"), "fp").repartition("key")
-    links = postings.mapInArrow(_linker(max_bits), "a long, b long")
-    found = connected_components(links)
+    found = connected_components(links(distinct, max_bits))
     linked = found.join(distinct, found.node == distinct.fp).select("fp", "component", "least")
     best = linked.groupBy("component").agg(F.min("least").alias("component_id"))
     moved = linked.join(best, "component").select("fp", "component_id")
