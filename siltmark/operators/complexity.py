@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from siltmark.functions.scores import complexity_bands, complexity_raw, complexity_risk
 from siltmark.operators.dimensions import dimension, with_mean
+from siltmark.operators.ranking import running_total
 from siltmark.schemas import MIN_PERCENTILE_SAMPLE, MISSING_PARSE, MISSING_PARTIAL
 
 
@@ -48,21 +49,21 @@ def with_percentile(df: DataFrame, value: str, out: str = "percentile", by: list
     """Adds the share (in percent) of the least rank of ``value`` in its pool; null values have no part.
 
     Null for pools of fewer than five values or of equal ones. Ranks come from counts per
-    different value, so a pool is never sorted row by row in one task: what is windowed has a
-    row a value, and is joined back on it.
+    different value, joined back on it. Pools of their own (``by``) are windowed each; the one
+    pool of a whole table gets its ranks from range sums, so that no task sorts it all.
     """
     keys = by or []
     pool = df.where(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.count("*").alias("_n"))
-    ordered = Window.partitionBy(*keys).orderBy(value).rowsBetween(Window.unboundedPreceding, -1)
-    whole = Window.partitionBy(*keys)
-    ranked = pool.select(
-        *[F.col(k).alias(f"_{k}") for k in keys],
-        F.col(value).alias("_value"),
-        F.when(
-            (F.sum("_n").over(whole) >= MIN_PERCENTILE_SAMPLE) & (F.min(value).over(whole) < F.max(value).over(whole)),
-            (F.coalesce(F.sum("_n").over(ordered), F.lit(0)) + 1) / F.sum("_n").over(whole) * F.lit(100.0),
-        ).alias(out),
-    )
+    if keys:
+        whole = Window.partitionBy(*keys)
+        before = F.coalesce(F.sum("_n").over(whole.orderBy(value).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+        pool = pool.select("*", before.alias("_before"), F.sum("_n").over(whole).alias("_total"), F.min(value).over(whole).alias("_low"), F.max(value).over(whole).alias("_high"))
+    else:
+        totals = df.agg(F.count(value).alias("_total"), F.min(value).alias("_low"), F.max(value).alias("_high"))
+        pool = running_total(pool, [F.col(value)], "_n", "_before").crossJoin(F.broadcast(totals))
+    enough = (F.col("_total") >= MIN_PERCENTILE_SAMPLE) & (F.col("_low") < F.col("_high"))
+    share = F.when(enough, (F.col("_before") + 1) / F.col("_total") * F.lit(100.0))
+    ranked = pool.select(*[F.col(k).alias(f"_{k}") for k in keys], F.col(value).alias("_value"), share.alias(out))
     on = F.col(value) == F.col("_value")
     for k in keys:
         on = on & F.col(k).eqNullSafe(F.col(f"_{k}"))

@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+import math
+
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from siltmark.functions.scores import clamped, final_heat, trend
+from siltmark.operators.ranking import first_rows
 from siltmark.schemas import DIMENSIONS, WEIGHTS
 
 TOP_SHARE = 0.05
@@ -67,12 +70,7 @@ def repository_heat(files: DataFrame) -> DataFrame:
 
 
 def top_files(files: DataFrame, share: float = TOP_SHARE, value: str = "final_heat_score", tie: str = "path") -> DataFrame:
-    """The ``share`` of files with the highest heat (one at least), ties by path; adds ``rank``.
-
-    The number is counted first, so that the sort is a limited one: tasks keep that many rows.
-    """
+    """The ``share`` of files with the highest heat (one at least), ties by path; adds ``rank``."""
     n = files.count()
-    most = max(1, -int(-n * share // 1)) if n else 0
-    order = [F.col(value).desc(), F.col(tie)]
-    ranked = files.orderBy(*order).limit(most)
-    return ranked.withColumn("rank", F.row_number().over(Window.orderBy(*order)))
+    most = max(1, math.ceil(n * share)) if n else 0
+    return first_rows(files, [F.col(value).desc(), F.col(tie)], most)

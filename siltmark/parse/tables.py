@@ -9,7 +9,6 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from siltmark.functions.strings import non_blank_lines
 from siltmark.parse.profiles import PROFILES
 from siltmark.parse.scanner import count_assertions, rust_test_modules
 from siltmark.parse.structure import parse
@@ -34,16 +33,15 @@ def parsed_files(files: DataFrame) -> DataFrame:
             for path, language, source in zip(pdf["path"], pdf["language"], pdf["source"]):
                 profile = PROFILES.get(language)
                 if profile is None:
-                    rows.append((path, language, False, True, None, []))
+                    loc = sum(1 for line in (source or "").split("\n") if line.strip())
+                    rows.append((path, language, False, True, loc, []))
                     continue
                 p = parse(source or "", profile)
                 rows.append((path, language, True, p.parse_incomplete, p.loc, [{f: getattr(x, f) for f in _FIELDS} for x in p.functions]))
-            yield pd.DataFrame(rows, columns=["path", "language", "parsed", "parse_incomplete", "loc", "functions"]).astype({"loc": "Int64"})
+            yield pd.DataFrame(rows, columns=["path", "language", "parsed", "parse_incomplete", "loc", "functions"])
 
     shape = f"path string, language string, parsed boolean, parse_incomplete boolean, loc int, functions {_STRUCT}"
-    out = files.select("path", "language", "source").mapInPandas(run, shape)
-    unknown = files.where(~F.col("language").isin(*PROFILES)).select(F.col("path").alias("p"), non_blank_lines(F.col("source")).alias("lines"))
-    return out.join(unknown, F.col("path") == F.col("p"), "left").withColumn("loc", F.coalesce("loc", "lines", F.lit(0))).drop("p", "lines")
+    return files.select("path", "language", "source").mapInPandas(run, shape)
 
 
 def functions(parsed: DataFrame) -> DataFrame:

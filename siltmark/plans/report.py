@@ -123,7 +123,7 @@ def score(inputs: Inputs, options: Options) -> Scores:
 
 
 def warnings(n_files: int, truncated: bool, incomplete_paths: list[str], options: Options) -> list[str]:
-    """What a reader of the report should know, in a fixed order."""
+    """What a reader of the report should know, in a fixed order. The texts of the first four."""
     out = []
     if options.offline:
         out.append("Dependency vulnerability scanning is disabled because offline mode is enabled.")

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import contextlib
 import gc
 import os
 import tempfile
@@ -62,7 +64,25 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def new_path(spark: SparkSession, label: str) -> str:
-    return f"{shared_dir(spark)}/siltmark-{label}-{uuid.uuid4().hex}"
+    """A path of its own in the shared folder; what is there goes when the application ends."""
+    path = f"{shared_dir(spark)}/siltmark-{label}-{uuid.uuid4().hex}"
+    sc = spark.sparkContext
+    if not hasattr(sc, "_siltmark_paths"):
+        sc._siltmark_paths = []
+        atexit.register(_clear, sc._jvm, spark._jsc.hadoopConfiguration(), sc._siltmark_paths)
+    sc._siltmark_paths.append(path)
+    return path
+
+
+def _clear(jvm, conf, paths: list[str]) -> None:
+    for path in paths:
+        with contextlib.suppress(Exception):  # the JVM may be gone, and with it the chance to delete
+            _delete(jvm, conf, path)
+
+
+def _delete(jvm, conf, path: str) -> None:
+    p = jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(conf).delete(p, True)
 
 
 def written(df: DataFrame, label: str) -> DataFrame:
@@ -84,9 +104,10 @@ def remove(df: DataFrame) -> None:
     path = getattr(df, "_siltmark_path", None)
     if path is None:
         return
-    jvm, spark = df.sparkSession._jvm, df.sparkSession
-    p = jvm.org.apache.hadoop.fs.Path(path)
-    p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
+    spark = df.sparkSession
+    _delete(spark._jvm, spark._jsc.hadoopConfiguration(), path)
+    with contextlib.suppress(ValueError):
+        spark.sparkContext._siltmark_paths.remove(path)
 
 
 def release(spark: SparkSession) -> None:

@@ -1,7 +1,10 @@
 """Operators of the risk model on exact small examples."""
 
 import pytest
+from pyspark.sql import functions as F
+
 from siltmark.operators import complexity, dependency, duplication, history, scoring, testing
+from siltmark.operators.ranking import first_rows, running_total
 from siltmark.parse.tables import functions, parsed_files
 
 NOW = 1_800_000_000
@@ -201,3 +204,22 @@ def test_complexity_dimension(spark):
     assert got["f2"].confidence.type == "data_missing" and got["broken"].risk_score == pytest.approx(sum(got[f"f{i}"].risk_score for i in range(5)) / 5)
     none = complexity.complexity_dimension(spark.createDataFrame(rows[-1:], schema)).first()
     assert none.confidence.type == "not_applicable" and none.risk_score == 0
+
+
+@pytest.mark.parametrize("limited", [100, 3])
+def test_first_rows(spark, limited):
+    rows = [(i, i * 7 % 11) for i in range(40)]
+    df = spark.createDataFrame(rows, "k int, v int").repartition(3)
+    got = [(r["rank"], r.k) for r in first_rows(df, [F.col("v").desc(), F.col("k")], 9, limited).orderBy("rank").collect()]
+    assert got == [(i + 1, k) for i, (k, _) in enumerate(sorted(rows, key=lambda r: (-r[1], r[0]))[:9])]
+
+
+def test_running_total(spark):
+    rows = [(i * 37 % 101, i % 7) for i in range(101)]
+    df = spark.createDataFrame(rows, "k long, v long").repartition(5)
+    got = {r.k: r.before for r in running_total(df, [F.col("k")], "v", "before").collect()}
+    total, want = 0, {}
+    for k, v in sorted(rows):
+        want[k] = total
+        total += v
+    assert got == want
