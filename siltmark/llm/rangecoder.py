@@ -15,7 +15,7 @@ from __future__ import annotations
 
 import numpy as np
 
-SLOTS = 512
+SLOTS = 256
 STATES = 4
 #: Ids below 4 are classes of their own; above, every octave is one.
 _CLASS_LOW = [*range(4), *(1 << e for e in range(2, 16))]
@@ -29,7 +29,7 @@ _SYMBOL_OF = (np.searchsorted(_CLASS_LOW, np.arange(1 << 16), side="right") + 1)
 _TOTAL, _FREE = 12, 29
 _FULL, _SHORT, _FREE_MASK = np.int64(1) << 61, np.int64(1) << _FREE, (np.int64(1) << _FREE) - 1
 _GAIN = np.int32(24)
-_FIRST_REFRESHES = (4, 8, 16, 32, 64)
+_FIRST_REFRESHES = (4, 8, 16, 32, 64, 128)
 
 
 class _Model:
@@ -70,15 +70,17 @@ class _Model:
         self.state = (self.slot2 & 2) + (self.slot1 >> 1 & 1)
 
     def learn(self, ids: np.ndarray, place: np.ndarray) -> None:
-        """Takes in the ids (int32), whose symbols lie at ``place`` in the counts."""
+        """Takes in the ids (int32), whose symbols lie at ``place`` in the counts.
+
+        A right prediction gains confidence, a wrong one gives way to the id with none.
+        """
         new = ids << 2
-        for slots, at, slot, told in ((self.slots2, self.at2, self.slot2, self.two), (self.slots1, self.at1, self.slot1, self.one)):
-            sure = slot & 3
-            slots[at] = np.where(told == ids, slot + (sure < 3), np.where(sure == 0, new, slot - 1))
+        self.slots2[self.at2] = np.where(self.two == ids, np.minimum(self.slot2 + 1, new | 3), new)
+        self.slots1[self.at1] = np.where(self.one == ids, np.minimum(self.slot1 + 1, new | 3), new)
         self.flat_counts[place] += _GAIN
         self.before2, self.before1 = self.before1, ids.astype(np.int64)
         self.step += 1
-        if self.step % 128 == 0 or self.step in _FIRST_REFRESHES:
+        if self.step % 256 == 0 or self.step in _FIRST_REFRESHES:
             self.refresh()
 
 
@@ -88,8 +90,9 @@ def encode(ids: np.ndarray) -> list[bytes]:
     model = _Model(lanes)
     low, span = np.zeros(lanes, np.int64), np.full(lanes, _FULL)
     width = steps + 3
-    words = np.zeros(lanes * width, np.int64)
-    at = model.lane * width
+    # Words lie by place and then block: blocks are about equally far, so they write side by side.
+    words = np.zeros(width * lanes, np.int64)
+    at = model.lane.copy()
     sums = model.flat_sums
     wide = ids.astype(np.int32)
     classes = _SYMBOL_OF.take(wide)
@@ -109,16 +112,16 @@ def encode(ids: np.ndarray) -> list[bytes]:
         if len(short):
             rest, where = low.take(short), at.take(short)
             words[where] = rest >> _FREE
-            at[short] = where + 1
+            at[short] = where + lanes
             low[short] = (rest & _FREE_MASK) << 32
             span[short] <<= 32
     words[at] = low >> _FREE
-    words[at + 1] = (low & _FREE_MASK) << 32 - _FREE
-    ends = at + 2 - model.lane * width
-    words = words.reshape(lanes, width)
-    for j in range(width - 1, 0, -1):  # a word may hold a carry for the one before
-        words[:, j - 1] += words[:, j] >> 32
-    out = (words & 0xFFFFFFFF).astype("<u4")
+    words[at + lanes] = (low & _FREE_MASK) << 32 - _FREE
+    ends = at // lanes + 2
+    words = words.reshape(width, lanes)[: int(ends.max(initial=0))]
+    for j in range(len(words) - 1, 0, -1):  # a word may hold a carry for the one before
+        words[j - 1] += words[j] >> 32
+    out = np.ascontiguousarray((words & 0xFFFFFFFF).astype("<u4").T)
     return [out[i, :n].tobytes() for i, n in enumerate(ends.tolist())]
 
 
@@ -131,10 +134,10 @@ def decode(blocks: list[bytes], steps: int) -> np.ndarray:
         words[i, : len(b) // 4] = np.frombuffer(b, "<u4")
     model = _Model(lanes)
     code = (words[:, 0] << _FREE) + (words[:, 1] >> 32 - _FREE)
-    # What follows the first 61 bits, 32 at a time.
+    # What follows the first 61 bits, 32 at a time, by place and then block.
     later = ((words[:, 1:-1] & (1 << 32 - _FREE) - 1) << _FREE) + (words[:, 2:] >> 32 - _FREE)
-    later = np.ascontiguousarray(np.concatenate([later, np.zeros((lanes, 1), np.int64)], axis=1))
-    flat, at, last = later.reshape(-1), model.lane * later.shape[1], (model.lane + 1) * later.shape[1] - 1
+    later = np.ascontiguousarray(np.concatenate([later, np.zeros((lanes, 1), np.int64)], axis=1).T)
+    flat, at, last = later.reshape(-1), model.lane.copy(), (later.shape[0] - 1) * lanes + model.lane
     span = np.full(lanes, _FULL)
     ids = np.zeros((steps, lanes), np.uint16)
     sums = model.flat_sums
@@ -158,6 +161,6 @@ def decode(blocks: list[bytes], steps: int) -> np.ndarray:
         if len(short):
             where = at.take(short)
             code[short] = (code.take(short) << 32) + flat.take(where)
-            at[short] = np.minimum(where + 1, last.take(short))
+            at[short] = np.minimum(where + lanes, last.take(short))
             span[short] <<= 32
     return ids

@@ -4,12 +4,15 @@ from __future__ import annotations
 
 import os
 import re
+import string
 import sys
 from array import array
 
 TWO_SPACES = re.compile(r"\s\s")
+#: ASCII punctuation but the apostrophe, which may begin a pre-token of its own.
+MARKS = "".join(c for c in string.punctuation if c != "'")
 #: Words that a worker keeps, in each of its caches.
-CACHE_WORDS = 600_000
+CACHE_WORDS = 1_000_000
 
 
 def _byte_letters() -> dict[int, int]:
@@ -34,24 +37,33 @@ class _Words(dict):
         self.tokenizer, self.lead, self.lower = tokenizer, lead, lower
         self.model, self.letters = tokenizer.model, _byte_letters()
         self.lead_letters = lead.translate(self.letters)
-        self.marks = {m: self._encode(m) for m in ".,"}
+        self.tokenize, self.room = self.model.tokenize, CACHE_WORDS
+        self.pair = [i.to_bytes(2, "little") for i in range(tokenizer.get_vocab_size())]
+        self.marks: dict[str, bytes] = {}
 
     def _encode(self, text: str) -> bytes:
         return _packed(self.tokenizer.encode(text, add_special_tokens=False).ids)
 
     def __missing__(self, word: str) -> bytes:
-        mark, stem = b"", word
-        if word and word[-1] in self.marks:
-            mark, stem = self.marks[word[-1]], word[:-1]
-        # A run of letters below U+0250 other than the few that decompose is one pre-token: its letters go to the model as they are.
+        # Letters below U+0130 are one pre-token, and marks behind them another: the letters go to the model as they are.
+        stem = word.rstrip(MARKS)
         if stem.isalpha() and (stem.isascii() or max(stem) < "İ"):
             text = stem.lower() if self.lower else stem
             if not text.isascii():
                 text = text.encode().decode("latin-1").translate(self.letters)
-            ids = _packed([t.id for t in self.model.tokenize(self.lead_letters + text)]) + mark
+            pair = self.pair
+            ids = b"".join([pair[t.id] for t in self.tokenize(self.lead_letters + text)])
+            if tail := word[len(stem) :]:
+                mark = self.marks.get(tail)
+                if mark is None:
+                    mark = self._encode(tail)
+                    if len(self.marks) < 10_000:
+                        self.marks[tail] = mark
+                ids += mark
         else:
             ids = self._encode(self.lead + word)
-        if len(self) < CACHE_WORDS:
+        if self.room:
+            self.room -= 1
             self[word] = ids
         return ids
 
