@@ -7,8 +7,6 @@ import numpy as np
 import pytest
 
 from siltmark.llm import mixing, topk
-from siltmark.llm.prefix import running_total
-from pyspark.sql import functions as F
 from tests.llm.fixtures import documents, empty, frame
 
 
@@ -111,7 +109,7 @@ def test_mix(spark):
     for r in out:
         assert r.source_size == sizes[source[r.doc_id]] and r.target == pytest.approx(targets[source[r.doc_id]])
         assert r.taken == taken.get(r.doc_id, 0) and r.taken <= 3 * r.size
-    assert len(out) == len(rows) and out == mixing.mix(frame(spark).dropDuplicates()).collect() or sorted(out) == sorted(mixing.mix(frame(spark).dropDuplicates()).collect())
+    assert len(out) == len(rows) and sorted(out) == sorted(mixing.mix(frame(spark).dropDuplicates()).collect())
 
 
 def test_small_sources_are_capped(spark):
@@ -134,13 +132,3 @@ def test_mixed_documents(spark):
     assert mixing.mix(empty(spark)).count() == 0 and mixing.mixed(empty(spark)).count() == 0
     assert mixing.mix(frame(spark)).count() == len(documents())
 
-
-def test_running_total(spark):
-    rows = [(i * 37 % 101, i % 7) for i in range(101)]
-    df = spark.createDataFrame(rows, "k long, v long").repartition(5)
-    got = {r.k: r.before for r in running_total(df, [F.col("k")], "v", "before").collect()}
-    total, want = 0, {}
-    for k, v in sorted(rows):
-        want[k] = total
-        total += v
-    assert got == want
