@@ -9,12 +9,13 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from siltmark.functions import scores, strings
+from siltmark.functions import labels, scores, strings
 from siltmark.operators import complexity, dependency, duplication, history, scoring, testing
-from siltmark.sources import coverage, lockfiles
+from siltmark.schemas import FORCED_IGNORES
+from siltmark.sources import coverage, files, lockfiles
 
 #: 2024-01-31T00:00:00Z, the moment that queries on events look back from.
 AS_OF = 1706659200
@@ -448,3 +449,70 @@ def left_bounded_words(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Words counted by their left boundary alone, as assertions are."""
     count = F.regexp_count(F.regexp_replace(F.lower("text"), "[^a-z0-9_]", " "), F.lit("(?<![a-z0-9_])(assert|expect|the)"))
     return table(spark, sf_dir, "documents").select("doc_id", count.alias("marks"))
+
+
+@query("""
+SELECT o_orderkey, CASE o_orderkey % 6 WHEN 0 THEN '复杂度' WHEN 1 THEN '重复代码' WHEN 2 THEN '测试' WHEN 3 THEN '变更风险' WHEN 4 THEN '依赖' ELSE '未知' END AS dimension,
+  CASE o_orderkey % 3 WHEN 0 THEN '数据完整' WHEN 1 THEN '数据缺失' ELSE '不适用' END AS confidence, CASE o_orderkey % 3 WHEN 1 THEN 'why' ELSE '' END AS reason,
+  CASE o_orderkey % 3 WHEN 0 THEN 'color-green' WHEN 1 THEN 'color-orange' ELSE 'color-muted' END AS confidence_class,
+  CASE o_orderpriority WHEN '1-URGENT' THEN 'Critical' WHEN '2-HIGH' THEN 'High' WHEN '3-MEDIUM' THEN 'Medium' WHEN '4-NOT SPECIFIED' THEN 'Low' ELSE 'None' END AS severity,
+  CASE o_orderpriority WHEN '1-URGENT' THEN 'pill-critical' WHEN '2-HIGH' THEN 'pill-high' WHEN '3-MEDIUM' THEN 'pill-medium' WHEN '4-NOT SPECIFIED' THEN 'pill-low' ELSE 'pill-muted' END AS pill,
+  CASE WHEN o_orderkey % 101 < 60 THEN 'stage-yellow' ELSE 'stage-red' END AS stage,
+  CASE WHEN o_orderkey % 101 < 30 THEN 'score-low' WHEN o_orderkey % 101 < 60 THEN 'score-medium' WHEN o_orderkey % 101 < 80 THEN 'score-high' ELSE 'score-critical' END AS tier FROM orders
+""")
+def report_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What a report shows for dimension, state, severity and score."""
+    k, priority = F.col("o_orderkey"), F.col("o_orderpriority")
+    kind = F.element_at(F.array(*map(F.lit, ("full", "data_missing", "not_applicable"))), (k % 3 + 1).cast("int"))
+    state = F.struct(kind.alias("type"), F.lit("why").alias("detail"))
+    severity = F.when(priority == "1-URGENT", "critical").when(priority == "2-HIGH", "high").when(priority == "3-MEDIUM", "medium").when(priority == "4-NOT SPECIFIED", "low").otherwise("none")
+    score = k % 101
+    return table(spark, sf_dir, "orders").select(
+        "o_orderkey", labels.dimension_at((k % 6).cast("int")).alias("dimension"), labels.confidence_label(state).alias("confidence"), labels.confidence_reason(state).alias("reason"),
+        labels.confidence_class(state).alias("confidence_class"), labels.labelled(severity, labels.SEVERITY_TEXTS).alias("severity"), labels.labelled(severity, labels.SEVERITY_PILLS).alias("pill"),
+        labels.final_stage_class(score).alias("stage"), labels.tier_class(score).alias("tier"),
+    )
+
+
+_FILES_SEEN = "SELECT p_partkey AS k, (CASE p_partkey % 4 WHEN 0 THEN 'target/' WHEN 1 THEN 'src/' WHEN 2 THEN 'a/node_modules/' ELSE 'b/' END) || 'f' || p_partkey || (CASE p_partkey % 3 WHEN 0 THEN '.generated.js' WHEN 1 THEN '.rs' ELSE '.go' END) AS path FROM part"
+
+
+@query(f"SELECT path, path LIKE 'target/%' OR path LIKE '%/node_modules/%' OR path LIKE '%.generated.%' AS forced, path LIKE 'src/%.rs' AS asked FROM ({_FILES_SEEN})")
+def ignore_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ignore patterns over file paths: the forced ones and one of a user's."""
+    k = F.col("p_partkey")
+    folder = F.element_at(F.array(*map(F.lit, ("target/", "src/", "a/node_modules/", "b/"))), (k % 4 + 1).cast("int"))
+    ending = F.element_at(F.array(*map(F.lit, (".generated.js", ".rs", ".go"))), (k % 3 + 1).cast("int"))
+    paths = table(spark, sf_dir, "part").select(F.concat(folder, F.lit("f"), k.cast("string"), ending).alias("path"))
+    return paths.select("path", files.ignored(F.col("path"), FORCED_IGNORES).alias("forced"), files.ignored(F.col("path"), ("/src/*.rs",)).alias("asked"))
+
+
+@query("""
+WITH c AS (SELECT event_id, row_number() OVER (ORDER BY ts DESC, event_id DESC) - 1 AS walk_pos, floor(epoch(ts))::BIGINT AS commit_ts, user_id, event_type FROM events),
+t AS (SELECT DISTINCT 'f' || (CASE WHEN n = 7 THEN 8 ELSE n END) AS path, event_id FROM (SELECT event_id, unnest([event_id % 40, event_id % 9]) AS n FROM c WHERE walk_pos < 500))
+SELECT path, count(*)::INTEGER AS commits, count(DISTINCT user_id)::INTEGER AS authors, (count(*) FILTER (event_type = 'error'))::INTEGER AS incidents FROM t JOIN c USING (event_id) GROUP BY path
+""")
+def capped_history(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The latest 500 events as commits of two files each, one of them renamed; binary files drop out."""
+    order = Window.orderBy(F.col("ts").desc(), F.col("event_id").desc())
+    events = table(spark, sf_dir, "events").withColumn("walk_pos", F.row_number().over(order) - 1)
+    ident = F.col("event_id").cast("string")
+    message = F.when(F.col("event_type") == "error", "fix it").otherwise("add fixture")
+    commits = events.select(ident.alias("commit_id"), "walk_pos", F.unix_seconds(F.col("ts").cast("timestamp")).alias("commit_ts"), F.col("user_id").cast("string").alias("author_email"), message.alias("message"))
+    touched = events.select(ident.alias("commit_id"), F.posexplode(F.array(F.col("event_id") % 40, F.col("event_id") % 9, F.lit(99))).alias("delta_pos", "n"))
+    name = F.concat(F.lit("f"), F.col("n").cast("string"))
+    changes = touched.select("commit_id", "delta_pos", name.alias("old_path"), name.alias("new_path"), F.lit("M").alias("status"), (F.col("n") == 99).alias("is_binary"))
+    renames = spark.createDataFrame([("f7", "f8")], "path string, final string")
+    rows = history.file_commits(commits, changes, renames, 500)
+    return rows.groupBy("path").agg(F.count("*").cast("int").alias("commits"), F.countDistinct("author").cast("int").alias("authors"), F.count_if("is_incident").cast("int").alias("incidents"))
+
+
+@query(f"""
+WITH {_HISTORY}, {_RISK}, f AS (SELECT DISTINCT l_suppkey * 7 % 130 AS k FROM lineitem), m AS (SELECT avg(change_risk) AS mean FROM risk WHERE path::INTEGER IN (SELECT k FROM f))
+SELECT f.k::VARCHAR AS path, round(coalesce(change_risk, mean), 6) AS risk_score, CASE WHEN change_risk IS NULL THEN 'data_missing' ELSE 'full' END AS confidence FROM f LEFT JOIN risk ON risk.path = f.k::VARCHAR CROSS JOIN m
+""")
+def mean_fill(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The change-risk dimension over files of which some have no history."""
+    paths = table(spark, sf_dir, "lineitem").select((F.col("l_suppkey") * 7 % 130).cast("string").alias("path")).distinct()
+    out = history.change_dimension(paths, event_history(spark, sf_dir), AS_OF)
+    return out.select("path", *rounded("risk_score"), F.col("confidence.type").alias("confidence"))

@@ -3,7 +3,7 @@
 import pytest
 from pyspark.sql import functions as F
 
-from siltmark.functions import scores, strings
+from siltmark.functions import labels, scores, strings
 
 
 def values(spark, rows, schema, column):
@@ -89,3 +89,13 @@ def test_cvss(spark):
     levels = [("LOW", "low"), ("medium", "medium"), ("HIGH", "high"), ("Critical", "critical"), ("INFO", None)]
     assert values(spark, [(f'{{"severity": "{n}"}}',) for n, _ in levels], "d string", scores.detail_severity(F.col("d"))) == [x for _, x in levels]
     assert values(spark, [(9.0,), (7.0,), (4.0,), (1.0,), (None,)], "s double", scores.cvss_severity(F.col("s"))) == ["critical", "high", "medium", "low", "medium"]
+
+
+def test_report_labels(spark):
+    dims = F.array(*[F.struct(F.lit(d).alias("dim"), F.struct(F.lit(k).alias("type"), F.lit(None).cast("string").alias("detail")).alias("confidence")) for d, k in (("complexity", "full"), ("test", "not_applicable"), ("dependency", "not_applicable"))])
+    assert one(spark, labels.excluded_labels(dims)) == "测试、依赖"
+    assert one(spark, labels.dimension_at(F.lit(9))) == "未知" and one(spark, labels.flag_class(F.lit(True))) == "color-orange"
+    assert one(spark, labels.rewrite_class(F.lit("detected"))) == "color-orange" and one(spark, labels.rewrite_class(F.lit(None).cast("string"))) == "color-muted"
+    assert one(spark, labels.mean_or_zero(F.array(F.lit(1.0), F.lit(3.0)))) == 2.0 and one(spark, labels.mean_or_zero(F.array().cast("array<double>"))) == 0.0
+    assert one(spark, labels.affects(F.array(F.lit("a")), F.lit("a"))) and one(spark, labels.cut(F.lit("äöü"), 2)) == "äö"
+    assert one(spark, labels.labelled(F.lit("none"), labels.SEVERITY_CLASSES)) == ""
