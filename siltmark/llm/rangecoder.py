@@ -24,7 +24,7 @@ _CLASS_BITS = [*[0] * 4, *range(2, 16)]
 SYMBOLS = 2 + len(_CLASS_LOW)
 _LOW = np.array([0, 0, *_CLASS_LOW], dtype=np.int64)
 _BITS = np.array([0, 0, *_CLASS_BITS], dtype=np.int64)
-_SYMBOL_OF = (np.searchsorted(_CLASS_LOW, np.arange(1 << 16), side="right") + 1).astype(np.int64)
+_SYMBOL_OF = (np.searchsorted(_CLASS_LOW, np.arange(1 << 16), side="right") + 1).astype(np.uint8)
 #: Frequencies add up to 2 ** 12. Low and span have 61 bits and give out 32 at a time.
 _TOTAL, _FREE = 12, 29
 _FULL, _SHORT, _FREE_MASK = np.int64(1) << 61, np.int64(1) << _FREE, (np.int64(1) << _FREE) - 1
@@ -94,12 +94,10 @@ def encode(ids: np.ndarray) -> list[bytes]:
     words = np.zeros(width * lanes, np.int64)
     at = model.lane.copy()
     sums = model.flat_sums
-    wide = ids.astype(np.int32)
-    classes = _SYMBOL_OF.take(wide)
     for t in range(steps):
-        x = wide[t]
+        x = ids[t].astype(np.int32)
         model.predict()
-        symbol = np.where(model.two == x, 0, np.where(model.one == x, 1, classes[t]))
+        symbol = np.where(model.two == x, 0, np.where(model.one == x, 1, _SYMBOL_OF.take(x))).astype(np.int64)
         row = (model.state * SYMBOLS + symbol) * lanes + model.lane
         place = row + model.state * lanes  # a state has one more cumulative sum than symbols
         first = sums.take(place)

@@ -32,7 +32,7 @@ BLOCK_IDS = 2048
 #: A chunk is closed at so many ids; documents stay whole, so a long one makes a larger chunk.
 CHUNK_IDS = 1 << 20
 #: Blocks that are coded in lockstep at most, over chunks.
-LANES = 4096
+LANES = 2560
 _DOC = np.dtype([("doc_id", "<i8"), ("null", "u1"), ("n", "<u8")])
 _BLOCK = np.dtype([("size", "<u4"), ("crc", "<u4")])
 
