@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from siltmark.llm.tokens import encoder, tokenizer_path
+from siltmark.llm.tokens import encoder, no_collection, tokenizer_path
 from siltmark.plans.session import ship_package
 
 MAX_LENGTH = 1024
@@ -38,8 +38,9 @@ def _packer(tokenizer: str, end_id: int, longest: int):
             return batch
 
         for batch in batches:
-            for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1)):
-                ids = np.frombuffer(encode(text.as_py()) + end, dtype="<u2").astype("<u4").tobytes()
+            with no_collection():
+                coded = [np.frombuffer(encode(text.as_py()) + end, dtype="<u2").astype("<u4").tobytes() for text in batch.column(1)]
+            for doc_id, ids in zip(batch.column(0).to_pylist(), coded):
                 n, at = len(ids) // 4, 0
                 for length in piece_lengths(n, longest):
                     for c, v in zip(out, (doc_id, at, length, ids[4 * at : 4 * (at + length)], n)):

@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from siltmark.llm import rangecoder
-from siltmark.llm.tokens import encoder, tokenizer_path
+from siltmark.llm.tokens import encoder, no_collection, tokenizer_path
 from siltmark.plans.session import ship_package, written
 
 MAGIC = b"SLTK1\0"
@@ -121,8 +121,10 @@ def _writer(tokenizer: str, end_id: int):
             return pa.record_batch(columns, names=names)
 
         for batch in batches:
-            for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1)):
-                open_.add(doc_id, encode(text.as_py()) + end)
+            with no_collection():
+                coded = [encode(text.as_py()) + end for text in batch.column(1)]
+            for doc_id, ids in zip(batch.column(0).to_pylist(), coded):
+                open_.add(doc_id, ids)
                 if open_.n >= CHUNK_IDS:
                     ready.append(open_)
                     open_ = _Chunk()
@@ -172,9 +174,10 @@ def read_tokens(spark: SparkSession, path: str) -> DataFrame:
                 for base, (docs, ids) in zip(bases[a : a + 4], unpack_chunks(data[a : a + 4])):
                     n = docs["n"].astype(np.int64)
                     ends = np.cumsum(n)
-                    wide = ids.astype("<u4").tobytes()
-                    cut = [wide[4 * (e - k) : 4 * e] for e, k in zip(ends.tolist(), n.tolist())]
+                    # The ids of a chunk's documents lie side by side: only the offsets are new.
+                    offsets = pa.py_buffer(np.append(0, 4 * ends).astype(np.int64))
+                    cut = pa.Array.from_buffers(pa.large_binary(), len(n), [None, offsets, pa.py_buffer(ids.astype("<u4"))])
                     doc_ids = pa.array(docs["doc_id"].astype(np.int64), mask=docs["null"].astype(bool))
-                    yield pa.record_batch([doc_ids, pa.array(base + ends - n), pa.array(n), pa.array(cut, pa.binary())], names=names)
+                    yield pa.record_batch([doc_ids, pa.array(base + ends - n), pa.array(n), cut.cast(pa.binary())], names=names)
 
     return placed.mapInArrow(run, "doc_id long, start long, n_tokens long, ids binary")
