@@ -85,15 +85,15 @@ def _delete(jvm, conf, path: str) -> None:
     p.getFileSystem(conf).delete(p, True)
 
 
-def written(df: DataFrame, label: str) -> DataFrame:
-    """Writes ``df`` to the shared folder and reads it back.
+def written(df: DataFrame, label: str, by: str | None = None) -> DataFrame:
+    """Writes ``df`` to the shared folder, in a folder for each value of ``by`` if given, and reads it back.
 
     This cuts the lineage: what was computed once survives the loss of an executor and
     is not computed again by later branches of a plan.
     """
     spark = df.sparkSession
     path = new_path(spark, label)
-    df.write.parquet(path)
+    (df.write.partitionBy(by) if by else df.write).parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._siltmark_path = path
     return out

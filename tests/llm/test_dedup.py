@@ -180,3 +180,28 @@ def test_line_keys_need_no_python(spark):
     plan = linededup.without_boilerplate(frame(spark))._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in plan and "Arrow" not in plan
     assert frame(spark).select(linededup.line_key(F.lit("  \t")).alias("k")).first().k is None
+
+
+def test_fuzzy_passages_are_found(spark):
+    """Passages of 50 to 100 words with words replaced, at a similarity of 0.9 and more, between other words."""
+    rng = np.random.default_rng(5)
+
+    def some(n):
+        return [f"w{x}" for x in rng.integers(0, 50_000, n)]
+
+    rows, pairs = [], 100
+    for i in range(pairs):
+        passage = some(int(rng.integers(50, 101)))
+        copy = list(passage)
+        for at in rng.choice(np.arange(1, len(copy) - 1), len(copy) // 10, replace=False):
+            copy[at] = f"new{i}x{at}"
+        rows += [(i, " ".join(some(40) + passage + some(40))), (1000 + i, " ".join(some(60) + copy + some(60)))]
+    found = substr.shared_passages(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert all(r.ref_doc_id + 1000 == r.doc_id and r.similarity >= 0.8 for r in found)
+    assert len({r.doc_id for r in found}) >= 0.97 * pairs
+    changed = some(60)
+    other = list(changed)
+    other[3] = other[-3] = "edited"
+    assert max(r[1] - r[0] for r in substr.align(changed, other, [20], [20])) == 60
+
+
