@@ -142,6 +142,22 @@ def test_quality_bands(spark):
     assert kept.columns == docs.columns and {r.doc_id for r in kept.collect()} == {i for i, r in out.items() if r.kept}
 
 
+def test_copies_do_not_narrow_a_band(spark):
+    """Exact and near copies are most of a language, and another language has two texts."""
+    rng = random.Random(8)
+    copy = prose(rng, 200)
+    rows = [(i, copy, "en") for i in range(90)]
+    rows += [(100 + i, copy + f"\n{i}", "de") for i in range(90)]
+    rows += [(200 + i, prose(rng, 200), "en") for i in range(60)] + [(300 + i, prose(rng, 200), "de") for i in range(60)]
+    rows += [(400, prose(rng, 300), "fr"), (401, prose(rng, 100), "fr")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    out = {r.doc_id for r in quality.quality(docs).collect() if r.kept}
+    assert set(range(90)) <= out, sorted(out)
+    assert {400, 401} <= out and sum(i in out for i in range(200, 260)) >= 57, sorted(out)
+    assert sum(i in out for i in range(300, 360)) >= 57, sorted(out)
+    assert {r.doc_id for r in quality.kept_documents(docs).collect()} == out
+
+
 def test_entropy_equals_plain_model(spark):
     docs = spark.createDataFrame([r for r in corpus() if r[1]][:40], "doc_id long, text string, lang string")
     counts = Counter()
