@@ -18,8 +18,8 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Lines that stand on five sources or more go; n_chars follows the text."""
-    return linededup.cleaned(docs)
+    """Lines that stand on five sources or more go, copies of a document counted once; n_chars follows the text."""
+    return linededup.cleaned(docs, copies_once=True)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -41,7 +41,7 @@ def site_counts(lines: DataFrame, min_sites: int = MIN_SITES, lg_buckets: int =
     return sure.unionByName(exact.select("h1", "h2"))
 
 
-def without_boilerplate(docs: DataFrame, site: str = "source", min_sites: int = MIN_SITES, lg_buckets: int = LG_BUCKETS) -> DataFrame:
+def without_boilerplate(docs: DataFrame, site: str = "source", min_sites: int = MIN_SITES, lg_buckets: int = LG_BUCKETS, copies_once: bool = False) -> DataFrame:
     """``docs`` (doc_id, text, site and more) with cross-site boilerplate lines taken out of text.
 
     A line is boilerplate if it, without outer blanks and tabs, stands in documents of
@@ -50,16 +50,24 @@ def without_boilerplate(docs: DataFrame, site: str = "source", min_sites: int =
     line ends. Two columns are added: ``_sm_lines`` and ``_sm_removed``, lines before and
     lines taken out. A null text stays null, with 0 lines. Documents are told apart by
     doc_id, null-safe; rows that repeat one are cleaned each. All other columns are kept.
+    With ``copies_once`` rows of equal text count as one document, of the least of their
+    sites, so that a whole document that is copied over sites is no boilerplate.
 
     Only keys and ids of lines are shuffled by line, where partial aggregation and skew
     splitting take care of very frequent ones; texts meet the keys of their own bad lines
     by doc_id.
     """
     text = F.col("text")
-    occurrences = docs.select(F.col("doc_id").alias("_sm_id"), F.coalesce(F.col(site).cast("string"), F.lit("\u0000null")).alias("site"), F.explode(_lines(text)).alias("line"))
+    place = F.coalesce(F.col(site).cast("string"), F.lit("\u0000null"))
+    occurrences = docs.select(F.col("doc_id").alias("_sm_id"), place.alias("site"), F.explode(_lines(text)).alias("line"))
     keyed = occurrences.withColumn("k", line_key(F.col("line"))).where("k is not null").select("_sm_id", "site", "k.h1", "k.h2")
     narrow = written(keyed, "lines")
-    bad = written(site_counts(narrow.select("h1", "h2", "site"), min_sites, lg_buckets), "boilerplate")
+    counted = narrow.select("h1", "h2", "site")
+    if copies_once:
+        texts = docs.where(text.isNotNull()).groupBy("text").agg(F.min(place).alias("site"))
+        lines_once = texts.select("site", F.explode(_lines(text)).alias("line")).withColumn("k", line_key(F.col("line")))
+        counted = written(lines_once.where("k is not null").select("k.h1", "k.h2", "site"), "counted")
+    bad = written(site_counts(counted, min_sites, lg_buckets), "boilerplate")
     hit = narrow.join(bad.toDF("b1", "b2"), (F.col("h1") == F.col("b1")) & (F.col("h2") == F.col("b2")))
     per_doc = hit.groupBy("_sm_id").agg(F.collect_set(F.struct("h1", "h2")).alias("_sm_bad"))
     joined = docs.join(per_doc, F.col("doc_id").eqNullSafe(F.col("_sm_id")), "left")

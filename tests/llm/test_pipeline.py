@@ -37,6 +37,15 @@ def test_stages_take_odd_tables(spark, sf_dir):
             out.count()
 
 
+def test_copied_documents_keep_their_lines(spark, sf_dir):
+    text = "first line of a story\nand its second line"
+    rows = [(i, text, "en", f"s{i}", len(text), "x", 1) for i in range(7)]
+    rows += [(100 + i, f"own {i}\nRead more here", "en", f"s{i}", 20, "x", 1) for i in range(7)]
+    out = corpus_pipeline.line_dedup(spark, spark.createDataFrame(rows, frame(spark).schema), sf_dir)
+    got = {r.doc_id: r.text for r in out.collect()}
+    assert got == {i: text for i in range(7)} | {100 + i: f"own {i}" for i in range(7)}
+
+
 def test_every_operator_is_registered():
     names = queries.queries()
     assert {n.split("_")[0] for n in names} == {f"op{i}" for i in range(1, 11)}
