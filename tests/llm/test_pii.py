@@ -1,12 +1,22 @@
 """Personal data against regular expressions and on planted contexts."""
 
 import hashlib
+import math
+import random
 import re
+from collections import defaultdict
+
+import pytest
 
 from siltmark.llm import pii
 from tests.llm.fixtures import documents, empty, frame
 
-PATTERNS = {k: getattr(pii, k.upper()) for k in pii.KINDS}
+PATTERNS = {
+    "email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+",
+    "ip": r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)",
+    "card": r"[0-9]([\x20-]?[0-9])+",
+    "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
+}
 CARDS = ["4111 1111 1111 1111", "5500-0000-0000-0004", "4012888888881881"]
 ODD = [
     "mail a.b+c@x-y.example.org, and a@b.c@d.ee",
@@ -15,6 +25,7 @@ ODD = [
     "call +1 (171) 555-2028 or +49.30.1234567; not +12 3",
     "é日 x@y.zz 9.9.9.9",
     "+4111111111111111 a@1.2.3.4",
+    "a@b.c_x@y.zz 1.2.3.4.5.6.7.8 00.0.000.255 1.2.3.0256 1 2 3",
 ]
 
 
@@ -26,17 +37,90 @@ def luhn(digits):
     return total % 10 == 0
 
 
+def plain_valid(kind, found):
+    digits = re.sub("[^0-9]", "", found)
+    return {"email": True, "ip": kind != "ip" or all(int(p) <= 255 for p in found.split(".")), "card": 14 <= len(digits) <= 19 and luhn(digits), "phone": 10 <= len(digits) <= 15}[kind]
+
+
 def plain_spans(text):
     out = []
     for order, (kind, pattern) in enumerate(PATTERNS.items()):
-        for m in re.finditer(pattern, text or ""):
-            digits = re.sub("[^0-9]", "", m.group())
-            good = {"email": True, "ip": kind != "ip" or all(int(p) <= 255 for p in m.group().split(".")), "card": 14 <= len(digits) <= 19 and luhn(digits), "phone": 10 <= len(digits) <= 15}[kind]
-            if good:
-                out.append((m.start(), order, kind, m.end()))
+        out += [(m.start(), order, kind, m.end()) for m in re.finditer(pattern, text or "") if plain_valid(kind, m.group())]
     return sorted(out)
 
 
+def plain_slots(text):
+    """(start, end, core, patterns) of ASCII texts."""
+    found = list(re.finditer(PATTERNS["phone"] + r"|(?<!\S)[^\s0-9@]*[0-9@]\S*", text))
+    out = []
+    for i, m in enumerate(found):
+        lead = re.match("[^0-9A-Za-z+@]*", m.group()).end()
+        core = re.sub("[^0-9A-Za-z]+$", "", m.group()[lead:])
+        before = text[found[i - 1].end() if i else 0 : m.start()].lower().split()
+        after = text[m.end() : found[i + 1].start() if i + 1 < len(found) else len(text)].lower().split()
+        if core:
+            shape = re.sub("[0-9]+", "9", re.sub("[A-Za-z]+", "a", core))
+            patterns = ["l:" + " ".join(before[-2:])] if len(before) > 1 else []
+            patterns += [f"b:{before[-1]} _ {after[0]}"] if before and after else []
+            patterns += [f"s:{before[-1]} _ {shape}"] if before else []
+            out.append((m.start() + lead, m.start() + lead + len(core), core, patterns))
+    return out
+
+
+def plain_seed(core):
+    for kind, pattern in PATTERNS.items():
+        if re.fullmatch(pattern, core) and plain_valid(kind, core):
+            return kind
+    return "secret" if re.fullmatch("[0-9A-Fa-f]{32,128}", core) and re.search("[0-9]", core) and re.search("[A-Fa-f]", core) else None
+
+
+def plain_found(texts, rounds=3, min_seeds=3, limit=0.8):
+    """Scores of patterns and identifiers, and added spans of each text, by dictionaries."""
+    slots = [plain_slots(t) for t in texts]
+    holds, held_by = defaultdict(set), defaultdict(set)
+    for mine in slots:
+        for _, _, core, patterns in mine:
+            for p in patterns:
+                holds[p].add(core)
+                held_by[core].add(p)
+    seeds = {(c, plain_seed(c)): 1.0 for c in held_by if plain_seed(c)}
+    scores, pscores = dict(seeds), {}
+    for _ in range(rounds):
+        total, n = defaultdict(float), defaultdict(int)
+        for (c, kind), score in scores.items():
+            for p in held_by[c]:
+                total[p, kind] += score
+                n[p, kind] += (c, kind) in seeds
+        pscores = {k: v / (len(holds[k[0]]) + 1) for k, v in total.items() if n[k] >= min_seeds}
+        rest = defaultdict(float)
+        for (p, kind), score in pscores.items():
+            if score >= limit / 2:
+                for c in holds[p]:
+                    rest[c, kind] += math.log(1 - min(score, 0.99))
+        scores = {k: 1 - math.exp(v) for k, v in rest.items()} | seeds
+    added = []
+    for text, mine in zip(texts, slots):
+        base, out = plain_spans(text), set()
+        for start, end, core, patterns in mine:
+            if not any(s < end and start < e for s, _, _, e in base):
+                out |= {(start, pii.ALL_KINDS.index(k), k, end) for k in pii.ALL_KINDS for p in patterns if pscores.get((p, k), 0) >= limit and scores.get((core, k), 0) >= limit}
+        added.append(sorted(out))
+    return pscores, scores, added
+
+
+def contexts(n):
+    rng = random.Random(n)
+    secret = lambda: "".join(rng.choice("0123456789abcdef") for _ in range(40))
+    fill = [lambda: f"u{rng.randint(0, 99)}@m{rng.randint(0, 9)}.org", lambda: f"10.{rng.randint(0, 300)}.3.{rng.randint(0, 300)}", secret, lambda: f"{rng.randint(0, 50)}", lambda: f"ab{rng.randint(0, 50)}[at]x.org", lambda: secret()[:20], lambda: f"+1 (017) 555-{rng.randint(1000, 9999)}"]
+    frames = ["write to {} now", "server at {} is up", 'token = "{}" end', "see page {} of it", "key: {}", "call us {} or"]
+    rows = []
+    for i in range(n):
+        k = rng.randrange(len(frames))
+        what = fill[[0, 1, 2, 3, 2, 6][k] if rng.random() < 0.93 else rng.randrange(len(fill))]
+        rows.append(" ".join(rng.choice(["some", "odd", "7 words,", "(a)"]) for _ in range(rng.randint(0, 4))) + " " + frames[k].format(what()))
+    return rows
+
+
 def test_base_spans(spark):
     texts = [t for t in ODD] + [r[1] for r in documents()] + [" ".join(ODD) * 30]
     docs = spark.createDataFrame([(i, t, "x") for i, t in enumerate(texts)], "doc_id long, text string, base string")
@@ -67,6 +151,53 @@ def test_weak_contexts_add_nothing(spark):
     assert not any(r.added for r in out)
 
 
+def test_graph_and_added_spans_equal_plain_ones(spark):
+    texts = contexts(400)
+    pscores, scores, added = plain_found(texts)
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    out = {r.doc_id: r for r in pii.find_pii(docs).collect()}
+    assert [sorted(map(tuple, out[i].added)) for i in range(len(texts))] == added
+    assert {k for a in added for *_, k, _ in a} >= {"secret", "ip"}
+    slots = pii.located(docs).selectExpr("explode(slots) s")
+    patterns, cores = pii.bootstrap(slots.select("s.core", pii._patterns(slots["s"]).alias("patterns")))
+    assert {(r.pattern, r.kind): r.pscore for r in patterns.collect()} == pytest.approx(pscores)
+    assert {(r.core, r.kind): r.score for r in cores.collect()} == pytest.approx(scores)
+
+
+def test_very_long_texts(spark):
+    """Texts that make greedy patterns recurse deeply or try each place of a run anew."""
+    texts = [
+        " ".join(str(100 + i % 900) for i in range(20_000)),
+        "7" * 200_000,
+        "a@" + ".".join(f"b{i}" for i in range(20_000)),
+        "x" * 200_000 + " a@b.cc",
+        "1" + "-" * 100_000 + "1 a",
+        "a1" + " " * 100_000 + "b2 x",
+        "y" * 100_000 + " z " + "q" * 100_000 + " 12 " + "w" * 100_000,
+        "1.2." * 10_000,
+        "a@" * 50_000,
+        "+1" + " -" * 50_000,
+        "u1@b.cc " * 5_000,
+        "-".join("12" for _ in range(50_000)),
+    ]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    out = {r.doc_id: r for r in pii.summary(pii.find_pii(docs)).collect()}
+    for i, t in enumerate(texts):
+        if i not in (0, 2, 7, 10, 11):  # the plain patterns themselves are slow on the others
+            assert out[i].n_email == (i == 3) and out[i].n_card == out[i].n_phone == 0, i
+            continue
+        joined = ",".join(f"{k}:{a}:{b}" for a, _, k, b in plain_spans(t))
+        assert out[i].base_sha256 == hashlib.sha256(joined.encode()).hexdigest(), t[:30]
+
+
+def test_running_sums(spark):
+    rng = random.Random(3)
+    for n in (0, 1, 64, 65, 4096, 4097, 10_000):
+        xs = [rng.randint(0, 9) for _ in range(n)]
+        row = spark.createDataFrame([(xs,)], "xs array<int>").select(pii.running_sums(pii.F.col("xs")).alias("s")).first()
+        assert row.s == [sum(xs[: i + 1]) for i in range(n)] if n < 5000 else row.s[-1] == sum(xs) and len(row.s) == n
+
+
 def test_odd_tables(spark):
     assert pii.summary(pii.find_pii(empty(spark))).count() == 0
     assert pii.find_pii(frame(spark)).count() == len(documents())
