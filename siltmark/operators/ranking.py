@@ -13,26 +13,31 @@ from siltmark.plans.session import written
 LIMITED = 100_000
 
 
-def running_total(df: DataFrame, order: list[Column], value: str, out: str) -> DataFrame:
-    """Adds ``out``: the sum of ``value`` over all rows before this one in ``order``.
+def running_totals(df: DataFrame, order: list[Column], totals: dict[str, str]) -> DataFrame:
+    """Adds a column for each item (value: name) of ``totals``: the sum of value over all rows before this one in ``order``.
 
     Rows are dealt by ranges of ``order``; each range is summed by its own task, and only
-    one sum per range meets on the driver. Rows that tie in ``order`` get their totals in
+    one row of sums per range meets on the driver. Rows that tie in ``order`` get their totals in
     any order, so ``order`` should end in a unique key. The result has the extra column
     ``_sm_part`` (the range).
     """
     dealt = written(df.repartitionByRange(*order).withColumn("_sm_part", F.spark_partition_id()), "ranges")
-    sums = sorted(tuple(r) for r in dealt.groupBy("_sm_part").agg(F.sum(value)).collect())
-    bases = dict(zip((p for p, _ in sums), accumulate((s or 0 for _, s in sums), initial=0)))
-    spark = df.sparkSession
-    base = spark.createDataFrame(list(bases.items()) or [(0, 0)], "_sm_part int, _sm_base long")
+    values = list(totals)
+    sums = sorted((tuple(r) for r in dealt.groupBy("_sm_part").agg(*[F.coalesce(F.sum(v), F.lit(0)) for v in values]).collect()), key=lambda r: r[0])
+    before = zip(*(accumulate(column, initial=type(column[0])(0)) for column in list(zip(*sums))[1:])) if sums else []
+    kinds = [dict(dealt.groupBy().agg(F.sum(v).alias(v)).dtypes)[v] for v in values]
+    schema = "_sm_part int, " + ", ".join(f"_sm_base{i} {t}" for i, t in enumerate(kinds))
+    base = df.sparkSession.createDataFrame([(r[0], *b) for r, b in zip(sums, before)], schema)
     inside = Window.partitionBy("_sm_part").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
-    return (
-        dealt.withColumn("_sm_inside", F.coalesce(F.sum(value).over(inside), F.lit(0)))
-        .join(F.broadcast(base), "_sm_part")
-        .withColumn(out, F.col("_sm_base") + F.col("_sm_inside"))
-        .drop("_sm_base", "_sm_inside")
-    )
+    out = dealt.select("*", *[F.coalesce(F.sum(v).over(inside), F.lit(0)).alias(f"_sm_inside{i}") for i, v in enumerate(values)]).join(F.broadcast(base), "_sm_part")
+    for i, name in enumerate(totals.values()):
+        out = out.withColumn(name, F.col(f"_sm_base{i}") + F.col(f"_sm_inside{i}"))
+    return out.drop(*[f"_sm_{x}{i}" for x in ("base", "inside") for i in range(len(values))])
+
+
+def running_total(df: DataFrame, order: list[Column], value: str, out: str) -> DataFrame:
+    """``running_totals`` of one value."""
+    return running_totals(df, order, {value: out})
 
 
 def first_rows(df: DataFrame, order: list[Column], n: int, limited: int = LIMITED) -> DataFrame:
