@@ -8,10 +8,10 @@ budget gives every source its share to within a document.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from siltmark.operators.ranking import running_total
+from siltmark.operators.ranking import running_total, running_totals
 from siltmark.plans.session import written
 
 WORD = r"[^\x20\x09-\x0D]+"
@@ -31,93 +31,101 @@ def source_targets(sizes: DataFrame, weights=WEIGHTS, max_repeat: int = MAX_REPE
     ``max_repeat`` times their own size each; the excess is shared again among the others
     until none is above. The level of the water (words per weight) comes from running
     sums in order of cap per weight. The table has one row per source; ``base`` is the
-    size of the sources before.
+    size of the sources before. Sources may be as many as hosts: ranks and running sums
+    are taken by ranges, and only the level and the total meet on the driver.
     """
-    by_name = Window.orderBy(F.col("source").asc_nulls_last())
     turn = F.array(*[F.lit(float(w)) for w in weights])
-    sources = (
-        sizes.groupBy("source")
-        .agg(F.sum("size").alias("source_size"))
-        .withColumn("rank", F.row_number().over(by_name) - 1)
-        .withColumn("base", F.sum("source_size").over(by_name.rowsBetween(Window.unboundedPreceding, 0)) - F.col("source_size"))
-        .withColumn("weight", F.element_at(turn, (F.col("rank") % len(weights) + 1).cast("int")))
-        .withColumn("cap", F.col("source_size").cast("double") * max_repeat)
+    one = sizes.groupBy("source").agg(F.sum("size").alias("source_size")).withColumn("one", F.lit(1))
+    ranked = running_totals(one, [F.col("source").asc_nulls_last()], {"one": "rank", "source_size": "base"})
+    sources = ranked.select(
+        *["source", "rank", "base", "source_size"],
+        F.element_at(turn, (F.col("rank") % len(weights) + 1).cast("int")).alias("weight"),
+        (F.col("source_size").cast("double") * max_repeat).alias("cap"),
     )
-    by_cap = Window.orderBy(F.col("cap") / F.col("weight"), "rank")
-    upto = by_cap.rowsBetween(Window.unboundedPreceding, 0)
-    after = by_cap.rowsBetween(0, Window.unboundedFollowing)
-    every = Window.partitionBy()
-    level = (F.sum("source_size").over(every) * float(share) - (F.sum("cap").over(upto) - F.col("cap"))) / F.sum("weight").over(after)
+    full = F.col("cap") / F.col("weight")
+    filled = written(running_totals(sources, [full, F.col("rank")], {"cap": "caps", "weight": "weights"}), "filled")
+    total = filled.agg((F.sum("source_size") * float(share)).alias("words"), F.sum("weight").alias("weights")).first()
+    level = (F.lit(total.words) - F.col("caps")) / (F.lit(total.weights) - F.col("weights"))
     # The first source, by cap per weight, whose cap its share doesn't reach: its level holds for all that follow.
-    return (
-        sources.withColumn("level", level)
-        .withColumn("level", F.when(F.col("cap") >= F.col("level") * F.col("weight"), F.col("level")))
-        .withColumn("water", F.min_by("level", F.when(F.col("level").isNotNull(), F.struct(F.col("cap") / F.col("weight"), F.col("rank")))).over(every))
-        .withColumn("target", F.least(F.col("cap"), F.coalesce(F.col("water") * F.col("weight"), F.col("cap"))))
-        .select("source", "rank", "base", "source_size", "weight", "target")
-    )
-
+    reached = filled.withColumn("level", level).where(F.col("cap") >= F.col("level") * F.col("weight"))
+    water = reached.agg(F.min_by("level", F.struct(full, "rank"))).first()[0]
+    target = F.col("cap") if water is None else F.least(F.col("cap"), F.lit(water) * F.col("weight"))
+    return filled.select("source", "rank", "base", "source_size", "weight", target.alias("target"))
 
-def mix(docs: DataFrame, weights=WEIGHTS, max_repeat: int = MAX_REPEAT, share: float = 1.0, seed: int = 0) -> DataFrame:
-    """How many words the mix takes of each document.
 
-    ``docs`` has doc_id, text and source; other columns are ignored. Returns doc_id, size,
-    source_size, target and taken (``size`` times the number of copies taken), one row per
-    input row. Documents of a source are shuffled by the MD5 of seed and doc_id, so that
-    reruns agree; every pass over a source keeps that order. A null text has size 0, and
-    null is a source of its own. Repeated rows are documents of their own. Documents
-    without words are never taken. An empty table gives an empty result.
+def _mixed_rows(rows: DataFrame, weights, max_repeat: int, share: float, seed: int) -> DataFrame:
+    """``mix`` over rows (doc_id, source, size, text_key, row), with the column row; row is unique.
 
-    Words are counted once and only narrow rows are sorted: by (source, shuffle) for the
-    service of each queue and by finish time for the truncation, both as range sorts in
-    which a large source is spread over many ranges.
+    Rows that agree in all but row are the same document again: which of them is taken is one, so row may break ties.
     """
-    key = F.md5(F.concat_ws(":", F.lit(str(seed)), F.coalesce(F.col("doc_id").cast("string"), F.lit(""))))
-    sizes = written(docs.select("doc_id", "source", word_count(F.col("text")).alias("size")).withColumn("key", key), "sizes")
-    targets = written(source_targets(sizes, weights, max_repeat, share), "targets")
-    order = [F.col("source").asc_nulls_last(), F.col("key"), F.col("doc_id")]
-    served = running_total(sizes, order, "size", "before")
+    shuffle = F.md5(F.concat_ws(":", F.lit(str(seed)), F.coalesce(F.col("doc_id").cast("string"), F.concat(F.lit("null:"), F.hex("text_key")))))
+    targets = written(source_targets(rows, weights, max_repeat, share), "targets")
+    place = ["key", "doc_id", "size", "text_key", "row"]
+    # Documents without words are never taken: they needn't be sorted.
+    some = rows.where("size > 0").withColumn("key", shuffle)
+    served = running_total(some, [F.col("source").asc_nulls_last(), *map(F.col, place)], "size", "before")
+    named = targets.withColumnRenamed("source", "_sm_source").drop("weight")
     served = (
-        served.join(targets.withColumnRenamed("source", "_sm_source"), F.col("source").eqNullSafe(F.col("_sm_source")))
+        served.join(named, F.col("source").eqNullSafe(F.col("_sm_source")))
         .withColumn("served", F.col("before") - F.col("base") + F.col("size"))
-        .drop("_sm_part", "_sm_source", "before", "base", "weight")
+        .drop("_sm_part", "_sm_source", "before", "base")
     )
     served = written(served, "served")
 
     def finish(copy: Column) -> Column:
         return F.try_divide((copy * F.col("source_size") + F.col("served")).cast("double"), F.col("target"))
 
-    copies = (
-        served.where("size > 0 and target > 0")
-        .withColumn("copy", F.explode(F.sequence(F.lit(0), F.lit(max_repeat - 1))))
-        .select(finish(F.col("copy")).alias("finish"), "rank", "key", "doc_id", "size")
-    )
-    place = ["finish", "rank", "key", "doc_id"]
+    place = ["finish", "rank", *place]
+    copies = served.where("target > 0").withColumn("copy", F.explode(F.sequence(F.lit(0), F.lit(max_repeat - 1)))).withColumn("finish", finish(F.col("copy")))
     budget = targets.agg(F.coalesce(F.sum("source_size"), F.lit(0)) * float(share)).first()[0]
-    queue = running_total(copies, [F.col(c) for c in place], "size", "sent")
+    queue = running_total(copies.select(*place), [F.col(c) for c in place], "size", "sent")
     last = queue.where(F.col("sent") + F.col("size") <= F.lit(budget)).agg(F.max(F.struct(*place))).first()[0]
-    if last is None:
-        taken = F.lit(0)
-    else:
-        cut = F.struct(F.lit(last.finish), F.lit(last.rank), F.lit(last.key), F.lit(last.doc_id).cast(dict(served.dtypes)["doc_id"]))
-        taken = sum((F.when(F.struct(finish(F.lit(c)), "rank", "key", "doc_id") <= cut, 1).otherwise(0) for c in range(max_repeat)), F.lit(0))
+    taken = F.lit(0)
+    if last is not None:
+        kinds = dict(queue.dtypes)
+        cut = F.struct(*[F.lit(last[c]).cast(kinds[c]) for c in place])
+        taken = sum((F.when(F.struct(finish(F.lit(c)), *place[1:]) <= cut, 1).otherwise(0) for c in range(max_repeat)), F.lit(0))
         taken = F.when(F.col("target") > 0, taken).otherwise(0)
-    return served.select("doc_id", "size", "source_size", "target", (F.col("size") * taken).cast("long").alias("taken"))
+    columns = ["row", "doc_id", "size", "source_size", "target"]
+    blank = rows.where("size = 0").join(named, F.col("source").eqNullSafe(F.col("_sm_source")))
+    out = served.select(*columns, (F.col("size") * taken).cast("long").alias("taken"))
+    return out.unionByName(blank.select(*columns, F.lit(0).cast("long").alias("taken")))
 
 
-def mixed(docs: DataFrame, **options) -> DataFrame:
-    """``docs`` as the mix takes them: a row for each copy taken, with the columns of ``docs``.
+def _sizes(docs: DataFrame, row: Column) -> DataFrame:
+    text = F.coalesce(F.col("text"), F.lit(""))
+    return docs.select("doc_id", "source", word_count(F.col("text")).alias("size"), F.xxhash64(text).alias("text_key"), row.alias("row"))
 
-    Copies are joined to their texts by doc_id, null-safe. Repeated doc_ids get the mean
-    number of copies of their rows, rounded, so that no text is multiplied by its twins.
+
+def mix(docs: DataFrame, weights=WEIGHTS, max_repeat: int = MAX_REPEAT, share: float = 1.0, seed: int = 0) -> DataFrame:
+    """How many words the mix takes of each document.
+
+    ``docs`` has doc_id, text and source; other columns are ignored. Returns doc_id, size,
+    source_size, target and taken (``size`` times the number of copies taken), one row per
+    input row. Documents of a source are shuffled by the MD5 of seed and doc_id (of the
+    text's hash where doc_id is null), then by doc_id, size and the text's hash, so that
+    reruns agree in whatever order rows come; every pass over a source keeps that order. A
+    null text has size 0, and null is a source of its own. Repeated rows are documents of
+    their own: rows that agree in doc_id, source and text share what is taken of them in
+    any order. Documents without words are never taken. Texts of any length are counted
+    whole. An empty table gives an empty result.
+
+    Words are counted once and only narrow rows are sorted: by (source, shuffle) for the
+    service of each queue and by finish time for the truncation, both as range sorts in
+    which a large source, or one document that is repeated very often, is spread over many ranges.
     """
-    wanted = (
-        mix(docs, **options)
-        .where("taken > 0")
-        .groupBy(F.col("doc_id").alias("_sm_id"))
-        .agg(F.sum(F.col("taken") / F.col("size")).alias("_sm_n"), F.count("*").alias("_sm_rows"))
-        .withColumn("_sm_n", F.round(F.col("_sm_n") / F.col("_sm_rows")).cast("int"))
-        .where("_sm_n > 0")
-    )
-    out = docs.join(wanted, F.col("doc_id").eqNullSafe(F.col("_sm_id")))
+    rows = written(_sizes(docs, F.monotonically_increasing_id()), "sizes")
+    return _mixed_rows(rows, weights, max_repeat, share, seed).drop("row")
+
+
+def mixed(docs: DataFrame, weights=WEIGHTS, max_repeat: int = MAX_REPEAT, share: float = 1.0, seed: int = 0) -> DataFrame:
+    """``docs`` as the mix takes them: a row for each copy taken, with the columns of ``docs``; all else as in ``mix``.
+
+    Rows are numbered and written first, so that each gets its own number of copies, whatever doc_ids repeat or are null.
+    """
+    numbered = written(docs.withColumn("_sm_row", F.monotonically_increasing_id()), "numbered")
+    rows = written(_sizes(numbered, F.col("_sm_row")), "sizes")
+    taken = _mixed_rows(rows, weights, max_repeat, share, seed).where("taken > 0")
+    wanted = taken.select(F.col("row").alias("_sm_taken"), (F.col("taken") / F.col("size")).cast("int").alias("_sm_n"))
+    out = numbered.join(wanted, F.col("_sm_row") == F.col("_sm_taken"))
     return out.withColumn("_sm_copy", F.explode(F.sequence(F.lit(1), F.col("_sm_n")))).select(*[F.col(f"`{c}`") for c in docs.columns])

@@ -2,9 +2,11 @@
 
 import hashlib
 import math
+import random
 
 import numpy as np
 import pytest
+import xxhash
 
 from siltmark.llm import mixing, topk
 from tests.llm.fixtures import documents, empty, frame
@@ -78,38 +80,61 @@ def plain_targets(sizes, share=1.0):
 
 
 def plain_mix(rows):
+    """(doc_id, size, source size, target, taken) of every row."""
     sizes, docs = {}, {}
-    for i, text, source in rows:
+    for at, (i, text, source) in enumerate(rows):
         n = len((text or "").encode().split())
-        key = hashlib.md5(f"0:{'' if i is None else i}".encode()).hexdigest()
-        docs.setdefault(source, []).append((key, -1 if i is None else i, n))
+        h = xxhash.xxh64_intdigest((text or "").encode(), 42)
+        name = f"0:null:{h:X}" if i is None else f"0:{i}"
+        signed = h - (1 << 64) if h >> 63 else h
+        docs.setdefault(source, []).append((hashlib.md5(name.encode()).hexdigest(), i is not None, i or 0, n, signed, at))
         sizes[source] = sizes.get(source, 0) + n
     targets = plain_targets(sizes)
     names = sorted(sizes, key=lambda s: (s is None, s or ""))
     packets = []
     for rank, s in enumerate(names):
         served = 0
-        for key, i, n in sorted(docs[s]):
+        for key, *rest, n, h, at in sorted(docs[s]):
             served += n
             if n and targets[s]:
-                packets += [((c * sizes[s] + served) / targets[s], rank, key, i, n) for c in range(3)]
+                packets += [((c * sizes[s] + served) / targets[s], rank, key, *rest, n, h, at) for c in range(3)]
     sent, taken = 0, {}
-    for *_, i, n in sorted(packets):
+    for *_, n, _, at in sorted(packets):
         if (sent := sent + n) > sum(sizes.values()):
             break
-        taken[i] = taken.get(i, 0) + n
-    return sizes, targets, taken
+        taken[at] = taken.get(at, 0) + n
+    return [(i, len((text or "").encode().split()), sizes[s], round(targets[s], 6), taken.get(at, 0)) for at, (i, text, s) in enumerate(rows)]
+
+
+def repeated_documents():
+    """Documents with repeated and null doc_ids, equal and other texts under one doc_id, and rows that repeat."""
+    rows = documents()
+    for i in range(40):
+        rows.append((None, f"w {i % 7} " * (i % 9), "en", "s1", 5, "x", 1))
+        rows.append((7, "v " * (i % 5 + 1), "en", "s2", 5, "x", 1))
+        rows.append((8, "same words again", "en", "s3", 5, "x", 1))
+    return rows
+
+
+def _rounded(rows):
+    return sorted(((r.doc_id, r.size, r.source_size, round(r.target, 6), r.taken) for r in rows), key=str)
 
 
 def test_mix(spark):
-    rows = [(r[0], r[1], r[3]) for r in documents()][:-1]
-    out = mixing.mix(frame(spark).dropDuplicates()).collect()
-    sizes, targets, taken = plain_mix(rows)
-    source = {r[0]: r[2] for r in rows}
-    for r in out:
-        assert r.source_size == sizes[source[r.doc_id]] and r.target == pytest.approx(targets[source[r.doc_id]])
-        assert r.taken == taken.get(r.doc_id, 0) and r.taken <= 3 * r.size
-    assert len(out) == len(rows) and sorted(out) == sorted(mixing.mix(frame(spark).dropDuplicates()).collect())
+    rows = repeated_documents()
+    want = sorted(plain_mix([(r[0], r[1], r[3]) for r in rows]), key=str)
+    assert all(r[4] <= 3 * r[1] for r in want)
+    for seed in range(3):
+        random.Random(seed).shuffle(rows)
+        docs = spark.createDataFrame(rows, frame(spark).schema).repartition(seed + 1)
+        assert _rounded(mixing.mix(docs).collect()) == want
+
+
+def test_many_sources(spark):
+    """As many sources as documents, with ties in size."""
+    rows = [(i, "w " * (i % 7), None if i == 0 else f"host{i}") for i in range(300)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    assert _rounded(mixing.mix(docs).collect()) == sorted(plain_mix(rows), key=str)
 
 
 def test_small_sources_are_capped(spark):
@@ -122,13 +147,17 @@ def test_small_sources_are_capped(spark):
 
 
 def test_mixed_documents(spark):
-    docs = frame(spark).dropDuplicates()
-    want = {r.doc_id: r.taken // r.size for r in mixing.mix(docs).collect() if r.taken}
+    rows = repeated_documents()
+    docs = spark.createDataFrame(rows, frame(spark).schema)
+    want = {}
+    for (i, *_, taken), r in zip(plain_mix([(r[0], r[1], r[3]) for r in rows]), rows):
+        n = len((r[1] or "").encode().split())
+        if taken:
+            want[i, r[1], r[3]] = want.get((i, r[1], r[3]), 0) + taken // n
     out = mixing.mixed(docs)
     got = {}
     for r in out.collect():
-        got[r.doc_id] = got.get(r.doc_id, 0) + 1
+        got[r.doc_id, r.text, r.source] = got.get((r.doc_id, r.text, r.source), 0) + 1
     assert got == want and out.columns == docs.columns
     assert mixing.mix(empty(spark)).count() == 0 and mixing.mixed(empty(spark)).count() == 0
     assert mixing.mix(frame(spark)).count() == len(documents())
-
