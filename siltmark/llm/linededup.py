@@ -15,7 +15,7 @@ LG_BUCKETS = 12
 
 def line_key(line: Column) -> Column:
     """128 bits that stand for a line (without its outer blanks and tabs); null for a line of blanks alone."""
-    bare = F.regexp_replace(line, r"^[ \t\r]+|[ \t\r]+$", "")
+    bare = F.btrim(line, F.lit(" \t\r"))
     return F.when(bare != "", F.struct(F.xxhash64(bare).alias("h1"), F.xxhash64(bare, F.lit(1)).alias("h2")))
 
 
@@ -48,36 +48,40 @@ def without_boilerplate(docs: DataFrame, site: str = "source", min_sites: int =
     ``min_sites`` different sites or more; a null site is a site of its own. Every
     occurrence goes; other lines, empty ones among them, stay in their order, joined by
     line ends. Two columns are added: ``_sm_lines`` and ``_sm_removed``, lines before and
-    lines taken out. A null text stays null, with 0 lines. Documents are told apart by
-    doc_id, null-safe; rows that repeat one are cleaned each. All other columns are kept.
+    lines taken out. A null text stays null, with 0 lines; an empty one has one line. Texts
+    are told apart by doc_id and a hash, null-safe, so rows that repeat one are cleaned each.
+    All other columns are kept; an empty table gives an empty result. A line or a text may
+    be as long as a row can be: time is in proportion to its length.
     With ``copies_once`` rows of equal text count as one document, of the least of their
     sites, so that a whole document that is copied over sites is no boilerplate.
 
-    Only keys and ids of lines are shuffled by line, where partial aggregation and skew
-    splitting take care of very frequent ones; texts meet the keys of their own bad lines
-    by doc_id.
+    Only keys and numbers of lines are shuffled by line, where partial aggregation and skew
+    splitting take care of very frequent ones; texts meet the numbers of their own bad lines
+    by doc_id and hash. The numbers of the lines that stay are a set difference, in linear time.
     """
     text = F.col("text")
+    digest = F.xxhash64(F.coalesce(text, F.lit("")))
     place = F.coalesce(F.col(site).cast("string"), F.lit("\u0000null"))
-    occurrences = docs.select(F.col("doc_id").alias("_sm_id"), place.alias("site"), F.explode(_lines(text)).alias("line"))
-    keyed = occurrences.withColumn("k", line_key(F.col("line"))).where("k is not null").select("_sm_id", "site", "k.h1", "k.h2")
-    narrow = written(keyed, "lines")
+    occurrences = docs.select(F.col("doc_id").alias("_sm_id"), digest.alias("_sm_hash"), F.xxhash64(text, F.lit(1)).alias("_sm_hash2"), place.alias("site"), F.posexplode(_lines(text)).alias("at", "line"))
+    keyed = occurrences.withColumn("k", line_key(F.col("line"))).where("k is not null")
+    more = ["_sm_hash2"] if copies_once else []
+    narrow = written(keyed.select("_sm_id", "_sm_hash", *more, "site", "at", "k.h1", "k.h2"), "lines")
     counted = narrow.select("h1", "h2", "site")
     if copies_once:
-        texts = docs.where(text.isNotNull()).groupBy("text").agg(F.min(place).alias("site"))
-        lines_once = texts.select("site", F.explode(_lines(text)).alias("line")).withColumn("k", line_key(F.col("line")))
-        counted = written(lines_once.where("k is not null").select("k.h1", "k.h2", "site"), "counted")
+        firsts = narrow.groupBy(F.col("_sm_hash").alias("t1"), F.col("_sm_hash2").alias("t2")).agg(F.min("site").alias("first"), F.count_distinct("site").alias("n"))
+        moved = written(firsts.where("n > 1").drop("n"), "firsts")
+        counted = narrow.join(moved, (F.col("_sm_hash") == F.col("t1")) & (F.col("_sm_hash2") == F.col("t2")), "left").select("h1", "h2", F.coalesce("first", "site").alias("site"))
     bad = written(site_counts(counted, min_sites, lg_buckets), "boilerplate")
     hit = narrow.join(bad.toDF("b1", "b2"), (F.col("h1") == F.col("b1")) & (F.col("h2") == F.col("b2")))
-    per_doc = hit.groupBy("_sm_id").agg(F.collect_set(F.struct("h1", "h2")).alias("_sm_bad"))
-    joined = docs.join(per_doc, F.col("doc_id").eqNullSafe(F.col("_sm_id")), "left")
-    lines = _lines(text)
-    kept = F.filter(lines, lambda x: ~F.coalesce(F.array_contains(F.col("_sm_bad"), line_key(x)), F.lit(False)))
-    clean = F.when(F.col("_sm_bad").isNull(), text).otherwise(F.array_join(kept, "\n"))
-    n = F.coalesce(F.size(lines), F.lit(0))
+    per_doc = hit.groupBy("_sm_id", "_sm_hash").agg(F.collect_set("at").alias("_sm_bad"))
+    joined = docs.join(per_doc, F.col("doc_id").eqNullSafe(F.col("_sm_id")) & (digest == F.col("_sm_hash")), "left")
+    split = joined.withColumn("_sm_split", F.when(F.col("_sm_bad").isNotNull(), _lines(text)))
+    last = F.size("_sm_split") - 1
+    stay = F.array_except(F.sequence(F.lit(0), last), F.col("_sm_bad"))
+    clean = F.when(F.col("_sm_bad").isNull(), text).otherwise(F.array_join(F.transform(stay, lambda i: F.get("_sm_split", i)), "\n"))
+    n = F.when(text.isNull(), 0).otherwise(F.length(text) - F.length(F.replace(text, F.lit("\n"), F.lit(""))) + 1)
     columns = [clean.alias("text") if c == "text" else F.col(f"`{c}`") for c in docs.columns]
-    removed = F.when(F.col("_sm_bad").isNull(), F.lit(0)).otherwise(n - F.size(kept))
-    return joined.select(*columns, F.when(text.isNull(), 0).otherwise(n).cast("long").alias("_sm_lines"), F.coalesce(removed, F.lit(0)).cast("long").alias("_sm_removed"))
+    return split.select(*columns, n.cast("long").alias("_sm_lines"), F.coalesce(F.size("_sm_bad"), F.lit(0)).cast("long").alias("_sm_removed"))
 
 
 def cleaned(docs: DataFrame, **options) -> DataFrame:

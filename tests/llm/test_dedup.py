@@ -121,6 +121,16 @@ def test_line_dedup(spark):
     assert linededup.cleaned(docs).columns == docs.columns and linededup.cleaned(empty(spark)).count() == 0
 
 
+def test_lines_of_long_texts_and_repeated_ids(spark):
+    """Long blank runs, many lines of which many go, and texts that share a doc_id."""
+    common = [f"common {i}" for i in range(3000)]
+    rows = [(i, "\n".join(common + [f"own {i}"]), None, f"s{i}", 1, "x", 1) for i in range(6)]
+    rows += [(50, "a" + " " * 200_000 + "b\ncommon 1", None, "s1", 1, "x", 1), (50, "common 2\nkept", None, "s1", 1, "x", 1), (None, "common 3\nnull id", None, "s1", 1, "x", 1)]
+    docs = spark.createDataFrame(rows, frame(spark).schema)
+    out = {(r.doc_id, r.text): (r["_sm_lines"], r["_sm_removed"]) for r in linededup.without_boilerplate(docs).collect()}
+    assert out == {(i, f"own {i}"): (3001, 3000) for i in range(6)} | {(50, rows[6][1].split("\n")[0]): (2, 1), (50, "kept"): (2, 1), (None, "null id"): (2, 1)}
+
+
 def test_shared_passages(spark):
     rows = documents()
     found = substr.shared_passages(frame(spark)).collect()
