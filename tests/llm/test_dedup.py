@@ -151,6 +151,18 @@ def test_shared_passages(spark):
     assert substr.shared_passages(spark.createDataFrame([(None, "a " * 80), (1, "b " * 80)], "doc_id long, text string")).count() == 0
 
 
+def test_texts_that_share_a_doc_id(spark, monkeypatch):
+    """No link is lost where a doc_id is repeated with other texts; a hot text goes to several tasks."""
+    rng = np.random.default_rng(9)
+    a, b, c = (" ".join(f"v{x}" for x in rng.integers(0, 10**6, 120)) for _ in range(3))
+    rows = [(1, a), (1, b), (2, b), (3, a), (1, a), (4, a + " " + b), (5, c), (5, c + " " + a), (3, a)]
+    monkeypatch.setattr(substr, "TASK_CHAINS", 1)
+    monkeypatch.setattr(substr, "HELD_WORDS", 16)
+    found = substr.shared_passages(spark.createDataFrame([(i, t, "x", 1) for i, t in rows], "doc_id long, text string, words string, place int")).collect()
+    got = sorted((r.doc_id, r.ref_doc_id, r.start, r.end, r.ref_start, r.ref_end) for r in found)
+    assert got == [(2, 1, 0, 120, 0, 120), (3, 1, 0, 120, 0, 120), (4, 1, 0, 120, 0, 120), (4, 1, 120, 240, 0, 120), (5, 1, 120, 240, 0, 120)]
+
+
 def test_passages_are_cut(spark):
     out = {r.doc_id: r.text for r in substr.without_passages(frame(spark).where("doc_id <> 3")).collect()}
     texts = {r[0]: r[1] for r in documents()}
