@@ -20,14 +20,15 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from siltmark.llm import rangecoder
 from siltmark.llm.tokens import encoder, no_collection, tokenizer_path
+from siltmark.operators.ranking import running_total
 from siltmark.plans.session import ship_package, written
 
-MAGIC = b"SLTK1\0"
+MAGIC = b"SLTK2\0"
 BLOCK_IDS = 2048
 #: A chunk is closed at so many ids; documents stay whole, so a long one makes a larger chunk.
 CHUNK_IDS = 1 << 20
@@ -142,13 +143,15 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str = "word_bpe_49k.json
     """Encodes ``docs`` (doc_id, text) and stores the ids at ``path``, by ascending doc_id.
 
     ``end_id`` follows each document. A null text is empty; null doc_ids come first;
-    repeated rows are stored each. Texts are dealt by ranges of doc_id, which is the one
-    shuffle, and encoded where they arrive; Spark's own writer commits the files, so a
+    repeated rows are stored each, and those with one doc_id by a hash of their texts, so that they too are spread
+    over ranges. Other columns are ignored. Texts are dealt by ranges, which is the one
+    shuffle, and encoded where they arrive, whole, however long; Spark's own writer commits the files, so a
     task that is run again leaves nothing behind. An empty table makes an empty store.
     """
     ship_package(docs.sparkSession)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text"))
-    ordered = rows.repartitionByRange("doc_id").sortWithinPartitions("doc_id")
+    order = [F.col("doc_id"), F.xxhash64(F.coalesce("text", F.lit("")))]
+    ordered = rows.repartitionByRange(*order).sortWithinPartitions(*order)
     ordered.mapInArrow(_writer(tokenizer, end_id), "segment int, chunk int, n_tokens long, n_docs long, data binary").write.parquet(path)
 
 
@@ -156,13 +159,13 @@ def read_tokens(spark: SparkSession, path: str) -> DataFrame:
     """(doc_id, start, n_tokens, ids) of a store; ids are little-endian unsigned 32 bits.
 
     ``start`` counts the ids of all documents before. It comes from the chunks' counts (a
-    row for about a million ids), which are summed up in one small window; then chunks are
+    row for about a million ids), which are summed up by ranges; then chunks are
     decoded where they are read.
     """
     ship_package(spark)
     chunks = spark.read.parquet(path)
-    order = Window.orderBy("segment", "chunk").rowsBetween(Window.unboundedPreceding, -1)
-    base = chunks.select(F.col("segment").alias("s"), F.col("chunk").alias("c"), F.coalesce(F.sum("n_tokens").over(order), F.lit(0)).alias("base"))
+    counts = chunks.select(F.col("segment").alias("s"), F.col("chunk").alias("c"), "n_tokens")
+    base = running_total(counts, [F.col("s"), F.col("c")], "n_tokens", "base").select("s", "c", "base")
     base = written(base, "bases")  # its size is known then, so a small one is broadcast and data isn't shuffled
     placed = chunks.join(base, (F.col("segment") == F.col("s")) & (F.col("chunk") == F.col("c"))).select("base", "data")
     names = ["doc_id", "start", "n_tokens", "ids"]
