@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import contextlib
 import gc
+import json
 import os
 import re
 import string
@@ -14,8 +15,8 @@ from collections.abc import Iterator
 TWO_SPACES = re.compile(r"\s\s")
 #: ASCII punctuation but the apostrophe, which may begin a pre-token of its own.
 MARKS = "".join(c for c in string.punctuation if c != "'")
-#: Words that a worker keeps, in each of its caches.
-CACHE_WORDS = 750_000
+#: What a worker's caches of words may take, in bytes, and what an entry takes besides its characters and ids.
+CACHE_BYTES, ENTRY_BYTES = 128 << 20, 180
 
 
 def _byte_letters() -> dict[int, int]:
@@ -33,29 +34,40 @@ def _packed(ids: list[int]) -> bytes:
 
 
 class _Words(dict):
-    """Ids (little-endian unsigned 16 bits) by word; ``lead`` stands before each word in its text."""
+    """Ids (little-endian unsigned 16 bits) by word; ``lead`` stands before each word in its text.
 
-    def __init__(self, tokenizer, lead: str, lower: bool):
+    ``room`` is a list of one number, the bytes that may still be kept; caches may share it.
+    """
+
+    def __init__(self, tokenizer, lead: str, lower: bool, room: list[int]):
         super().__init__()
         self.tokenizer, self.lead, self.lower = tokenizer, lead, lower
         self.model, self.letters = tokenizer.model, _byte_letters()
         self.lead_letters = lead.translate(self.letters)
-        self.tokenize, self.room = self.model.tokenize, CACHE_WORDS
+        self.tokenize, self.room = self.model.tokenize, room
         self.pair = [i.to_bytes(2, "little") for i in range(tokenizer.get_vocab_size())]
         self.marks: dict[str, bytes] = {}
 
     def _encode(self, text: str) -> bytes:
         return _packed(self.tokenizer.encode(text, add_special_tokens=False).ids)
 
+    def _keep(self, word: str, ids: bytes) -> None:
+        if self.room[0] > 0:
+            self.room[0] -= ENTRY_BYTES + len(word) + len(ids)
+            self[word] = ids
+
     def __missing__(self, word: str) -> bytes:
         # Letters below U+0130 are one pre-token, and marks behind them another: the letters go to the model as they are.
         stem = word.rstrip(MARKS)
         if stem.isalpha() and (stem.isascii() or max(stem) < "İ"):
             text = stem.lower() if self.lower else stem
-            if not text.isascii():
-                text = text.encode().decode("latin-1").translate(self.letters)
-            pair = self.pair
-            ids = b"".join([pair[t.id] for t in self.tokenize(self.lead_letters + text)])
+            ids = self.get(text)  # the same letters may have been seen with other marks or in another case
+            if ids is None:
+                plain = text if text.isascii() else text.encode().decode("latin-1").translate(self.letters)
+                pair = self.pair
+                ids = b"".join([pair[t.id] for t in self.tokenize(self.lead_letters + plain)])
+                if text != word:
+                    self._keep(text, ids)
             if tail := word[len(stem) :]:
                 mark = self.marks.get(tail)
                 if mark is None:
@@ -65,9 +77,7 @@ class _Words(dict):
                 ids += mark
         else:
             ids = self._encode(self.lead + word)
-        if self.room:
-            self.room -= 1
-            self[word] = ids
+        self._keep(word, ids)
         return ids
 
 
@@ -83,25 +93,43 @@ def no_collection() -> Iterator[None]:
             gc.enable()
 
 
+def drops_space(tokenizer) -> bool:
+    """Whether a file lower-cases and drops white space; False for a plain byte-level file. Others raise ValueError."""
+    spec = json.loads(tokenizer.to_str())
+    normal, pre = spec["normalizer"], spec["pre_tokenizer"] or {}
+    steps = [normal, *normal.get("normalizers", [])] if normal else []
+    cuts = [pre, *pre.get("pretokenizers", [])]
+    levels = [c for c in cuts if c.get("type") == "ByteLevel"]
+    if not steps and len(cuts) == len(levels) == 1 and not levels[0]["add_prefix_space"] and levels[0].get("use_regex", True):
+        return False
+    splits = [c for c in cuts if c.get("type") == "Split" and c["behavior"] == "Removed" and c["invert"]]
+    if any(x["type"] == "Lowercase" for x in steps) and levels and splits and not any(c["add_prefix_space"] or c.get("use_regex", True) for c in levels):
+        return True
+    raise ValueError("a tokenizer file of another kind")
+
+
 class Encoder:
     """``ids(text)`` equals ``encode(text, add_special_tokens=False).ids`` of the tokenizers library.
 
-    Words are cut only where the tokenizer itself always cuts: at spaces and line ends.
-    A word-level file (``byte_level=False``) drops white space; a byte-level file gives a
+    Words are cut only where the tokenizer itself always cuts: at spaces and line ends. That
+    is known for two kinds of files, and any other is refused: a file whose normalizer
+    lower-cases and whose pre-tokenizer drops white space (a word's ids then don't depend on what
+    stands around it), and a byte-level file without a normalizer, which gives a
     single space to the word after it. Texts with two white-space characters in a row are
     encoded as they are by a byte-level file.
     """
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, cache_bytes: int = CACHE_BYTES):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         if self.tokenizer.get_vocab_size() > 1 << 16:
             raise ValueError("ids must fit 16 bits")
-        self.drops_space = self.tokenizer.normalizer is not None
-        self.first = _Words(self.tokenizer, "", self.drops_space)
-        self.later = self.first if self.drops_space else _Words(self.tokenizer, " ", False)
+        self.drops_space = drops_space(self.tokenizer)
+        room = [cache_bytes]
+        self.first = _Words(self.tokenizer, "", self.drops_space, room)
+        self.later = self.first if self.drops_space else _Words(self.tokenizer, " ", False, room)
         self.line_end = b"" if self.drops_space else self.first._encode("\n")
 
     def ids(self, text: str | None) -> bytes:
