@@ -16,9 +16,10 @@ class HashArray:
 
     def __init__(self, codes: np.ndarray):
         hashes = codes.astype(np.uint64) * _MIX
-        self.order = np.argsort(hashes, kind="stable")
+        self.order = np.argsort(hashes, kind="stable")  # only the builder needs it
         self.hashes = hashes[self.order]
-        self.bits = max(1, int(4 * len(codes)).bit_length())
+        self.size = len(codes)
+        self.bits = max(1, len(codes).bit_length())
         starts = np.searchsorted(self.hashes, np.arange(1 << self.bits, dtype=np.uint64) << np.uint64(64 - self.bits))
         self.starts = starts.astype(np.int32)
         self.probes = int(np.diff(np.append(starts, len(codes))).max(initial=0))
@@ -30,7 +31,7 @@ class HashArray:
         at = self.starts[h >> np.uint64(64 - self.bits)]
         for _ in range(self.probes - 1):
             at += self.hashes[at] < h
-        return np.where((self.hashes[at] == h) & (at < len(self.order)), at, -1)
+        return np.where((self.hashes[at] == h) & (at < self.size), at, -1)
 
 
 def _discounts(counts: np.ndarray, modified: bool) -> np.ndarray:
@@ -77,42 +78,57 @@ class CharModel:
         if level == 0:
             return np.full(len(codes), -np.log(self.symbols))
         codes = codes & np.uint64((1 << 8 * level) - 1)
-        have, logs, contexts, spare = self.levels[level - 1]
-        if not len(have):
+        have, logs, contexts, _ = self.levels[level - 1]
+        if not len(contexts):
             return self.log_prob(codes, level - 1)
         at = np.minimum(np.searchsorted(have, codes), len(have) - 1)
         out = logs[at]
         lost = np.flatnonzero(have[at] != codes)
         if len(lost):
-            less = codes[lost]
-            context = less >> np.uint64(8)
-            c = np.minimum(np.searchsorted(contexts, context), len(contexts) - 1)
-            out[lost] = np.where(contexts[c] == context, spare[c], 0.0) + self.log_prob(less, level - 1)
+            out[lost] = self.backed_off(codes[lost], level)
         return out
 
+    def backed_off(self, codes: np.ndarray, level: int) -> np.ndarray:
+        """``log_prob`` of n-grams that were not seen at ``level``."""
+        *_, contexts, spare = self.levels[level - 1]
+        if not len(contexts):
+            return self.log_prob(codes, level - 1)
+        codes = codes & np.uint64((1 << 8 * level) - 1)
+        context = codes >> np.uint64(8)
+        c = np.minimum(np.searchsorted(contexts, context), len(contexts) - 1)
+        return np.where(contexts[c] == context, spare[c], 0.0) + self.log_prob(codes, level - 1)
+
 
 class Scorer:
-    """Several models in one hash array: a row of log probabilities, one a model, for every n-gram that any has seen."""
+    """Several models in one hash array: a row of log probabilities, one a model, for every n-gram that any has seen.
+
+    The models' own tables of longest n-grams go: what the array lacks no model has seen.
+    """
 
     def __init__(self, models: list[CharModel]):
         self.models, self.order = models, models[0].order
-        self.codes = np.unique(np.concatenate([m.levels[-1][0] for m in models]))
-        self.array = HashArray(self.codes)
-        rows = np.stack([m.log_prob(self.codes) for m in models], axis=1).astype(np.float32)
+        codes = np.unique(np.concatenate([m.levels[-1][0] for m in models]))
+        self.array = HashArray(codes)
+        rows = np.stack([m.log_prob(codes) for m in models], axis=1).astype(np.float32)
         self.rows = np.ascontiguousarray(rows[self.array.order])
+        self.array.order = None
+        for m in models:
+            m.levels[-1] = (None, None, *m.levels[-1][2:])
 
     def score(self, codes: np.ndarray) -> np.ndarray:
+        if not self.array.size:
+            return np.stack([m.backed_off(codes, self.order) for m in self.models], axis=1)
         at = self.array.find(codes)
         out = self.rows[at]
         lost = np.flatnonzero(at < 0)
         if len(lost):
-            out[lost] = np.stack([m.log_prob(codes[lost]) for m in self.models], axis=1)
+            out[lost] = np.stack([m.backed_off(codes[lost], self.order) for m in self.models], axis=1)
         return out
 
     @property
     def nbytes(self) -> int:
-        held = [a.nbytes for m in self.models for level in m.levels for a in level]
-        return self.array.hashes.nbytes + self.array.starts.nbytes + self.array.order.nbytes + self.rows.nbytes + self.codes.nbytes + sum(held)
+        held = [a.nbytes for m in self.models for level in m.levels for a in level if a is not None]
+        return self.array.hashes.nbytes + self.array.starts.nbytes + self.rows.nbytes + sum(held)
 
 
 def codes_of(classes: np.ndarray, order: int) -> np.ndarray:

@@ -162,9 +162,11 @@ def test_entropy_equals_plain_model(spark):
     docs = spark.createDataFrame([r for r in corpus() if r[1]][:40], "doc_id long, text string, lang string")
     counts = Counter()
     texts = {r.doc_id: r.text for r in docs.collect()}
+    letters = quality.alphabets(docs)["en"]
+    assert set(letters) == {c for t in texts.values() for c in t if c.isalpha()}
     grams = {}
     for d, t in texts.items():
-        c = [0, 0, 0, *quality.classes(t).tolist()]
+        c = [0, 0, 0, *quality.classes(t, letters).tolist()]
         grams[d] = [tuple(c[i : i + 4]) for i in range(len(c) - 3)]
         counts.update(grams[d])
     plain = plain_kneser_ney(counts, 4, quality.CLASS_COUNT, True)
@@ -173,6 +175,32 @@ def test_entropy_equals_plain_model(spark):
         assert out[d] == pytest.approx(-sum(math.log(plain(g)) for g in grams[d]) / len(grams[d]), abs=1e-4)
 
 
+def test_other_scripts_have_classes_of_their_own(spark):
+    """Scrambled Cyrillic words are told from real ones by their letters alone."""
+    rng = random.Random(12)
+    syllables = ["на", "то", "ко", "ли", "ва", "ре", "ми", "до"]
+    word = lambda: "".join(rng.choice(syllables) for _ in range(rng.randint(1, 4)))
+    text = lambda: " ".join(word() for _ in range(rng.randint(100, 200)))
+
+    def scrambled(t):
+        return " ".join("".join(rng.sample(list(w), len(w))) for w in t.split())
+
+    rows = [(i, text(), "ru") for i in range(80)] + [(100 + i, scrambled(text()), "ru") for i in range(3)]
+    out = {r.doc_id: r.kept for r in quality.quality(spark.createDataFrame(rows, "doc_id long, text string, lang string")).collect()}
+    assert sum(out[i] for i in range(80)) >= 78 and not any(out[100 + i] for i in range(3))
+
+
+def test_models_too_large_to_send_take_turns(spark, monkeypatch):
+    """The same scores if each language is a round of its own; languages without a model and clashing columns go along."""
+    rows = [(*r, "clash") for r in speech(200)] + [(900, None, "none", "clash"), (901, "αβ " * 60, None, "clash")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, entropy string")
+    once = {r.doc_id: (r.entropy, r.kept) for r in quality.quality(docs).collect()}
+    monkeypatch.setattr(quality, "MODEL_BYTES", 1)
+    turns = {r.doc_id: (r.entropy, r.kept) for r in quality.quality(docs).collect()}
+    assert turns == once and len(once) == 202
+    assert {r.doc_id for r in quality.kept_documents(docs).collect()} == {d for d, (_, k) in once.items() if k}
+
+
 def test_quality_of_odd_tables(spark):
     assert quality.quality(empty(spark)).count() == 0 and quality.kept_documents(empty(spark)).count() == 0
     out = quality.kept_documents(frame(spark))
