@@ -10,12 +10,16 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from siltmark.llm.ngram import CharModel, Scorer, add_counts, codes_of, parts
-from siltmark.plans.session import ship_package
+from siltmark.plans.session import ship_package, written
 
 ORDER = 4
 #: About so many documents of each language are learned from, and a fifth of them calibrates.
 SAMPLE_DOCS = 2500
 UNKNOWN = "und"
+#: Of a language's calibration texts such a share is rejected, were they all of median length.
+REJECTED = 0.005
+#: A text is never rejected that is less than this share above its language's median.
+LEAST_ABOVE = 0.02
 _MAX_MODEL_BYTES = 256 << 20
 
 
@@ -47,7 +51,8 @@ class Identifier:
     def __init__(self, langs: list[str], letters: Letters, scorer: Scorer):
         self.langs, self.letters, self.scorer = langs, letters, scorer
         self.sharpness = 1.0
-        self.highest = np.full(len(langs), np.inf)
+        #: Per language: median cross-entropy and length of its own texts, and how far above the median a text is rejected.
+        self.middle, self.typical, self.above = np.zeros(len(langs)), np.ones(len(langs)), np.full(len(langs), np.inf)
 
     def entropies(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
         """Nats per class under each model (texts x languages), and classes per text; 0 classes mean no letter."""
@@ -65,6 +70,11 @@ class Identifier:
             out[at], length[at] = -sums / sizes[:, None], sizes
         return out, length
 
+    def limits(self, lang: np.ndarray, length: np.ndarray) -> np.ndarray:
+        """The cross-entropy above which texts are rejected: a mean over fewer characters strays farther, by the root of their number."""
+        shorter = np.sqrt(self.typical[lang] / np.maximum(length, 1))
+        return self.middle[lang] + self.above[lang] * np.maximum(1.0, shorter)
+
     def predict(self, texts: list[str | None]) -> tuple[list[str], np.ndarray, np.ndarray]:
         """Language, score from 0 to 1 and whether it is rejected."""
         entropy, length = self.entropies(texts)
@@ -72,7 +82,7 @@ class Identifier:
         least = entropy[np.arange(len(best)), best]
         lead = np.sqrt(np.maximum(length, 1))[:, None] * self.sharpness * (least[:, None] - entropy)
         score = np.where(length > 0, 1 / np.exp(lead).sum(axis=1), 0.0)
-        rejected = (length == 0) | (least > self.highest[best])
+        rejected = (length == 0) | (least > self.limits(best, length))
         return [self.langs[i] if n else UNKNOWN for i, n in zip(best, length)], score, rejected
 
 
@@ -80,7 +90,7 @@ def _sampled(docs: DataFrame, learn: Column, sample_docs: int) -> DataFrame:
     known = docs.where(learn & F.col("lang").isNotNull() & F.col("text").isNotNull())
     limits = known.groupBy("lang").agg(F.ceil(F.least(F.lit(1.0), F.lit(float(sample_docs)) / F.count("*")) * (1 << 30)).cast("long").alias("_sm_limit"))
     part = F.pmod(F.xxhash64("doc_id", F.lit(17)), F.lit(1 << 30))
-    picked = known.join(F.broadcast(limits), "lang").where(part < F.col("_sm_limit"))
+    picked = known.join(written(limits, "limits"), "lang").where(part < F.col("_sm_limit"))
     return picked.select("lang", "text", (F.pmod(F.xxhash64("doc_id", F.lit(23)), F.lit(5)) == 0).alias("calibrates"))
 
 
@@ -114,8 +124,9 @@ def fit(docs: DataFrame, learn: Column, sample_docs: int = SAMPLE_DOCS) -> Ident
     About ``sample_docs`` documents of each language (chosen by a hash of doc_id; all where
     there are fewer) are used, whole: the bound of this classifier's training sample. Four
     fifths count n-grams, the rest calibrate: the sharpness of scores so that they fit how
-    often predictions are right, and per language the cross-entropy above which a text is
-    rejected (the largest of the sample and a tenth more). None if nothing can be learned.
+    often predictions are right, and per language the cross-entropy above which a text of
+    its length is rejected (``REJECTED`` of the calibration texts are). None if nothing can be learned. Rows without text or
+    language are left out, repeated rows count each; texts are read whole.
     """
     ship_package(docs.sparkSession)
     sample = _sampled(docs, learn, sample_docs).persist()
@@ -166,18 +177,22 @@ def _calibrate(model: Identifier, held: DataFrame) -> None:
             best = (loss, sharpness)
     model.sharpness = float(best[1])
     for i in range(len(model.langs)):
-        own = entropy[truth == i, i]
+        own, length = entropy[truth == i, i], rows["length"].to_numpy()[truth == i]
         if len(own):
-            model.highest[i] = own.max() * 1.1
+            model.middle[i], model.typical[i] = np.median(own), np.median(length)
+            # Each text's distance as it would be at the median length; a small sample's largest stands for the quantile.
+            far = (own - model.middle[i]) / np.maximum(1.0, np.sqrt(model.typical[i] / length))
+            model.above[i] = max(np.quantile(far, 1 - REJECTED, method="higher"), LEAST_ABOVE * model.middle[i])
 
 
 def identify(docs: DataFrame, model: Identifier | None) -> DataFrame:
     """(doc_id, lang_pred, score, rejected) for every row of ``docs`` (doc_id, text).
 
     lang_pred has the lowest cross-entropy per character; ``score`` is its calibrated
-    probability. ``rejected`` tells that even the best model fits worse than any text of its
-    language in the sample. A null text, one without a letter, and every text if the model
-    is None, get ``und``, score 0 and rejected. Rows keep their order and number.
+    probability. ``rejected`` tells that even the best model fits worse than all but a few texts of its
+    language and length in the sample. A null text, one without a letter, and every text if the model
+    is None, get ``und``, score 0 and rejected. Repeated rows and null doc_ids get a row each, other columns are
+    ignored, texts are read whole (in parts, if many or long), and an empty table gives an empty result.
     """
     spark = docs.sparkSession
     ship_package(spark)

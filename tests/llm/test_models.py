@@ -91,6 +91,27 @@ def test_languages_are_told_apart(spark):
     assert all(odd[i].lang_pred == "und" and odd[i].score == 0 and odd[i].rejected for i in (900, 901, 902)) and odd[903].lang_pred == "gr"
 
 
+def test_rejection_and_calibration(spark):
+    """Of unseen texts few are rejected, of texts in no known language nearly all; limits and sharpness equal plain ones."""
+    rows = speech(900)
+    rng = random.Random(77)
+    junk = [(5000 + i, " ".join("".join(rng.choice("etaoinshrdlubcdfgkmpqvwz") for _ in range(9)) for _ in range(rng.randint(20, 60))), None) for i in range(60)]
+    docs = spark.createDataFrame(rows + junk, "doc_id long, text string, lang string")
+    model = langid.fit(docs, F.col("doc_id") < 600)
+    out = {r.doc_id: r for r in langid.identify(docs, model).collect()}
+    assert np.mean([out[i].rejected for i in range(600, 900)]) < 0.05 and np.mean([out[5000 + i].rejected for i in range(60)]) > 0.9
+    held = docs.where("doc_id < 600 and pmod(xxhash64(doc_id, 23), 5) = 0").collect()
+    entropy, length = model.entropies([r.text for r in held])
+    for i, lang in enumerate(model.langs):
+        mine = [j for j, r in enumerate(held) if r.lang == lang]
+        own, n = entropy[mine, i], length[mine]
+        assert model.middle[i] == pytest.approx(np.median(own)) and model.typical[i] == np.median(n)
+        rejected = own > model.limits(np.full(len(mine), i), n)
+        assert rejected.mean() <= langid.REJECTED
+    loss = lambda s: np.mean([-math.log(math.exp(-entropy[j, model.langs.index(r.lang)] * s * math.sqrt(length[j])) / sum(math.exp(-e * s * math.sqrt(length[j])) for e in entropy[j])) for j, r in enumerate(held)])
+    assert loss(model.sharpness) <= min(loss(model.sharpness * f) for f in (0.8, 1.25)) + 1e-9
+
+
 def test_labels_are_never_read_in_prediction(spark):
     docs = spark.createDataFrame(speech(60), "doc_id long, text string, lang string")
     model = langid.fit(docs, F.lit(True))
