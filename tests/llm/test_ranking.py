@@ -50,8 +50,33 @@ def test_top_k_of_little(spark):
     assert topk.top_k(spark.createDataFrame([], schema)).count() == 0
     few = topk.top_k(spark.createDataFrame([(0, [1.0]), (1, [2.0]), (2, [2.0])], schema)).collect()
     assert [(r["rank"], r.vec_id, r.score) for r in sorted(few, key=lambda r: r["rank"])] == [(1, 1, 512 * 256), (2, 2, 512 * 256)]
-    with pytest.raises(Exception):
-        topk.top_k(spark.createDataFrame([(0, [1e30]), (1, [1e30])], schema)).collect()
+
+
+def test_top_k_of_large_components(spark):
+    """Products beyond doubles, and beyond longs, where the score is the largest long."""
+    rng = np.random.default_rng(4)
+    rows = [(i, [float(x) for x in rng.normal(size=4)]) for i in range(120)]
+    rows += [(150, [1e12, -3.0, 0.5, 2.0]), (151, [1e12, 1.0, 1.0, 1.0]), (152, [-1e12, 7e9, 1.0, 0.25]), (153, [4.0e9, 1.0, 2.0, 3.0]), (154, [4.0e9 + 1, 1.0, 2.0, 3.0])]
+    docs = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    for shard in (4096, 40):
+        got = {}
+        for r in sorted(topk.top_k(docs, shard_rows=shard, block_rows=2, leaf=8).collect(), key=lambda r: (r.query_id, r["rank"])):
+            got.setdefault(r.query_id, []).append((r.vec_id, r.score))
+        want = {q: [(i, min(s, 2**63 - 1)) for i, s in top] for q, top in plain_top(rows).items()}
+        assert got[0] == want[0] and got[50] == want[50] and got[100] == want[100]
+        assert [s for _, s in got[150]] == [s for _, s in want[150]]
+    huge = topk.top_k(spark.createDataFrame([(0, [1e30]), (1, [1e30]), (2, [-1e30])], "vec_id long, embedding array<float>")).collect()
+    assert sorted((r["rank"], r.vec_id, r.score) for r in huge) == [(1, 1, 2**63 - 1), (2, 2, -(2**63))]
+
+
+def test_ball_tree_prunes_clusters():
+    """Of clustered points most pairs are never multiplied."""
+    rng = np.random.default_rng(2)
+    centres = rng.normal(size=(40, 16)) * 400
+    points = np.floor(centres[rng.integers(0, 40, 4000)] + rng.normal(size=(4000, 16)) * 20)
+    tree = topk.BallTree(np.arange(4000), points, 32)
+    tree.search(np.full(50, -1), np.floor(centres[rng.integers(0, 40, 50)]), 5, np.full(50, -np.inf))
+    assert tree.scored < 0.35 * tree.asked
 
 
 def test_ball_tree_shares_floors():
