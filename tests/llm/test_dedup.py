@@ -70,15 +70,35 @@ def test_search_of_a_long_list(n):
     assert groups_of(fps, lambda x, y: (x, y) in found or (y, x) in found) == groups_of(fps, near)
 
 
-@pytest.mark.parametrize("n", [30, 400])
-def test_index_finds_all_links(spark, n):
+@pytest.mark.parametrize("n,long_run", [(30, 4096), (400, 4096), (400, 1), (400, 30)])
+def test_index_finds_all_links(spark, n, long_run):
     signed = {int(np.uint64(f).astype(np.int64)): f for f in near_fingerprints(n)}
-    links = neardup.links(spark.createDataFrame([(f,) for f in signed], "fp long"))
+    links = neardup.links(spark.createDataFrame([(f,) for f in signed], "fp long"), long_run=long_run)
     got = {r.node: r.component for r in components.connected_components(links).collect()}
     want = groups_of(sorted(signed), lambda a, b: near(signed[a], signed[b]))
     assert {f: got.get(f, f) for f in signed} == want
 
 
+def test_long_lists_are_split(spark):
+    """Fingerprints that share four bytes and hardly any links, with a few near pairs, in small batches."""
+    rng = np.random.default_rng(11)
+    fps = {0x1234ABCD00000000 + int(x) for x in rng.integers(0, 2**32, 3000)}
+    for f in sorted(fps)[::100]:
+        fps.add(f ^ sum(1 << int(b) for b in rng.choice(32, 4, replace=False)))
+    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "700")
+    try:
+        found = neardup.links(spark.createDataFrame([(f,) for f in sorted(fps)], "fp long"), long_run=500)
+        got = {r.node: r.component for r in components.connected_components(found).collect()}
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
+    array = np.array(sorted(fps), np.uint64)
+    near_ones = np.bitwise_count(array[:, None] ^ array[None, :]) <= 4
+    pairs = [(int(array[i]), int(array[j])) for i, j in np.argwhere(np.triu(near_ones, 1))]
+    assert len(pairs) >= 30 and all(got[a] == got[b] for a, b in pairs)
+    assert set(got) == {x for p in pairs for x in p}
+
+
 def test_deduplicated_keeps_one_of_each(spark):
     docs = frame(spark)
     kept = neardup.deduplicated(docs)
