@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from siltmark.llm.tokens import encoder, no_collection, tokenizer_path
-from siltmark.plans.session import ship_package
+from siltmark.plans.session import new_path, ship_package
 
 MAX_LENGTH = 1024
 FLUSH_BYTES = 8 << 20
@@ -56,26 +56,37 @@ def _packer(tokenizer: str, end_id: int, longest: int):
 
 
 def pack(docs: DataFrame, tokenizer: str = "byte_bpe_50k.json", end_id: int = 0, max_length: int = MAX_LENGTH) -> DataFrame:
-    """Sequences of ``docs`` (doc_id, text; other columns are ignored).
+    """Sequences of ``docs`` (doc_id, text; other columns are ignored), in buckets of equal lengths.
 
     The ids of a document, with ``end_id`` after them, are split into pieces whose lengths
     are the powers of two of its length, longest first. Every piece is a sequence of its
-    own: (doc_id, start, length, ids, doc_tokens, sequence_id, offset), ids as little-endian
-    unsigned 32 bits, offset always 0. ``length`` is the bucket: a training step takes
-    sequences of one length, ``max_length / length`` of them for the room of a longest one
-    (``write_buckets``). A null text is empty, so its document is the end id alone; a null
-    doc_id is kept; repeated rows are packed each; an empty table gives no rows.
-
-    There is no shuffle: documents are encoded where they are read. sequence_id numbers the
-    pieces within each input split.
+    own, so none crosses documents and none is padded: (doc_id, start, length, ids,
+    doc_tokens, sequence_id, offset), ids as little-endian unsigned 32 bits, offset always 0.
+    ``length`` is the bucket. Buckets are written apart, a folder of files each
+    (``write_buckets``): a training step takes ``max_length / length`` sequences of one
+    bucket for the room of a longest one. sequence_ids of a bucket lie in a range of their own.
+
+    A null text is empty, so its document is the end id alone; a null
+    doc_id is kept; repeated rows are packed each; a text of any length is encoded whole; an empty table gives no rows.
+
+    There is no shuffle: documents are encoded where they are read, and a task writes what it
+    has for each bucket.
     """
-    ship_package(docs.sparkSession)
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text"))
-    schema = "doc_id long, start long, length long, ids binary, doc_tokens long"
-    pieces = rows.mapInArrow(_packer(tokenizer, end_id, max_length), schema)
-    return pieces.withColumn("sequence_id", F.monotonically_increasing_id()).withColumn("offset", F.lit(0).cast("long"))
+    spark = docs.sparkSession
+    path = new_path(spark, "buckets")
+    write_buckets(docs, path, tokenizer, end_id, max_length)
+    found = spark.read.schema(f"{_SCHEMA}, sequence_id long, bucket long").parquet(path)
+    return found.select("doc_id", "start", "length", "ids", "doc_tokens", "sequence_id", F.lit(0).cast("long").alias("offset"))
 
 
-def write_buckets(sequences: DataFrame, path: str) -> None:
-    """Writes sequences to Parquet with a folder for each length."""
-    sequences.withColumn("bucket", F.col("length")).write.partitionBy("bucket").parquet(path)
+_SCHEMA = "doc_id long, start long, length long, ids binary, doc_tokens long"
+
+
+def write_buckets(docs: DataFrame, path: str, tokenizer: str = "byte_bpe_50k.json", end_id: int = 0, max_length: int = MAX_LENGTH) -> None:
+    """Writes the sequences of ``docs`` to Parquet at ``path`` with a folder for each length (``bucket=length``)."""
+    ship_package(docs.sparkSession)
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text"))
+    pieces = rows.mapInArrow(_packer(tokenizer, end_id, max_length), _SCHEMA)
+    # 58 bits are room for 2 ** 25 tasks; the bits above tell the buckets apart.
+    number = F.shiftleft(F.log2("length").cast("long"), 58).bitwiseOR(F.monotonically_increasing_id())
+    pieces.withColumn("sequence_id", number).withColumn("bucket", F.col("length")).write.partitionBy("bucket").parquet(path)

@@ -141,5 +141,8 @@ def test_pack(spark):
 
 def test_buckets(spark):
     path = new_path(spark, "test-buckets")
-    packing.write_buckets(packing.pack(frame(spark)), path)
-    assert spark.read.parquet(path).where("bucket <> length").count() == 0
+    packing.write_buckets(frame(spark), path)
+    stored = spark.read.parquet(path)
+    assert stored.where("bucket <> length").count() == 0 and stored.count() == packing.pack(frame(spark)).count()
+    ranges = stored.groupBy("bucket").agg(F.min("sequence_id").alias("a"), F.max("sequence_id").alias("b")).orderBy("bucket").collect()
+    assert len(ranges) > 5 and all(x.b < y.a for x, y in zip(ranges, ranges[1:]))
