@@ -27,7 +27,6 @@ def _packer(tokenizer: str, end_id: int, longest: int):
     end = np.array([end_id], dtype="<u2").tobytes()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = encoder(tokenizer_path(tokenizer)).ids
         out: list[list] = [[] for _ in schema]
         held = 0
 
@@ -37,18 +36,18 @@ def _packer(tokenizer: str, end_id: int, longest: int):
             out, held = [[] for _ in schema], 0
             return batch
 
-        for batch in batches:
-            with no_collection():
-                coded = [np.frombuffer(encode(text.as_py()) + end, dtype="<u2").astype("<u4").tobytes() for text in batch.column(1)]
-            for doc_id, ids in zip(batch.column(0).to_pylist(), coded):
-                n, at = len(ids) // 4, 0
-                for length in piece_lengths(n, longest):
-                    for c, v in zip(out, (doc_id, at, length, ids[4 * at : 4 * (at + length)], n)):
-                        c.append(v)
-                    at += length
-                held += len(ids)
-                if held >= FLUSH_BYTES:
-                    yield flush()
+        with encoder(tokenizer_path(tokenizer)) as e, no_collection():
+            for batch in batches:
+                for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1)):
+                    ids = np.frombuffer(e.ids(text.as_py()) + end, dtype="<u2").astype("<u4").tobytes()
+                    n, at = len(ids) // 4, 0
+                    for length in piece_lengths(n, longest):
+                        for c, v in zip(out, (doc_id, at, length, ids[4 * at : 4 * (at + length)], n)):
+                            c.append(v)
+                        at += length
+                    held += len(ids)
+                    if held >= FLUSH_BYTES:
+                        yield flush()
         if out[0]:
             yield flush()
 

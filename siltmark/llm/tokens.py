@@ -147,14 +147,15 @@ class Encoder:
         return self.line_end.join(lines)
 
 
-_ENCODERS: dict[str, Encoder] = {}
-
-
-def encoder(path: str) -> Encoder:
-    """The worker's encoder for a tokenizer file."""
-    if path not in _ENCODERS:
-        _ENCODERS[path] = Encoder(path)
-    return _ENCODERS[path]
+@contextlib.contextmanager
+def encoder(path: str) -> Iterator[Encoder]:
+    """An encoder for a task: what it keeps goes with the task, as the worker may next serve an operator that needs the room."""
+    own = Encoder(path)
+    try:
+        yield own
+    finally:
+        for words in (own.first, own.later):
+            words.clear()
 
 
 def tokenizer_path(name: str) -> str:

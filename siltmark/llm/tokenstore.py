@@ -110,7 +110,6 @@ def _writer(tokenizer: str, end_id: int):
     end = np.array([end_id], "<u2").tobytes()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = encoder(tokenizer_path(tokenizer)).ids
         segment, written, open_, ready = TaskContext.get().partitionId(), 0, _Chunk(), []
 
         def flush() -> pa.RecordBatch:
@@ -121,16 +120,16 @@ def _writer(tokenizer: str, end_id: int):
             written, ready = written + n, []
             return pa.record_batch(columns, names=names)
 
-        for batch in batches:
-            with no_collection():
-                coded = [encode(text.as_py()) + end for text in batch.column(1)]
-            for doc_id, ids in zip(batch.column(0).to_pylist(), coded):
-                open_.add(doc_id, ids)
-                if open_.n >= CHUNK_IDS:
-                    ready.append(open_)
-                    open_ = _Chunk()
-                    if sum(c.n for c in ready) >= LANES * BLOCK_IDS:
-                        yield flush()
+        with encoder(tokenizer_path(tokenizer)) as e, no_collection():
+            for batch in batches:
+                coded = [e.ids(text.as_py()) + end for text in batch.column(1)]
+                for doc_id, ids in zip(batch.column(0).to_pylist(), coded):
+                    open_.add(doc_id, ids)
+                    if open_.n >= CHUNK_IDS:
+                        ready.append(open_)
+                        open_ = _Chunk()
+                        if sum(c.n for c in ready) >= LANES * BLOCK_IDS:
+                            yield flush()
         if open_.docs:
             ready.append(open_)
         if ready:
