@@ -32,8 +32,8 @@ MAGIC = b"SLTK2\0"
 BLOCK_IDS = 2048
 #: A chunk is closed at so many ids; documents stay whole, so a long one makes a larger chunk.
 CHUNK_IDS = 1 << 20
-#: Blocks that are coded in lockstep at most, over chunks.
-LANES = 2560
+#: About so many blocks are coded in lockstep at most, over chunks.
+LANES = 4096
 _DOC = np.dtype([("doc_id", "<i8"), ("null", "u1"), ("n", "<u8")])
 _BLOCK = np.dtype([("size", "<u4"), ("crc", "<u4")])
 
@@ -50,6 +50,13 @@ class _Chunk:
         self.n += len(ids) // 2
 
 
+def _shares(n: int) -> list[tuple[int, int]]:
+    """Ranges of equal size of about ``LANES`` blocks: a small rest would take as many steps as the others."""
+    count = -(-n * 3 // (LANES * 4))
+    cuts = [n * i // count for i in range(count + 1)] if n else []
+    return list(zip(cuts, cuts[1:]))
+
+
 def pack_chunks(chunks: list[_Chunk]) -> list[bytes]:
     """The bytes of chunks, whose blocks are coded together."""
     blocks, spans = [], []
@@ -63,7 +70,7 @@ def pack_chunks(chunks: list[_Chunk]) -> list[bytes]:
     coded: dict[int, list[bytes]] = {}
     for size in set(spans):
         rows = np.concatenate([b for b, s in zip(blocks, spans) if s == size])
-        coded[size] = [x for i in range(0, len(rows), LANES) for x in rangecoder.encode(np.ascontiguousarray(rows[i : i + LANES].T))]
+        coded[size] = [x for a, b in _shares(len(rows)) for x in rangecoder.encode(np.ascontiguousarray(rows[a:b].T))]
     used = dict.fromkeys(coded, 0)
     out = []
     for c, b, size in zip(chunks, blocks, spans):
@@ -93,7 +100,7 @@ def unpack_chunks(data: list[bytes]) -> list[tuple[np.ndarray, np.ndarray]]:
         mine += [d[a:b] for a, b in zip(starts.tolist(), ends.tolist())]
     ids = {}
     for size, blocks in coded.items():
-        parts = [rangecoder.decode(blocks[i : i + LANES], size).T for i in range(0, len(blocks), LANES)]
+        parts = [rangecoder.decode(blocks[a:b], size).T for a, b in _shares(len(blocks))]
         ids[size] = np.ascontiguousarray(np.concatenate(parts)) if parts else np.zeros((0, size), np.uint16)
     out = []
     for docs, index, size, first in heads:
@@ -172,8 +179,8 @@ def read_tokens(spark: SparkSession, path: str) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             bases, data = batch.column(0).to_pylist(), batch.column(1).to_pylist()
-            for a in range(0, len(data), 4):
-                for base, (docs, ids) in zip(bases[a : a + 4], unpack_chunks(data[a : a + 4])):
+            for a in range(0, len(data), 8):
+                for base, (docs, ids) in zip(bases[a : a + 8], unpack_chunks(data[a : a + 8])):
                     n = docs["n"].astype(np.int64)
                     ends = np.cumsum(n)
                     # The ids of a chunk's documents lie side by side: only the offsets are new.
