@@ -99,13 +99,15 @@ def written(df: DataFrame, label: str, by: str | None = None) -> DataFrame:
     return out
 
 
-def remove(df: DataFrame) -> None:
-    """Deletes what ``written`` stored for ``df``; for tables that no later plan reads."""
+def remove(df: DataFrame, folder: str | None = None) -> None:
+    """Deletes what ``written`` stored for ``df``, or one ``folder`` of it; for tables that no later plan reads."""
     path = getattr(df, "_siltmark_path", None)
     if path is None:
         return
     spark = df.sparkSession
-    _delete(spark._jvm, spark._jsc.hadoopConfiguration(), path)
+    _delete(spark._jvm, spark._jsc.hadoopConfiguration(), f"{path}/{folder}" if folder else path)
+    if folder:
+        return
     with contextlib.suppress(ValueError):
         spark.sparkContext._siltmark_paths.remove(path)
 
