@@ -130,6 +130,17 @@ def affected(found: DataFrame, used: DataFrame) -> DataFrame:
     return used.distinct().join(found.withColumn("import_key", key), "import_key").select("path", "seq", "id", "severity")
 
 
+def file_findings(files: DataFrame, found: DataFrame, used: DataFrame) -> DataFrame:
+    """``file_dependencies`` of ``affected(found, used)``, without a row for each file and finding of a package.
+
+    Findings are counted per import key before they meet the files that use it.
+    """
+    key = F.when(F.col("ecosystem") == "crates.io", crate_import(F.col("package_name"))).otherwise(F.col("package_name"))
+    per_key = found.groupBy(key.alias("import_key")).agg(F.max(severity_rank(F.col("severity"))).alias("rank"), F.count("*").alias("n"))
+    worst = used.distinct().join(per_key, "import_key").groupBy("path").agg(F.max("rank").alias("max_rank"), F.sum("n").alias("cve_count"))
+    return files.select("path").join(worst, "path", "left").select("path", F.coalesce("max_rank", F.lit(0)).alias("max_rank"), F.coalesce("cve_count", F.lit(0)).cast("int").alias("cve_count"))
+
+
 def with_affected_files(found: DataFrame, hits: DataFrame) -> DataFrame:
     files = hits.groupBy(F.col("seq").alias("_seq")).agg(F.array_sort(F.collect_set("path")).alias("affected_files"))
     return found.join(files, F.col("seq") == F.col("_seq"), "left").drop("_seq").withColumn("affected_files", F.coalesce("affected_files", F.array().cast("array<string>")))

@@ -9,12 +9,14 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from siltmark.functions import labels, scores, strings
 from siltmark.operators import complexity, dependency, duplication, history, scoring, testing
-from siltmark.schemas import FORCED_IGNORES
+from siltmark.operators.ranking import first_rows
+from siltmark.plans import report
+from siltmark.schemas import DIMENSIONS, FORCED_IGNORES
 from siltmark.sources import coverage, files, lockfiles
 
 #: 2024-01-31T00:00:00Z, the moment that queries on events look back from.
@@ -186,7 +188,7 @@ def loc_by_document(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("""
 WITH c AS (SELECT doc_id, quality * 60.0::DOUBLE + toxic * 20 AS pct FROM labels), m AS (SELECT avg(100 - pct) AS gap FROM c),
-s AS (SELECT doc_id, len(text)::INTEGER AS test_loc, greatest(1, n_chars % 5000)::INTEGER AS impl_loc, (n_chars % 40)::INTEGER AS asserts FROM documents WHERE doc_id % 3 > 0),
+s AS (SELECT doc_id, len(text)::INTEGER AS test_loc, greatest(1, n_chars % 5000)::INTEGER AS impl_loc, (n_chars % 40)::INTEGER AS asserts FROM documents WHERE text LIKE '%the%'),
 r AS (SELECT d.doc_id, s.test_loc IS NULL AS no_test, c.pct IS NULL AS no_pct, coalesce(100 - c.pct, m.gap, 50) AS gap, s.* EXCLUDE (doc_id)
   FROM documents d LEFT JOIN s USING (doc_id) LEFT JOIN c USING (doc_id) CROSS JOIN m)
 SELECT doc_id, CASE WHEN no_test THEN 0 ELSE round(least(100::DOUBLE, gap * 0.4::DOUBLE + (100 - least(100::DOUBLE, test_loc::DOUBLE / impl_loc * 100)) * 0.25::DOUBLE
@@ -194,9 +196,9 @@ SELECT doc_id, CASE WHEN no_test THEN 0 ELSE round(least(100::DOUBLE, gap * 0.4:
   CASE WHEN no_test THEN 'not_applicable' WHEN no_pct THEN 'data_missing' ELSE 'full' END AS confidence FROM r
 """)
 def coverage_gap_fill(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The test dimension with documents as files, labels as coverage."""
+    """The test dimension with documents as files, labels as coverage; documents that mention "the" are tested."""
     docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("path"), "text", "n_chars")
-    stats = docs.where("path % 3 > 0").select("path", F.array().cast("array<string>").alias("test_files"), F.length("text").alias("test_loc"), F.greatest(F.lit(1), F.col("n_chars") % 5000).cast("int").alias("impl_loc"), (F.col("n_chars") % 40).cast("int").alias("assertions"))
+    stats = docs.where("contains(text, 'the')").select("path", F.array().cast("array<string>").alias("test_files"), F.length("text").alias("test_loc"), F.greatest(F.lit(1), F.col("n_chars") % 5000).cast("int").alias("impl_loc"), (F.col("n_chars") % 40).cast("int").alias("assertions"))
     pct = table(spark, sf_dir, "labels").select(F.col("doc_id").alias("path"), (F.col("quality") * 60.0 + F.col("toxic") * 20).alias("pct"))
     out = testing.test_dimension(docs, stats, pct)
     return out.select(F.col("path").alias("doc_id"), *rounded("risk_score"), F.col("confidence.type").alias("confidence"))
@@ -241,9 +243,10 @@ _RANK = "CASE o_orderpriority WHEN '1-URGENT' THEN 4 WHEN '2-HIGH' THEN 3 WHEN '
 
 
 @query(f"""
-WITH k AS (SELECT o_orderkey, {_RANK} AS rank, 'pkg-' || (o_orderkey % 97) AS package FROM orders WHERE o_orderkey % 5 = 0),
+WITH k AS (SELECT o_orderkey, {_RANK} AS rank, 'pkg-' || (o_orderkey % 97) AS package FROM orders),
+p AS (SELECT replace(package, '-', '_') AS import_key, max(rank) AS rank, count(*) AS n FROM k GROUP BY 1),
 u AS (SELECT DISTINCT l_suppkey AS path, 'pkg_' || (l_partkey % 97) AS import_key FROM lineitem),
-h AS (SELECT u.path, max(rank) AS max_rank, count(*)::INTEGER AS cve_count FROM u JOIN k ON replace(k.package, '-', '_') = u.import_key GROUP BY u.path)
+h AS (SELECT path, max(rank) AS max_rank, sum(n)::INTEGER AS cve_count FROM u JOIN p USING (import_key) GROUP BY path)
 SELECT s_suppkey AS path, coalesce(max_rank, 0)::INTEGER AS max_rank, coalesce(cve_count, 0)::INTEGER AS cve_count,
   round(least(100::DOUBLE, coalesce(max_rank, 0) * 15::DOUBLE + CASE WHEN cve_count IS NULL THEN 0 WHEN cve_count = 1 THEN 15 WHEN cve_count <= 4 THEN 20 ELSE 25 END), 6) AS risk
 FROM supplier LEFT JOIN h ON h.path = s_suppkey
@@ -252,10 +255,10 @@ def dependency_findings_per_key(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Orders as findings of packages, suppliers as files that import them."""
     priority = F.col("o_orderpriority")
     severity = F.when(priority == "1-URGENT", "critical").when(priority == "2-HIGH", "high").when(priority == "3-MEDIUM", "medium").when(priority == "4-NOT SPECIFIED", "low").otherwise("none")
-    found = table(spark, sf_dir, "orders").where("o_orderkey % 5 = 0").select(F.col("o_orderkey").alias("seq"), F.col("o_orderkey").cast("string").alias("id"), F.concat(F.lit("pkg-"), (F.col("o_orderkey") % 97).cast("string")).alias("package_name"), F.lit("crates.io").alias("ecosystem"), severity.alias("severity"))
+    found = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("seq"), F.col("o_orderkey").cast("string").alias("id"), F.concat(F.lit("pkg-"), (F.col("o_orderkey") % 97).cast("string")).alias("package_name"), F.lit("crates.io").alias("ecosystem"), severity.alias("severity"))
     used = table(spark, sf_dir, "lineitem").select(F.col("l_suppkey").alias("path"), F.concat(F.lit("pkg_"), (F.col("l_partkey") % 97).cast("string")).alias("import_key"))
     files = table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("path"))
-    out = dependency.file_dependencies(files, dependency.affected(found, used))
+    out = dependency.file_findings(files, found, used)
     return out.select("path", "max_rank", "cve_count", F.round(scores.dependency_risk(F.col("max_rank"), F.col("cve_count")), 6).alias("risk"))
 
 
@@ -345,14 +348,17 @@ def top_five_percent(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scoring.top_files(order_heat(spark, sf_dir)).select("path", "final_heat_score", "rank")
 
 
-_RENAMES = [("c5", 0, "d", "e"), ("c4", 1, "c", "d"), ("c3", 2, "a", "z"), ("c2", 3, "b", "c"), ("c1", 4, "a", "b"), ("c0", 5, "q", "q2")]
-
-
-@query("SELECT * FROM (VALUES ('a', 'e'), ('b', 'e'), ('c', 'e'), ('d', 'e'), ('q', 'q2')) v(path, final)")
+@query("SELECT 'n' || c_custkey AS path, 'n' || (c_custkey // 6 * 6 + 5) AS final FROM customer WHERE c_custkey % 6 < 5 AND c_custkey // 6 * 6 + 5 <= (SELECT max(c_custkey) FROM customer)")
 def rename_resolution(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Chains of renames, one path renamed twice."""
-    commits = spark.createDataFrame([(c, w, 0, "", "") for c, w, _, _ in _RENAMES], "commit_id string, walk_pos int, commit_ts long, author_email string, message string")
-    changes = spark.createDataFrame([(c, 0, a, b, "R", False) for c, _, a, b in _RENAMES], "commit_id string, delta_pos int, old_path string, new_path string, status string, is_binary boolean")
+    """Customers as names of files: five renames after each other lead to every sixth; the last, unfinished chain isn't renamed."""
+    k = F.col("c_custkey")
+    last = F.floor(k / 6) * 6 + 5
+    most = table(spark, sf_dir, "customer").agg(F.max("c_custkey").alias("most"))
+    rows = table(spark, sf_dir, "customer").join(F.broadcast(most), last <= F.col("most")).where(k % 6 < 5)
+    ident = F.concat(F.lit("c"), k.cast("string"))
+    commits = rows.select(ident.alias("commit_id"), (F.col("most") - k).cast("int").alias("walk_pos"), F.lit(0).cast("long").alias("commit_ts"), F.lit("").alias("author_email"), F.lit("").alias("message"))
+    name = lambda n: F.concat(F.lit("n"), n.cast("string"))
+    changes = rows.select(ident.alias("commit_id"), F.lit(0).alias("delta_pos"), name(k).alias("old_path"), name(k + 1).alias("new_path"), F.lit("R").alias("status"), F.lit(False).alias("is_binary"))
     return history.rename_map(commits, changes)
 
 
@@ -388,12 +394,23 @@ def tier_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return order_heat(spark, sf_dir).groupBy(strings.risk_tier(F.col("final_heat_score")).alias("tier")).agg(F.count("*").alias("files"), F.sum("loc").alias("loc"))
 
 
-@query(f"WITH {_DIMS} SELECT dim_idx, round(sum(CASE WHEN gone THEN 0 ELSE risk END) / (SELECT count(*) FROM orders), 6) AS mean_risk, count(*) FILTER (gone) AS left_out FROM d GROUP BY dim_idx")
+_MEANS = ", ".join(f"(SELECT round(sum(CASE WHEN gone THEN 0 ELSE risk END) / (SELECT count(*) FROM orders), 6) FROM d WHERE dim_idx = {i}) AS avg_{d}" for i, d in enumerate(DIMENSIONS))
+
+
+@query(f"""WITH {_HEAT}, h AS (SELECT count(*) AS n, sum(loc)::BIGINT AS total_loc, avg((path % 10) / 10::DOUBLE) AS conf, count(*) FILTER ((path % 10) / 10::DOUBLE < 0.7::DOUBLE) AS low, count(*) FILTER (path % 3 > 0) AS hit, least(100::DOUBLE, sum(final_heat_score * loc) / sum(loc) + 0.2::DOUBLE * (SELECT avg(final_heat_score) FROM top)) AS total FROM heat)
+SELECT n AS file_count, total_loc, {_MEANS}, round(conf, 6) AS avg_confidence, low AS low_confidence_files, hit AS affected_files, (SELECT count(*) FROM top) AS top_risk_files,
+  round((SELECT count(*) FROM top) * 100::DOUBLE / n, 6) AS top_risk_percentage, round(total, 6) AS repo_total_heat_score FROM h""")
 def report_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Dimension means over all files; dimensions that don't apply count as 0."""
-    gone = F.col("confidence.type") == "not_applicable"
+    """The one row of totals that a report begins with; dimensions that don't apply count as 0."""
     rows = order_dimensions(spark, sf_dir)
-    return rows.groupBy("dim_idx").agg(F.round(F.sum(F.when(gone, 0.0).otherwise(F.col("risk_score"))) / F.count("*"), 6).alias("mean_risk"), F.count_if(gone).alias("left_out"))
+    gone = F.col("confidence.type") == "not_applicable"
+    names = F.array(*map(F.lit, DIMENSIONS))
+    dims = rows.select("path", "dim_idx", names[F.col("dim_idx")].alias("dim"), F.when(gone, 0.0).otherwise(F.col("risk_score")).alias("risk_score"))
+    heat = order_heat(spark, sf_dir)
+    files = heat.select("path", "loc", (F.col("path") % 10 / F.lit(10.0)).alias("consistency_coefficient"), (F.col("path") % 3).alias("cve_count"))
+    repository = scoring.repository_heat(heat)
+    out = report.summary(report.Scores(files, dims, files.limit(0), scoring.top_files(heat), repository))
+    return out.select("file_count", "total_loc", *rounded(*[f"avg_{d}" for d in DIMENSIONS], "avg_confidence"), "low_confidence_files", "affected_files", "top_risk_files", *rounded("top_risk_percentage", "repo_total_heat_score"))
 
 
 @query("SELECT n_nationkey, CASE n_nationkey % 5 WHEN 0 THEN 'pkg' || n_nationkey WHEN 1 THEN '@s/n' || n_nationkey WHEN 2 THEN 'r' || n_nationkey WHEN 3 THEN 'use' || n_nationkey ELSE 'github.com/x/y' || n_nationkey END AS import_key FROM nation")
@@ -438,17 +455,17 @@ def reflog_rewrites(spark: SparkSession, sf_dir: str) -> DataFrame:
     return history.history_rewritten(table(spark, sf_dir, "conversations").select(F.col("text").alias("value")))
 
 
-@query("SELECT page_id, len(regexp_replace(html, '[^<]', '', 'g'))::INTEGER AS tags, replace(replace(replace(left(html, 40), '&', '&amp;'), '\"', '&quot;'), '<', '&lt;') AS escaped, regexp_replace(url, '[^A-Za-z0-9_-]', '_', 'g') AS dom_id, CASE WHEN len(html) > 400 THEN left(html, 400) || '...' ELSE html END AS note FROM pages")
+@query("SELECT page_id, len(regexp_replace(html, '[^<]', '', 'g'))::INTEGER AS tags, replace(replace(replace(html, '&', '&amp;'), '\"', '&quot;'), '<', '&lt;') AS escaped, regexp_replace(url, '[^A-Za-z0-9_-]', '_', 'g') AS dom_id, CASE WHEN len(html) > 400 THEN left(html, 400) || '...' ELSE html END AS note FROM pages")
 def page_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Text helpers on pages: counting, escaping, ids and shortening."""
-    return table(spark, sf_dir, "pages").select("page_id", F.regexp_count("html", F.lit("<")).alias("tags"), strings.xml_escaped(F.substring("html", 1, 40)).alias("escaped"), strings.dom_id(F.col("url")).alias("dom_id"), strings.shortened(F.col("html")).alias("note"))
+    return table(spark, sf_dir, "pages").select("page_id", F.regexp_count("html", F.lit("<")).alias("tags"), strings.xml_escaped(F.col("html")).alias("escaped"), strings.dom_id(F.col("url")).alias("dom_id"), strings.shortened(F.col("html")).alias("note"))
 
 
 @query("SELECT doc_id, len(regexp_extract_all(' ' || regexp_replace(lower(text), '[^a-z0-9_]', ' ', 'g'), '[^a-z0-9_](assert|expect|the)'))::INTEGER AS marks FROM documents")
 def left_bounded_words(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Words counted by their left boundary alone, as assertions are."""
-    count = F.regexp_count(F.regexp_replace(F.lower("text"), "[^a-z0-9_]", " "), F.lit("(?<![a-z0-9_])(assert|expect|the)"))
-    return table(spark, sf_dir, "documents").select("doc_id", count.alias("marks"))
+    named = F.replace(F.lower("text"), F.lit("the"), F.lit("assert"))
+    return table(spark, sf_dir, "documents").select("doc_id", strings.asserts_in(named).alias("marks"))
 
 
 @query("""
@@ -494,8 +511,7 @@ SELECT path, count(*)::INTEGER AS commits, count(DISTINCT user_id)::INTEGER AS a
 """)
 def capped_history(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The latest 500 events as commits of two files each, one of them renamed; binary files drop out."""
-    order = Window.orderBy(F.col("ts").desc(), F.col("event_id").desc())
-    events = table(spark, sf_dir, "events").withColumn("walk_pos", F.row_number().over(order) - 1)
+    events = first_rows(table(spark, sf_dir, "events"), [F.col("ts").desc(), F.col("event_id").desc()], 501).withColumn("walk_pos", F.col("rank") - 1)
     ident = F.col("event_id").cast("string")
     message = F.when(F.col("event_type") == "error", "fix it").otherwise("add fixture")
     commits = events.select(ident.alias("commit_id"), "walk_pos", F.unix_seconds(F.col("ts").cast("timestamp")).alias("commit_ts"), F.col("user_id").cast("string").alias("author_email"), message.alias("message"))
