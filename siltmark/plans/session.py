@@ -4,11 +4,11 @@ from __future__ import annotations
 
 import atexit
 import contextlib
-import gc
 import os
 import tempfile
 import uuid
 import zipfile
+from collections.abc import Iterator
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
@@ -85,15 +85,31 @@ def _delete(jvm, conf, path: str) -> None:
     p.getFileSystem(conf).delete(p, True)
 
 
+@contextlib.contextmanager
+def _shuffles_go(spark: SparkSession) -> Iterator[None]:
+    """Lets Spark delete the shuffle files of a query as soon as it is over, where its version can; else they wait for a collection of garbage."""
+    name = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(name, None)
+    if before is None:
+        yield
+        return
+    spark.conf.set(name, "true")
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
 def written(df: DataFrame, label: str, by: str | None = None) -> DataFrame:
     """Writes ``df`` to the shared folder, in a folder for each value of ``by`` if given, and reads it back.
 
     This cuts the lineage: what was computed once survives the loss of an executor and
-    is not computed again by later branches of a plan.
+    is not computed again by later branches of a plan. Shuffle files of the write go when it is over.
     """
     spark = df.sparkSession
     path = new_path(spark, label)
-    (df.write.partitionBy(by) if by else df.write).parquet(path)
+    with _shuffles_go(spark):
+        (df.write.partitionBy(by) if by else df.write).parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._siltmark_path = path
     return out
@@ -110,13 +126,3 @@ def remove(df: DataFrame, folder: str | None = None) -> None:
         return
     with contextlib.suppress(ValueError):
         spark.sparkContext._siltmark_paths.remove(path)
-
-
-def release(spark: SparkSession) -> None:
-    """Lets Spark delete the shuffle files of finished jobs whose plans nothing refers to.
-
-    Spark does so when the driver collects garbage, which may be long after; an operator
-    with several large shuffles calls this between them.
-    """
-    gc.collect()
-    spark._jvm.System.gc()
