@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from siltmark.llm import langid, linededup, mixing, neardup, packing, pii, quality, substr, tokenstore, topk
+from siltmark.llm import langid, linededup, mixing, neardup, packing, pii, quality, substr, suffixtree, tokenstore, topk
 from siltmark.plans.session import new_path
 
 
@@ -126,7 +126,13 @@ def op10_substr(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substr.shared_passages(_table(spark, sf_dir, "documents", "doc_id", "text"))
 
 
-QUERIES = {"op10_substr": op10_substr, "op3_tokenstore": op3_tokenstore, "op9_pii": op9_pii, "op6_linededup": op6_linededup, "op5_quality": op5_quality, "op1_langid": op1_langid, "op2_simhash": op2_simhash, "op4_packing": op4_packing, "op7_topk": op7_topk, "op8_mixing": op8_mixing}
+def op11_pst(spark: SparkSession, sf_dir: str) -> DataFrame:
+    train = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 10 != 0
+    scored = suffixtree.score_texts(_table(spark, sf_dir, "documents", "doc_id", "text"), train)
+    return scored.select("doc_id", (~F.col("train")).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
+
+
+QUERIES = {"op11_pst": op11_pst, "op10_substr": op10_substr, "op3_tokenstore": op3_tokenstore, "op9_pii": op9_pii, "op6_linededup": op6_linededup, "op5_quality": op5_quality, "op1_langid": op1_langid, "op2_simhash": op2_simhash, "op4_packing": op4_packing, "op7_topk": op7_topk, "op8_mixing": op8_mixing}
 ORACLES = {"op6_linededup": OP6, "op7_topk": OP7, "op8_mixing": OP8}
 
 
