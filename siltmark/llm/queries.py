@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from siltmark.llm import langid, linededup, mixing, neardup, packing, pii, quality, substr, suffixtree, tokenstore, topk
+from siltmark.llm import langid, linededup, merkle, mixing, neardup, packing, pii, quality, substr, suffixtree, tokenstore, topk
 from siltmark.plans.session import new_path
 
 
@@ -132,8 +132,65 @@ def op11_pst(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", (~F.col("train")).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
 
 
-QUERIES = {"op11_pst": op11_pst, "op10_substr": op10_substr, "op3_tokenstore": op3_tokenstore, "op9_pii": op9_pii, "op6_linededup": op6_linededup, "op5_quality": op5_quality, "op1_langid": op1_langid, "op2_simhash": op2_simhash, "op4_packing": op4_packing, "op7_topk": op7_topk, "op8_mixing": op8_mixing}
-ORACLES = {"op6_linededup": OP6, "op7_topk": OP7, "op8_mixing": OP8}
+_LEAF_COLUMNS = ["doc_id", "source", "lang", "n_chars", "text"]
+
+
+def op12_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents", *_LEAF_COLUMNS)
+    shorter = F.when(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 2 == 0, F.replace("text", F.lit("\n"), F.lit("")))
+    tampered = F.when(shorter != F.col("text"), merkle.leaf(*map(F.col, _LEAF_COLUMNS[:-1]), shorter))
+    rows = merkle.manifest(docs, _LEAF_COLUMNS, also={"tampered": tampered})
+    out = rows.select("doc_id", "leaf", "subroot", "root", F.sha2(merkle.siblings(F.col("path")), 256).alias("proof_sha256"), merkle.folded(F.coalesce("tampered", "leaf"), F.col("path")).alias("folded_root"))
+    return out.withColumn("verified", F.col("folded_root") == F.col("root"))
+
+
+def _sql_leaf(text: str) -> str:
+    values = [*_LEAF_COLUMNS[:-1], text]
+    return "sha256(" + " || ".join(f"coalesce(strlen({v}::VARCHAR) || ':' || {v}::VARCHAR, '-')" for v in values) + ")"
+
+
+#: CRC-32 (polynomial EDB88320) of a decimal doc_id bit by bit, before its final inversion, which makes even ones odd.
+_SQL_CRC = "list_reduce(list_prepend(4294967295::BIGINT, list_transform(range(1, len(doc_id::VARCHAR) + 1), lambda i: ascii(substr(doc_id::VARCHAR, i, 1))::BIGINT)), lambda c, b: list_reduce(list_prepend(xor(c, b), [0, 0, 0, 0, 0, 0, 0, 0]::BIGINT[]), lambda x, y: xor(x >> 1, (x & 1) * 3988292384)))"
+OP12 = f"""
+WITH RECURSIVE l AS (
+  SELECT doc_id, source, {_sql_leaf("text")} AS leaf, CASE WHEN {_SQL_CRC} & 1 = 1 THEN {_sql_leaf("replace(text, chr(10), '')")} ELSE {_sql_leaf("text")} END AS tampered FROM documents
+), p AS (
+  SELECT *, row_number() OVER (PARTITION BY source ORDER BY doc_id NULLS FIRST, leaf) - 1 AS i FROM l
+), t(lvl, source, i, h) AS (
+  SELECT 0, source, i, leaf FROM p
+  UNION ALL
+  SELECT lvl + 1, source, i // 3, sha256(string_agg(h, '' ORDER BY i)) FROM (SELECT *, count(*) OVER (PARTITION BY source) AS n FROM t) WHERE n > 1 GROUP BY lvl, source, i // 3
+), s AS (
+  SELECT source, max(lvl) AS top, arg_max(h, lvl) AS subroot, row_number() OVER (ORDER BY source NULLS FIRST) - 1 AS i FROM t GROUP BY source
+), u(lvl, i, h) AS (
+  SELECT 0, i, subroot FROM s
+  UNION ALL
+  SELECT lvl + 1, i // 3, sha256(string_agg(h, '' ORDER BY i)) FROM (SELECT *, count(*) OVER () AS n FROM u) WHERE n > 1 GROUP BY lvl, i // 3
+), nodes AS (
+  SELECT source, lvl, i, h, false AS upper FROM t UNION ALL SELECT NULL, lvl, i, h, true FROM u
+), steps AS (
+  SELECT p.doc_id, p.i AS leaf_i, s.source, k, k >= s.top AS upper, CASE WHEN k < s.top THEN k ELSE k - s.top END AS lvl, CASE WHEN k < s.top THEN p.i // (3 ** k)::BIGINT ELSE s.i // (3 ** (k - s.top))::BIGINT END AS node
+  FROM p JOIN s ON p.source IS NOT DISTINCT FROM s.source, LATERAL unnest(range(0, s.top + (SELECT max(lvl) FROM u))) x(k)
+), runs AS (
+  SELECT e.source, e.leaf_i, e.k, coalesce(string_agg(n.h, '' ORDER BY n.i) FILTER (n.i < e.node), '') AS before, coalesce(string_agg(n.h, '' ORDER BY n.i) FILTER (n.i > e.node), '') AS after
+  FROM steps e JOIN nodes n ON n.upper = e.upper AND n.lvl = e.lvl AND n.i // 3 = e.node // 3 AND (e.upper OR n.source IS NOT DISTINCT FROM e.source) GROUP BY ALL
+), proofs AS (
+  SELECT source, leaf_i, sha256(string_agg(before || after, '' ORDER BY k)) AS proof FROM runs GROUP BY ALL
+), f(source, leaf_i, k, h) AS (
+  SELECT source, i, 0, tampered FROM p
+  UNION ALL
+  SELECT f.source, f.leaf_i, f.k + 1, sha256(r.before || f.h || r.after) FROM f JOIN runs r ON r.source IS NOT DISTINCT FROM f.source AND r.leaf_i = f.leaf_i AND r.k = f.k
+), g AS (
+  SELECT source, leaf_i, arg_max(h, k) AS folded FROM f GROUP BY ALL
+), root AS (SELECT arg_max(h, lvl) AS root FROM u)
+SELECT p.doc_id, p.leaf, s.subroot, root, coalesce(proof, sha256('')) AS proof_sha256, folded AS folded_root, folded = root AS verified
+FROM p JOIN s ON p.source IS NOT DISTINCT FROM s.source JOIN g ON g.source IS NOT DISTINCT FROM p.source AND g.leaf_i = p.i
+LEFT JOIN proofs ON proofs.source IS NOT DISTINCT FROM p.source AND proofs.leaf_i = p.i, root
+"""
+
+
+QUERIES = {"op12_merkle": op12_merkle, "op11_pst": op11_pst, "op10_substr": op10_substr, "op3_tokenstore": op3_tokenstore, "op9_pii": op9_pii, "op6_linededup": op6_linededup, "op5_quality": op5_quality, "op1_langid": op1_langid, "op2_simhash": op2_simhash, "op4_packing": op4_packing, "op7_topk": op7_topk, "op8_mixing": op8_mixing}
+ORACLES = {"op6_linededup": OP6, "op7_topk": OP7, "op8_mixing": OP8, "op12_merkle": OP12}
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
