@@ -23,7 +23,7 @@ from siltmark.plans.session import ship_package, written
 
 FANOUT = 3
 #: Leaves of a block, at most.
-BLOCK = 20_000
+BLOCK = 3_000
 PATH = "array<struct<before:string,after:string>>"
 _PATH = pa.list_(pa.struct([("before", pa.string()), ("after", pa.string())]))
 #: Leaves whose paths are formed at once.
