@@ -11,6 +11,7 @@ import zipfile
 from collections.abc import Iterator
 from pathlib import Path
 
+from pyspark.errors import PySparkException
 from pyspark.sql import DataFrame, SparkSession
 
 PACKAGE = Path(__file__).resolve().parents[1]
@@ -89,8 +90,9 @@ def _delete(jvm, conf, path: str) -> None:
 def _shuffles_go(spark: SparkSession) -> Iterator[None]:
     """Lets Spark delete the shuffle files of a query as soon as it is over, where its version can; else they wait for a collection of garbage."""
     name = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
-    before = spark.conf.get(name, None)
-    if before is None:
+    try:
+        before = spark.conf.get(name)  # with a default of None, Spark's own default would not be seen
+    except PySparkException:
         yield
         return
     spark.conf.set(name, "true")

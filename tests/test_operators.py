@@ -223,3 +223,13 @@ def test_running_total(spark):
         want[k] = total
         total += v
     assert got == want
+
+
+def test_shuffle_files_go_with_their_write(spark):
+    from siltmark.plans.session import _shuffles_go
+
+    name = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(name)
+    with _shuffles_go(spark):
+        assert spark.conf.get(name) == "true"
+    assert spark.conf.get(name) == before
