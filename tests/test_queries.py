@@ -1,11 +1,11 @@
 """Registered queries against their SQL in DuckDB, as the driver compares them."""
 
 import duckdb
-import pandas as pd
 import pytest
 
 import __spark_entry__ as entry
 from siltmark.plans.queries import ORACLES, QUERIES
+from tests.compare import normal
 
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
 
@@ -18,12 +18,6 @@ def duck(sf_dir):
     return con
 
 
-def normal(df: pd.DataFrame) -> pd.DataFrame:
-    df = df[sorted(df.columns)]
-    text = df.apply(lambda s: s.map(lambda v: None if v is None or v != v else repr(round(float(v), 6)) if isinstance(v, (float, int)) and not isinstance(v, bool) else str(v)))
-    return text.sort_values(list(text.columns)).reset_index(drop=True)
-
-
 @pytest.mark.parametrize("name", sorted(QUERIES))
 def test_query(spark, sf_dir, duck, name):
     assert normal(QUERIES[name](spark, sf_dir).toPandas()).equals(normal(duck.sql(ORACLES[name]).df()))
