@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from siltmark.functions.scores import change_risk, decay
 from siltmark.functions.strings import author, is_incident
 from siltmark.operators.dimensions import dimension, with_mean
+from siltmark.operators.ordered import asof
 from siltmark.plans.session import remove, written
 from siltmark.schemas import MAX_COMMITS
 
@@ -33,10 +34,8 @@ def rename_map(commits: DataFrame, changes: DataFrame, max_commits: int = MAX_CO
     renames = changes.where("status = 'R' and old_path <> new_path").join(walked(commits, max_commits).select("commit_id", "walk_pos"), "commit_id")
     order = F.struct("walk_pos", "delta_pos")
     steps = renames.select("old_path", "new_path", order.alias("at"), F.struct(F.col("walk_pos"), F.col("delta_pos"), F.col("old_path")).alias("id"))
-    newer = steps.select(F.col("old_path").alias("n_old"), F.col("at").alias("n_at"), F.col("id").alias("n_id"))
-    # The link of a rename: the last rename of its new path that was taken in before it.
-    linked = steps.join(newer, (F.col("new_path") == F.col("n_old")) & (F.col("n_at") < F.col("at")), "left")
-    links = linked.groupBy("id", "old_path", "new_path", "at").agg(F.max_by("n_id", "n_at").alias("next"))
+    # The link of a rename: the last rename of its new path that was taken in before it. A path may be renamed any number of times.
+    links = asof(steps.withColumn("path", F.col("new_path")), steps.withColumn("path", F.col("old_path")), "path", "at", F.col("id"), "next").drop("path")
     now = written(links, "renames")
     while not now.where("next is not null").isEmpty():
         ahead = now.select(F.col("id").alias("a_id"), F.col("new_path").alias("a_new"), F.col("next").alias("a_next"))

@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from pathlib import Path
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from siltmark.functions.strings import report_path
+from siltmark.operators.ordered import carried
 from siltmark.parse.profiles import CONVENTIONS
 from siltmark.schemas import COVERAGE, COVERAGE_FILES
 
@@ -26,21 +27,18 @@ def lcov(texts: DataFrame) -> DataFrame:
     """Coverage from lcov text: LH of LF at each end_of_record.
 
     Counts carry over to records that lack them, as does nothing else; a record without
-    lines or without a file is left out, and a file's last record counts.
+    lines or without a file is left out, and a file's last record counts. A report of any
+    length is read by several tasks.
     """
-    rows = _numbered(texts)
-    seen = Window.partitionBy("report").orderBy("n").rowsBetween(Window.unboundedPreceding, 0)
-
-    def carried(prefix: str, value: Column) -> Column:
-        return F.last(F.when(F.col("line").startswith(prefix), value), ignorenulls=True).over(seen)
-
+    line = F.col("line")
+    file, lines, hits, ends = line.startswith("SF:"), line.startswith("LF:"), line.startswith("LH:"), line == "end_of_record"
+    rows = _numbered(texts).where(file | lines | hits | ends)
     number = F.coalesce(F.substring("line", 4, 100).try_cast("double"), F.lit(0.0))
-    record = F.coalesce(F.sum(F.when(F.col("line") == "end_of_record", 1)).over(seen.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    rows = rows.withColumn("lf", carried("LF:", number)).withColumn("lh", carried("LH:", number)).withColumn("record", record)
-    own = Window.partitionBy("report", "record").orderBy("n").rowsBetween(Window.unboundedPreceding, 0)
-    name = F.last(F.when(F.col("line").startswith("SF:"), report_path(F.substring("line", 4, 10000))), ignorenulls=True).over(own)
-    ends = rows.withColumn("path", name).where("line = 'end_of_record' and lf > 0 and path is not null")
-    return ends.groupBy("path").agg(F.max_by(_share(F.coalesce("lh", F.lit(0.0)), F.col("lf")), F.struct("report", "n")).alias("pct"))
+    # The name of a record goes with its end, the counts stay.
+    name = F.when(file | ends, F.struct(F.when(file, report_path(F.substring("line", 4, 10000))).alias("path")))
+    rows = carried(rows, ["report"], ["n"], {"lf": F.when(lines, number), "lh": F.when(hits, number), "name": name}, before=True)
+    records = rows.where(ends).withColumn("path", F.col("name.path")).where("lf > 0 and path is not null")
+    return records.groupBy("path").agg(F.max_by(_share(F.coalesce("lh", F.lit(0.0)), F.col("lf")), F.struct("report", "n")).alias("pct"))
 
 
 def cobertura(texts: DataFrame) -> DataFrame:
@@ -53,11 +51,10 @@ def cobertura(texts: DataFrame) -> DataFrame:
     is_line = F.col("line").startswith("<line ") & F.col("line").contains("hits=")
     is_class = F.col("line").rlike('class filename="[^"]*"')
     hit = F.coalesce(F.regexp_extract("line", 'hits="([^"]*)"', 1).try_cast("double"), F.lit(0.0)) > 0
-    before = Window.partitionBy("report").orderBy("n").rowsBetween(Window.unboundedPreceding, -1)
-    upto = Window.partitionBy("report").orderBy("n").rowsBetween(Window.unboundedPreceding, 0)
     rows = rows.withColumn("name", F.when(is_class, report_path(begins))).withColumn("is_line", is_line & ~is_class)
-    ends = F.col("line").contains("</class>") & ~is_class & ~F.col("is_line")
-    rows = rows.withColumn("part", F.coalesce(F.sum(F.when(ends, 1)).over(before), F.lit(0))).withColumn("ends", ends)
+    rows = rows.withColumn("ends", F.col("line").contains("</class>") & ~is_class & ~F.col("is_line")).where("name is not null or is_line or ends")
+    # What belongs together has the same end before it.
+    rows = carried(rows, ["report"], ["n"], {"part": F.when(F.col("ends"), F.col("n"))}, before=True).fillna(-1, "part")
     rows = rows.groupBy("report", "part").agg(
         F.max_by("name", F.when(F.col("name").isNotNull(), F.col("n"))).alias("path"),
         F.count_if("is_line").alias("total"),

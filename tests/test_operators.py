@@ -1,5 +1,7 @@
 """Operators of the risk model on exact small examples."""
 
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -233,3 +235,53 @@ def test_shuffle_files_go_with_their_write(spark):
     with _shuffles_go(spark):
         assert spark.conf.get(name) == "true"
     assert spark.conf.get(name) == before
+
+
+def test_carried_over_ranges(spark):
+    """One key with nearly all rows, over several ranges, some of them without a value."""
+    from siltmark.operators.ordered import carried
+
+    rng = random.Random(1)
+    rows = [("hot", i, i if rng.random() < 0.001 or i == 5 else None) for i in range(20_000)] + [(f"k{i % 50}", i, i if i % 3 else None) for i in range(500)]
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    df = spark.createDataFrame(rows, "k string, n int, v int")
+    try:
+        got = {b: {(r.k, r.n): r.last for r in carried(df, ["k"], ["n"], {"last": F.col("v")}, before=b).collect()} for b in (False, True)}
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    held = {}
+    for k, n, v in sorted(rows):
+        assert got[True][k, n] == held.get(k)
+        held[k] = held.get(k) if v is None else v
+        assert got[False][k, n] == held.get(k)
+    assert len(got[True]) == len(rows)
+
+
+def test_asof_takes_earlier_rows_alone(spark):
+    from siltmark.operators.ordered import asof
+
+    left = spark.createDataFrame([("a", 1, "x"), ("a", 5, "y"), ("b", 5, "z"), ("a", 5, "y")], "k string, t int, v string")
+    right = spark.createDataFrame([("a", 1, 10), ("a", 4, 40), ("a", 5, 50), ("c", 1, 1), ("b", 2, None)], "k string, t int, w int")
+    got = sorted(((r.k, r.t, r.v, r.w) for r in asof(left, right, "k", "t", F.col("w"), "w").collect()), key=str)
+    assert got == [("a", 1, "x", None), ("a", 5, "y", 40), ("a", 5, "y", 40), ("b", 5, "z", None)]
+
+
+def replayed(steps):
+    """Fates of old paths, taking renames in from the newest on."""
+    fate = {}
+    for old, new in steps:
+        fate[old] = fate.get(new, new)
+    return fate
+
+
+@pytest.mark.parametrize("names,n", [(6, 400), (40, 400), (2, 20_000)])
+def test_renames_as_replayed(spark, names, n):
+    rng = random.Random(names)
+    steps = []
+    while len(steps) < n:
+        old, new = f"p{rng.randrange(names)}", f"p{rng.randrange(names)}"
+        if old != new:
+            steps.append((old, new))
+    c = spark.createDataFrame([(f"c{i}", i, 0, "", "") for i in range(n)], "commit_id string, walk_pos int, commit_ts long, author_email string, message string")
+    ch = spark.createDataFrame([(f"c{i}", 0, o, w, "R", False) for i, (o, w) in enumerate(steps)], "commit_id string, delta_pos int, old_path string, new_path string, status string, is_binary boolean")
+    assert {r.path: r.final for r in history.rename_map(c, ch, n).collect()} == replayed(steps)
