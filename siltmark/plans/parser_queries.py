@@ -12,7 +12,7 @@ from siltmark.plans.queries import query, table
 from siltmark.sources import lockfiles
 
 LANGUAGES = ("rust", "javascript", "go")
-NAMES = ("parsed_sources", "assertion_counts", "npm_lockfiles", "advisory_severity", "duplication_of_sources")
+NAMES = ("parsed_sources", "assertion_counts", "npm_lockfiles", "npm_nested_lockfiles", "advisory_severity", "duplication_of_sources")
 
 
 def _by_language(rust: Column, javascript: Column, go: Column, number: Column) -> Column:
@@ -109,6 +109,20 @@ def npm_lockfiles(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lockfiles.package_lock(table(spark, sf_dir, "supplier").select(F.when(F.col("s_suppkey") % 3 > 0, flat).otherwise(nested).alias("content"))).drop("n")
 
 
+@query("""
+SELECT 'a' || s_suppkey AS name, '1' AS version FROM supplier UNION ALL SELECT 'b' || s_suppkey, '2' FROM supplier
+UNION ALL SELECT 'c' || s_suppkey, '3' FROM supplier WHERE s_suppkey % 2 = 0 UNION ALL SELECT 'd' || s_suppkey || '_' || i, '4' FROM supplier, LATERAL unnest(range(0, s_suppkey % 4)) x(i)
+""")
+def npm_nested_lockfiles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """npm lockfiles that nest four levels deep, one for each supplier; versions that aren't texts don't count."""
+    k = F.col("s_suppkey")
+    fourth = F.transform(F.sequence(F.lit(0), (k % 4).cast("int")), lambda i: F.concat(F.lit('"d'), k.cast("string"), F.lit("_"), i.cast("string"), F.lit('":{"version":'), F.when(i == k % 4, "4").otherwise('"4"'), F.lit("}")))
+    third = F.concat(F.lit('"c'), k.cast("string"), F.lit('":{"version":'), F.when(k % 2 == 0, '"3"').otherwise("null"), F.lit(',"dependencies":{'), F.array_join(fourth, ","), F.lit("}}"))
+    text = F.concat(F.lit('{"lockfileVersion":1,"dependencies":{"a'), k.cast("string"), F.lit('":{"version":"1","dependencies":{"b'), k.cast("string"), F.lit('":{"version":"2","dependencies":{'), third, F.lit("}}}}}}"))
+    files = table(spark, sf_dir, "supplier").select(F.concat(F.lit("r"), k.cast("string"), F.lit("/package-lock.json")).alias("path"), text.alias("content"))
+    return lockfiles.dependencies(files).select("name", "version")
+
+
 _BAND = "CASE WHEN s >= 9 THEN 'critical' WHEN s >= 7 THEN 'high' WHEN s >= 4 THEN 'medium' ELSE 'low' END"
 
 

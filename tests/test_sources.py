@@ -158,3 +158,28 @@ def test_command_needs_a_repository(tmp_path):
     from siltmark.__main__ import main
 
     assert main([str(tmp_path)]) == 2
+
+
+def test_npm_of_any_depth(spark):
+    text = '{"x":{"version":"0","dependencies":{}}}'
+    for i in range(120):
+        text = f'{{"p{i}":{{"version":"{i}","dependencies":{text}}}}}'
+    limits = {k: spark.conf.get(k) for k in lockfiles._UNBOUNDED}
+    rows = lockfiles.package_lock(texts(spark, f'{{"dependencies":{text}}}', "{}", '{"dependencies":[{"version":"1"}]}', '{"dependencies":{"a":"1","b":{"version":1},"c":{"version":"2","dependencies":[]}}}'))
+    assert {(r.name, r.version) for r in rows.collect()} == {("x", "0"), ("c", "2")} | {(f"p{i}", str(i)) for i in range(120)}
+    assert limits == {k: spark.conf.get(k) for k in limits}
+    assert not [t for t in spark.catalog.listTables() if t.name.startswith("lock_texts")]
+
+
+def test_a_registered_lockfile_format(spark):
+    def mock(files):
+        rows = files.select(F.posexplode(F.split("content", "\n")).alias("i", "line"))
+        return rows.select(F.array("i").alias("n"), F.split("line", "=")[0].alias("name"), F.split("line", "=")[1].alias("version"), F.lit("mock").alias("ecosystem"))
+
+    files = spark.createDataFrame([("deep/er/mock.lock", "b=2\na=1"), ("Cargo.lock", '[[package]]\nname = "z"\nversion = "9"\n'), ("README", "b=3"), ("x/go.sum", "m v1.0 h1:x\n")], "path string, content string")
+    lockfiles.register("mock.lock", mock)
+    try:
+        rows = sorted(lockfiles.dependencies(files).collect())
+    finally:
+        del lockfiles.FORMATS["mock.lock"]
+    assert [tuple(r) for r in rows] == [(0, "z", "9", "crates.io"), (1, "m", "1.0", "Go"), (2, "b", "2", "mock"), (3, "a", "1", "mock")]
