@@ -102,26 +102,34 @@ def cvss_v3(vector: Column) -> Column:
     A missing metric weighs 0, an unknown value of one its default; the last of repeated
     metrics counts; privileges weigh the same whatever the scope.
     """
-    parts = F.transform(F.split(vector, "/"), F.trim)
+    keys = [*CVSS_METRICS, "S"]
 
-    def value(key: str) -> Column:
+    def value(parts: Column, key: str) -> Column:
         own = F.filter(parts, lambda p: p.startswith(f"{key}:"))
         return F.substring(F.try_element_at(own, F.lit(-1)), len(key) + 2, 1000)
 
-    def weight(key: str) -> Column:
+    def weight(values: Column, key: str) -> Column:
         table, other = CVSS_METRICS[key]
-        v = value(key)
-        out = F.when(v.isNull(), F.lit(0.0))
+        out = F.when(values[key].isNull(), F.lit(0.0))
         for name, w in table.items():
-            out = out.when(v == name, F.lit(w))
+            out = out.when(values[key] == name, F.lit(w))
         return out.otherwise(F.lit(other))
 
-    changed = F.coalesce(value("S") == "C", F.lit(False))
-    iss = F.lit(1.0) - (F.lit(1.0) - weight("C")) * (F.lit(1.0) - weight("I")) * (F.lit(1.0) - weight("A"))
-    impact = F.when(changed, F.lit(7.52) * (iss - F.lit(0.029)) - F.lit(3.25) * F.pow(iss - F.lit(0.02), F.lit(15.0))).otherwise(F.lit(6.42) * iss)
-    exploit = F.lit(8.22) * weight("AV") * weight("AC") * weight("PR") * weight("UI")
-    base = F.when(changed, F.lit(1.25) * (impact + exploit) - F.lit(0.7)).otherwise(impact + exploit)
-    return F.round(F.when(impact <= 0, F.lit(0.0)).otherwise(F.least(F.lit(10.0), base)) * 10) / 10
+    def terms(values: Column) -> Column:
+        iss = F.lit(1.0) - (F.lit(1.0) - weight(values, "C")) * (F.lit(1.0) - weight(values, "I")) * (F.lit(1.0) - weight(values, "A"))
+        exploit = F.lit(8.22) * weight(values, "AV") * weight(values, "AC") * weight(values, "PR") * weight(values, "UI")
+        return F.struct(F.coalesce(values["S"] == "C", F.lit(False)).alias("changed"), iss.alias("iss"), exploit.alias("exploit"))
+
+    def score(t: Column) -> Column:
+        impact = F.when(t["changed"], F.lit(7.52) * (t["iss"] - F.lit(0.029)) - F.lit(3.25) * F.pow(t["iss"] - F.lit(0.02), F.lit(15.0))).otherwise(F.lit(6.42) * t["iss"])
+        base = F.when(t["changed"], F.lit(1.25) * (impact + t["exploit"]) - F.lit(0.7)).otherwise(impact + t["exploit"])
+        return F.round(F.when(impact <= 0, F.lit(0.0)).otherwise(F.least(F.lit(10.0), base)) * 10) / 10
+
+    # Each step is a transform of one item, so that what it takes up many times is computed once a row.
+    held = F.array(F.transform(F.split(vector, "/"), F.trim))
+    for step in (lambda parts: F.struct(*[value(parts, k).alias(k) for k in keys]), terms, score):
+        held = F.transform(held, step)
+    return F.when(vector.isNotNull(), held[0])
 
 
 def cvss_score(database_specific: Column) -> Column:

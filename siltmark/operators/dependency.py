@@ -48,26 +48,27 @@ def merged_aliases(found: DataFrame, details: DataFrame) -> DataFrame:
 
     Ids whose least id or alias agrees are a group; the first RUSTSEC id of it is kept, or
     else its first id. All rows of kept ids stay; the first row of each takes over a real
-    severity and a summary from merged ids if its own is estimated or empty.
+    severity and a summary from merged ids if its own is estimated or empty. ``details`` has one row an
+    id; of several, any is taken.
     """
-    alias = details.select(F.col("id").alias("_id"), F.col("aliases"), F.col("summary").alias("d_summary"), detail_severity(F.col("database_specific")).alias("d_severity"))
-    rows = found.join(alias, F.col("id") == F.col("_id"), "left").drop("_id")
-    least = F.array_min(F.concat(F.array("id"), F.coalesce("aliases", F.array().cast("array<string>"))))
-    rows = rows.withColumn("canonical", least)
-    members = rows.groupBy("canonical", "id").agg(F.min("seq").alias("seq"), F.first("d_severity").alias("d_severity"), F.first("d_summary").alias("d_summary"))
-    # One id of a group is kept; groups are as small as the lists of aliases that name them.
-    first = F.min_by("id", F.struct(~F.col("id").startswith("RUSTSEC-"), F.col("seq"))).over(Window.partitionBy("canonical"))
-    chosen = members.withColumn("chosen", first)
-    other = chosen.where("id <> chosen and d_severity is not null or id <> chosen and trim(d_summary) <> ''")
-    gain = other.groupBy(F.col("chosen").alias("g")).agg(
-        F.min_by("d_severity", F.when(F.col("d_severity").isNotNull(), F.col("seq"))).alias("g_severity"),
-        F.min_by("d_summary", F.when(F.trim("d_summary") != "", F.col("seq"))).alias("g_summary"),
-    )
-    keep = chosen.select(F.col("chosen").alias("k")).distinct()
-    kept = rows.join(keep, F.col("id") == F.col("k"), "left_semi").join(gain, F.col("id") == F.col("g"), "left")
-    head = F.col("seq") == F.min("seq").over(Window.partitionBy("id"))
+    alias = details.select(F.col("id").alias("_id"), F.col("aliases"), F.col("summary").alias("d_summary"), detail_severity(F.col("database_specific")).alias("d_severity")).dropDuplicates(["_id"])
+    # Of an id with very many rows only one goes on.
+    ids = found.groupBy("id").agg(F.min("seq").alias("seq")).join(alias, F.col("id") == F.col("_id"), "left")
+    canonical = F.array_min(F.concat(F.array("id"), F.coalesce("aliases", F.array().cast("array<string>"))))
+    ids = ids.withColumn("canonical", canonical)
+    # Groups are as small as the lists of aliases that name them; both windows deal ids alike, so they are dealt once.
+    group = Window.partitionBy("canonical")
+    chosen = ids.withColumn("chosen", F.min_by("id", F.struct(~F.col("id").startswith("RUSTSEC-"), F.col("seq"))).over(group))
+    other = F.col("id") != F.col("chosen")
+    kept = chosen.select(
+        F.col("id").alias("k"), "chosen", F.col("seq").alias("k_seq"),
+        F.min_by("d_severity", F.when(other & F.col("d_severity").isNotNull(), F.col("seq"))).over(group).alias("g_severity"),
+        F.min_by("d_summary", F.when(other & (F.trim("d_summary") != ""), F.col("seq"))).over(group).alias("g_summary"),
+    ).where("k = chosen")
+    rows = found.join(kept, F.col("id") == F.col("k"))
+    head = F.col("seq") == F.col("k_seq")
     better = head & F.col("severity_estimated") & F.col("g_severity").isNotNull()
-    return kept.select(
+    return rows.select(
         "seq", "id", "package_name", "ecosystem", "version",
         F.when(better, F.col("g_severity")).otherwise(F.col("severity")).alias("severity"),
         F.when(better, F.lit(False)).otherwise(F.col("severity_estimated")).alias("severity_estimated"),
@@ -124,37 +125,32 @@ def imports(files: DataFrame) -> DataFrame:
     return files.select("path", F.explode(F.array_distinct(found)).alias("import_key"))
 
 
-def affected(found: DataFrame, used: DataFrame) -> DataFrame:
-    """(path, seq, id, severity): findings of the packages that a file imports (path, import_key)."""
-    key = F.when(F.col("ecosystem") == "crates.io", crate_import(F.col("package_name"))).otherwise(F.col("package_name"))
-    return used.distinct().join(found.withColumn("import_key", key), "import_key").select("path", "seq", "id", "severity")
+def _import_key() -> Column:
+    """The key under which files import the package of a finding."""
+    return F.when(F.col("ecosystem") == "crates.io", crate_import(F.col("package_name"))).otherwise(F.col("package_name"))
 
 
 def file_findings(files: DataFrame, found: DataFrame, used: DataFrame) -> DataFrame:
-    """``file_dependencies`` of ``affected(found, used)``, without a row for each file and finding of a package.
+    """(path, max_rank, cve_count) of all files from findings and imports (path, import_key); 0 without findings.
 
-    Findings are counted per import key before they meet the files that use it.
+    Findings are counted per import key before they meet the files that use it, so there is no row for each file and finding of a package.
     """
-    key = F.when(F.col("ecosystem") == "crates.io", crate_import(F.col("package_name"))).otherwise(F.col("package_name"))
-    per_key = found.groupBy(key.alias("import_key")).agg(F.max(severity_rank(F.col("severity"))).alias("rank"), F.count("*").alias("n"))
+    per_key = found.groupBy(_import_key().alias("import_key")).agg(F.max(severity_rank(F.col("severity"))).alias("rank"), F.count("*").alias("n"))
     worst = used.distinct().join(per_key, "import_key").groupBy("path").agg(F.max("rank").alias("max_rank"), F.sum("n").alias("cve_count"))
     return files.select("path").join(worst, "path", "left").select("path", F.coalesce("max_rank", F.lit(0)).alias("max_rank"), F.coalesce("cve_count", F.lit(0)).cast("int").alias("cve_count"))
 
 
-def with_affected_files(found: DataFrame, hits: DataFrame) -> DataFrame:
-    files = hits.groupBy(F.col("seq").alias("_seq")).agg(F.array_sort(F.collect_set("path")).alias("affected_files"))
-    return found.join(files, F.col("seq") == F.col("_seq"), "left").drop("_seq").withColumn("affected_files", F.coalesce("affected_files", F.array().cast("array<string>")))
-
-
-def file_dependencies(files: DataFrame, hits: DataFrame) -> DataFrame:
-    """(path, max_rank, cve_count) of all files; 0 without findings."""
-    worst = hits.groupBy("path").agg(F.max(severity_rank(F.col("severity"))).alias("max_rank"), F.count("*").alias("cve_count"))
-    return files.select("path").join(worst, "path", "left").select("path", F.coalesce("max_rank", F.lit(0)).alias("max_rank"), F.coalesce("cve_count", F.lit(0)).cast("int").alias("cve_count"))
+def with_affected_files(found: DataFrame, used: DataFrame) -> DataFrame:
+    """Findings with the sorted paths of the files that import their package; a package's list is made once, however many findings it has."""
+    keyed = found.withColumn("_key", _import_key())
+    wanted = used.join(keyed.select(F.col("_key").alias("import_key")).distinct(), "import_key", "left_semi")
+    lists = wanted.groupBy(F.col("import_key").alias("_used")).agg(F.array_sort(F.collect_set("path")).alias("affected_files"))
+    return keyed.join(lists, F.col("_key") == F.col("_used"), "left").drop("_key", "_used").withColumn("affected_files", F.coalesce("affected_files", F.array().cast("array<string>")))
 
 
-def dependency_dimension(parsed: DataFrame, hits: DataFrame, incomplete: bool) -> DataFrame:
-    """``incomplete`` says that advisories could not be asked for, so no file has complete data."""
-    rows = file_dependencies(parsed, hits).join(parsed.select("path", "parse_incomplete"), "path")
+def dependency_dimension(parsed: DataFrame, counts: DataFrame, incomplete: bool) -> DataFrame:
+    """From ``file_findings`` of parsed files; ``incomplete`` says that advisories could not be asked for, so no file has complete data."""
+    rows = counts.join(parsed.select("path", "parse_incomplete"), "path")
     missing = F.lit(incomplete) | F.col("parse_incomplete")
     risk = dependency_risk(F.col("max_rank"), F.col("cve_count"))
     detail = F.to_json(F.struct("max_rank", "cve_count"))

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from siltmark.functions.scores import clamped, final_heat, trend
-from siltmark.operators.ranking import first_rows
+from siltmark.operators.ranking import LIMITED, first_rows, largest
 from siltmark.schemas import DIMENSIONS, WEIGHTS
 
 TOP_SHARE = 0.05
@@ -63,14 +63,20 @@ def heats(composed: DataFrame, trends: DataFrame | None = None) -> DataFrame:
 
 def repository_heat(files: DataFrame) -> DataFrame:
     """One row, repo_total_heat_score, from (path, loc, final_heat_score): mean by lines of code plus a fifth of the top files' mean."""
-    top = top_files(files).agg(F.avg("final_heat_score").alias("top_mean"))
+    top = top_files(files, ranked=False).agg(F.avg("final_heat_score").alias("top_mean"))
     total = files.agg(F.sum("loc").alias("loc"), F.sum(F.col("final_heat_score") * F.col("loc")).alias("weighted"))
     score = F.when(F.coalesce("loc", F.lit(0)) == 0, F.lit(0.0)).otherwise(clamped(F.col("weighted") / F.col("loc") + F.lit(0.2) * F.coalesce("top_mean", F.lit(0.0))))
     return total.crossJoin(F.broadcast(top)).select(score.alias("repo_total_heat_score"))
 
 
-def top_files(files: DataFrame, share: float = TOP_SHARE, value: str = "final_heat_score", tie: str = "path") -> DataFrame:
-    """The ``share`` of files with the highest heat (one at least), ties by path; adds ``rank``."""
+def top_files(files: DataFrame, share: float = TOP_SHARE, value: str = "final_heat_score", tie: str = "path", ranked: bool = True, limited: int = LIMITED) -> DataFrame:
+    """The ``share`` of files with the highest heat (one at least), ties by path; adds ``rank`` if ``ranked``.
+
+    A top of more than ``limited`` files is chosen without sorting the others.
+    """
     n = files.count()
     most = max(1, math.ceil(n * share)) if n else 0
-    return first_rows(files, [F.col(value).desc(), F.col(tie)], most)
+    chosen = files if most <= limited else largest(files, value, tie, most, limited)
+    if not ranked and most > limited:
+        return chosen
+    return first_rows(chosen, [F.col(value).desc(), F.col(tie)], most, limited)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import logging
 import time
 from dataclasses import dataclass
 from datetime import datetime, timezone
@@ -16,6 +17,7 @@ from siltmark.operators import complexity, dependency, duplication, history, sco
 from siltmark.parse.tables import functions, parsed_files
 from siltmark.plans.session import written
 from siltmark.schemas import ANALYSIS_VERSION, DIMENSIONS, LANGUAGES, MAX_COMMITS, MIN_FILES, SCHEMA_VERSION
+from siltmark.sinks.log import observed
 from siltmark.sources import coverage, files, git, lockfiles, osv
 
 
@@ -78,7 +80,9 @@ class Scores:
 def score(inputs: Inputs, options: Options) -> Scores:
     """Scores of all files. Parsed files and dimension results are written once and reused."""
     readable = inputs.sources.where("skip_reason is null")
-    parsed = written(parsed_files(readable), "parsed")
+    skipped = F.col("skip_reason").isNotNull()
+    with observed(inputs.sources, "sources", logging.DEBUG, skipped=F.count_if(skipped), bytes=F.sum(F.when(~skipped, F.octet_length("source")))) as sources:
+        parsed = written(parsed_files(sources.where(~skipped)), "parsed")
     blocks = functions(parsed)
     metrics = written(complexity.file_metrics(parsed), "metrics")
 
@@ -88,8 +92,12 @@ def score(inputs: Inputs, options: Options) -> Scores:
     git_counts = history.git_metrics(commits, inputs.head, renames, options.as_of)
 
     found = dependency.enriched(dependency.findings(inputs.dependencies, inputs.osv_batch), inputs.osv_details)
-    found = written(dependency.merged_aliases(found, inputs.osv_details), "findings")
-    hits = written(dependency.affected(found, dependency.imports(readable.select("path", "source"))), "hits")
+    with observed(found, "advisories", logging.DEBUG, estimated=F.count_if("severity_estimated")) as every:
+        every = written(every, "advisories")
+    with observed(dependency.merged_aliases(every, inputs.osv_details), "findings without aliases", logging.DEBUG) as found:
+        found = written(found, "findings")
+    used = written(dependency.imports(readable.select("path", "source")), "imports")
+    worst = written(dependency.file_findings(parsed, found, used), "file-findings")
     incomplete = inputs.osv_status in ("offline", "query_failed")
 
     texts = readable.select("path", "language", "source").join(parsed.select("path", "loc"), "path")
@@ -99,14 +107,14 @@ def score(inputs: Inputs, options: Options) -> Scores:
         duplication.duplication_dimension(parsed, blocks),
         testing.test_dimension(parsed, links, inputs.coverage),
         history.change_dimension(parsed, timeline, options.as_of),
-        dependency.dependency_dimension(parsed, hits, incomplete),
+        dependency.dependency_dimension(parsed, worst, incomplete),
     ):
         results = results.unionByName(part)
-    results = written(results, "dimensions")
+    with observed(results, "dimensions", logging.DEBUG, missing=F.count_if(F.col("confidence.type") == "data_missing")) as results:
+        results = written(results, "dimensions")
 
     heat = scoring.heats(scoring.compositions(results))
     rewritten = history.history_rewritten(inputs.reflog)
-    worst = dependency.file_dependencies(parsed, hits)
     wide = metrics.join(git_counts, "path", "left").join(worst, "path").join(heat, "path").crossJoin(F.broadcast(rewritten))
     zero = ["commit_count", "distinct_authors", "last_modified_days_ago", "incident_commit_count"]
     wide = wide.select(
@@ -119,7 +127,7 @@ def score(inputs: Inputs, options: Options) -> Scores:
         "trend_coefficient", "final_heat_score", risk_tier(F.col("final_heat_score")).alias("tier"),
     )
     scored = written(wide, "scores")
-    return Scores(scored, results, dependency.with_affected_files(found, hits), scoring.top_files(scored), scoring.repository_heat(scored))
+    return Scores(scored, results, dependency.with_affected_files(found, used), scoring.top_files(scored), scoring.repository_heat(scored))
 
 
 def warnings(n_files: int, truncated: bool, incomplete_paths: list[str], options: Options) -> list[str]:

@@ -4,18 +4,12 @@ from __future__ import annotations
 
 import html
 import json
-import logging
-import os
 
 from pyspark.sql import DataFrame, Row
 from pyspark.sql import functions as F
 
 from siltmark.functions.strings import dom_id, fixed, listed, risk_tier, thousands
 
-log = logging.getLogger("siltmark")
-if os.environ.get("SILTMARK_DEBUG"):
-    logging.basicConfig(level=logging.DEBUG)
-
 
 def json_text(report: DataFrame) -> str:
     """The one-row report as indented JSON; ``detail`` is put in as JSON, not as a string."""

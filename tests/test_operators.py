@@ -190,12 +190,12 @@ def test_imports(spark):
 def test_affected_files_and_dimension(spark):
     rows = found(spark, [(0, [("A", "", '{"score": 9.1}'), ("B", "", '{"score": 2}')])], [])
     used = spark.createDataFrame([("a.rs", "x_y"), ("a.rs", "x_y"), ("b.rs", "other")], "path string, import_key string")
-    hits = dependency.affected(rows, used)
+    hits = dependency.file_findings(parsed, rows, used)
     parsed = spark.createDataFrame([("a.rs", False), ("b.rs", False), ("c.rs", True)], "path string, parse_incomplete boolean")
     got = {r.path: r for r in dependency.dependency_dimension(parsed, hits, False).collect()}
     assert got["a.rs"].risk_score == pytest.approx(80) and got["b.rs"].risk_score == 0 and got["c.rs"].risk_score == pytest.approx(40) and got["c.rs"].confidence.type == "data_missing"
     assert {r.confidence.type for r in dependency.dependency_dimension(parsed, hits, True).collect()} == {"not_applicable"}
-    assert {tuple(r.affected_files) for r in dependency.with_affected_files(rows, hits).collect()} == {("a.rs",)}
+    assert {tuple(r.affected_files) for r in dependency.with_affected_files(rows, used).collect()} == {("a.rs",)}
 
 
 def test_complexity_dimension(spark):
@@ -285,3 +285,35 @@ def test_renames_as_replayed(spark, names, n):
     c = spark.createDataFrame([(f"c{i}", i, 0, "", "") for i in range(n)], "commit_id string, walk_pos int, commit_ts long, author_email string, message string")
     ch = spark.createDataFrame([(f"c{i}", 0, o, w, "R", False) for i, (o, w) in enumerate(steps)], "commit_id string, delta_pos int, old_path string, new_path string, status string, is_binary boolean")
     assert {r.path: r.final for r in history.rename_map(c, ch, n).collect()} == replayed(steps)
+
+
+@pytest.mark.parametrize("kind", ["spread", "tied", "one value", "skewed", "nulls"])
+@pytest.mark.parametrize("n", [1, 37, 1500, 2990, 5000])
+def test_largest_without_a_sort(spark, kind, n):
+    from siltmark.operators.ranking import largest
+
+    rng = random.Random(len(kind))
+    value = {"spread": rng.random, "tied": lambda: rng.randrange(4) / 3, "one value": lambda: 7.0, "skewed": lambda: 10.0 ** rng.randrange(-300, 300), "nulls": lambda: rng.choice([None, None, 1.5, rng.random()])}[kind]
+    rows = [(f"p{i}", value()) for i in range(3000)]
+    got = [tuple(r) for r in largest(spark.createDataFrame(rows, "path string, v double"), "v", "path", n, 20).collect()]
+    assert sorted(got, key=str) == sorted(sorted(rows, key=lambda r: (r[1] is None, -(r[1] or 0), r[0]))[:n], key=str)
+
+
+def test_large_top_has_ranks(spark):
+    rows = [(f"p{i:03}", float(i % 10)) for i in range(400)]
+    files = spark.createDataFrame(rows, "path string, final_heat_score double")
+    want = sorted(rows, key=lambda r: (-r[1], r[0]))[:100]
+    top = scoring.top_files(files, 0.25, limited=10)
+    assert sorted((r["rank"], r.path) for r in top.collect()) == [(i + 1, r[0]) for i, r in enumerate(want)]
+    assert {r.path for r in scoring.top_files(files, 0.25, ranked=False, limited=10).collect()} == {r[0] for r in want}
+
+
+def test_debug_log_counts_what_a_block_runs(spark, caplog):
+    import logging
+
+    from siltmark.sinks.log import observed
+
+    caplog.set_level(logging.DEBUG)
+    with observed(spark.range(10), "ten", logging.DEBUG, odd=F.count_if(F.col("id") % 2 == 1)) as rows:
+        assert rows.where("id > 100").count() == 0
+    assert "ten: rows 10, odd 5" in caplog.text
