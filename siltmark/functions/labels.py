@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from siltmark.functions.strings import risk_tier
+from siltmark.functions.strings import confidence_tier, risk_tier
 from siltmark.schemas import DIMENSIONS
 
 # What a report shows for each state.
@@ -17,6 +17,14 @@ SEVERITY_TEXTS = {"none": "None", "low": "Low", "medium": "Medium", "high": "Hig
 SEVERITY_CLASSES = {"low": "score-low", "medium": "score-medium", "high": "score-high", "critical": "score-critical"}
 SEVERITY_PILLS = {"none": "pill-muted", "low": "pill-low", "medium": "pill-medium", "high": "pill-high", "critical": "pill-critical"}
 
+# What a report shows for tiers of scores, and of confidence.
+RISK_LEVELS = {"low": "低风险", "medium": "中风险", "high": "高风险", "critical": "严重风险"}
+SCORE_COLORS = {"low": "color-green", "medium": "color-yellow", "high": "color-orange", "critical": "color-red"}
+RISK_TIERS = {"low": "tier-low", "medium": "tier-mid", "high": "tier-high", "critical": "tier-critical"}
+HEAT_FILLS = {"low": "fill-green", "medium": "fill-yellow", "high": "fill-orange", "critical": "fill-red"}
+CONFIDENCE_COLORS = {"high": "color-green", "medium": "color-yellow", "low": "color-orange"}
+CONFIDENCE_PILLS = {"high": "pill-low", "medium": "pill-medium", "low": "pill-high"}
+
 
 def labelled(value: Column, table: dict[str, str], other: str = "") -> Column:
     """The label of a value; ``other`` for values that the table lacks and for null."""
@@ -62,6 +70,21 @@ def tier_class(score: Column, prefix: str = "score") -> Column:
     return F.concat(F.lit(f"{prefix}-"), risk_tier(score))
 
 
+def by_score(score: Column, table: dict[str, str]) -> Column:
+    """The label of a score's tier; a missing score counts as 0."""
+    return labelled(risk_tier(F.coalesce(score, F.lit(0.0))), table)
+
+
+def by_confidence(coefficient: Column, table: dict[str, str]) -> Column:
+    """The label of the tier of a confidence from 0 to 1; a missing one counts as 0."""
+    return labelled(confidence_tier(F.coalesce(coefficient, F.lit(0.0))), table)
+
+
+def dimension_risk(dimensions: Column, idx: int) -> Column:
+    """The score of a file's dimension at a place from 0, 0 beyond the last."""
+    return F.coalesce(F.get(dimensions, F.lit(idx))["risk_score"], F.lit(0.0))
+
+
 def excluded_labels(dimensions: Column) -> Column:
     """Labels of the dimensions (dim, confidence) that don't apply, in their order."""
     out = F.filter(dimensions, lambda d: d["confidence"]["type"] == "not_applicable")

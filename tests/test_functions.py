@@ -3,7 +3,7 @@
 import pytest
 from pyspark.sql import functions as F
 
-from siltmark.functions import labels, scores, strings
+from siltmark.functions import hashes, labels, scores, strings
 
 
 def values(spark, rows, schema, column):
@@ -99,3 +99,17 @@ def test_report_labels(spark):
     assert one(spark, labels.mean_or_zero(F.array(F.lit(1.0), F.lit(3.0)))) == 2.0 and one(spark, labels.mean_or_zero(F.array().cast("array<double>"))) == 0.0
     assert one(spark, labels.affects(F.array(F.lit("a")), F.lit("a"))) and one(spark, labels.cut(F.lit("äöü"), 2)) == "äö"
     assert one(spark, labels.labelled(F.lit("none"), labels.SEVERITY_CLASSES)) == ""
+
+
+def test_fnv1a_vectors(spark):
+    """Published vectors of the 64-bit hash, and texts outside ASCII against a plain version."""
+
+    def plain(text):
+        h = 0xCBF29CE484222325
+        for b in text.encode():
+            h = (h ^ b) * 0x100000001B3 % 2**64
+        return h
+
+    texts = ["", "a", "foobar", "naïve 日本語", "x" * 500, None]
+    got = values(spark, [(t,) for t in texts], "s string", hashes.fnv1a64(F.col("s")))
+    assert [None if g is None else g % 2**64 for g in got] == [0xCBF29CE484222325, 0xAF63DC4C8601EC8C, 0x85944171F73967E8, plain(texts[3]), plain(texts[4]), None]
