@@ -6,13 +6,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from siltmark.functions import hashes, labels, strings
-from siltmark.operators import complexity, dependency, history, testing
+from siltmark.operators import complexity, dependency, history, ignores, testing
 from siltmark.operators.ordered import asof
 from siltmark.plans.queries import query, rounded, table
 from siltmark.schemas import MISSING_PARSE, MISSING_PARTIAL
 from siltmark.sources import coverage
 
-NAMES = ("report_levels", "complexity_states", "dependency_states", "advisory_answers", "tests_below", "renamed_timelines", "sniffed_reports", "module_names", "text_formats", "last_incident", "fnv_hashes")
+NAMES = ("report_levels", "complexity_states", "dependency_states", "advisory_answers", "tests_below", "renamed_timelines", "sniffed_reports", "module_names", "text_formats", "last_incident", "fnv_hashes", "layered_ignores")
 
 _TIER = "CASE WHEN o_orderkey % 101 < 30 THEN '{}' WHEN o_orderkey % 101 < 60 THEN '{}' WHEN o_orderkey % 101 < 80 THEN '{}' ELSE '{}' END"
 _SURE = "CASE WHEN o_orderkey % 11 >= 8 THEN '{}' WHEN o_orderkey % 11 >= 5 THEN '{}' ELSE '{}' END"
@@ -196,3 +196,17 @@ def fnv_hashes(spark: SparkSession, sf_dir: str) -> DataFrame:
     signed = hashes.fnv1a64(F.col("c_name")).cast("decimal(20,0)")
     unsigned = F.when(signed < 0, signed + F.lit(str(2**64)).cast("decimal(20,0)")).otherwise(signed)
     return table(spark, sf_dir, "customer").select("c_custkey", unsigned.cast("decimal(20,0)").cast("string").alias("fnv"))
+
+
+@query("""
+WITH p AS (SELECT p_partkey AS k, 'd' || (p_partkey % 5) || '/e' || (p_partkey % 7) || '/f' || p_partkey || (CASE WHEN p_partkey % 2 = 0 THEN '.rs' ELSE '.log' END) AS path FROM part),
+n AS (SELECT n_nationkey AS n FROM nation)
+SELECT path, k % 7 = 3 OR (k % 2 = 1 AND k NOT IN (SELECT n FROM n)) OR (k % 2 = 0 AND k IN (SELECT n * 10 FROM n WHERE n > 0 AND n % 5 = 0)) AS ignored FROM p
+""")
+def layered_ignores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Parts as files; the root's rules leave out logs and one folder, and nations' rules in five folders keep a log each and leave out a source file each."""
+    k, n = F.col("p_partkey"), F.col("n_nationkey").cast("string")
+    paths = table(spark, sf_dir, "part").select(F.concat(F.lit("d"), (k % 5).cast("string"), F.lit("/e"), (k % 7).cast("string"), F.lit("/f"), k.cast("string"), F.when(k % 2 == 0, ".rs").otherwise(".log")).alias("path"))
+    own = table(spark, sf_dir, "nation").select(F.concat(F.lit("d"), (F.col("n_nationkey") % 5).cast("string"), F.lit("/")).alias("folder"), F.col("n_nationkey").alias("layer"), F.concat(F.lit("# kept\n!f"), n, F.lit(".log\n\nf"), n, F.lit("0.rs\n!e3/f*\n")).alias("content"))
+    root = spark.createDataFrame([("", 0, "*.log\r\ne3/\n")], "folder string, layer int, content string")
+    return ignores.ignored_paths(paths, ignores.rules_of(root.unionByName(own)))
