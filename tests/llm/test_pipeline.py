@@ -1,6 +1,7 @@
 """The pipeline's stages, one after the other, against the operators they call."""
 
 import corpus_pipeline
+from pyspark.sql import functions as F
 from siltmark.llm import linededup, mixing, neardup, packing, quality, queries
 from siltmark.plans.session import written
 from tests.llm.fixtures import empty, frame
@@ -50,3 +51,15 @@ def test_every_operator_is_registered():
     names = queries.queries()
     assert {n.split("_")[0] for n in names} == {f"op{i}" for i in range(1, 11)}
     assert set(queries.oracle_sql()) <= set(names)
+
+
+def test_stages_keep_columns_of_any_name(spark, sf_dir):
+    """Columns named as the operators name their own in between."""
+    names = "middle spread typical entropy copies off limit key row rank target size finish site at fp bucket words lines bad part n h place base a b tree block".split()
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    wide = docs.select("*", *[F.lit(n).alias(n) for n in names])
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        plain, docs, wide = docs, written(stage(spark, docs, sf_dir), "t"), written(stage(spark, wide, sf_dir), "t")
+        assert wide.columns == [*plain.columns, *names], name
+        assert sorted(map(str, wide.select(*plain.columns).collect())) == sorted(map(str, docs.collect()))
+        assert wide.select(*names).distinct().collect() == [tuple(names)]
