@@ -9,9 +9,10 @@ from functools import reduce
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from siltmark.operators.ordered import carried
 from siltmark.operators.ranking import running_total
 from siltmark.plans.session import remove, ship_package, written
 
@@ -27,6 +28,8 @@ MARGIN, SINGLE_MARGIN = 256, 64
 PARTS = 4
 #: A document's chains are cut by so many a task, and aligned by so many words of the later document at a time.
 TASK_CHAINS, HELD_WORDS = 4096, 4096
+#: Seeds that two documents share for a comparison beyond least holders.
+AGAIN = 2
 #: Seeds are taken of texts of about so many words at a time.
 SEED_WORDS = 100_000
 #: Growing ends go on after a mismatch if words agree again within so many, and stop after so many words that don't agree.
@@ -461,7 +464,8 @@ def shared_passages(docs: DataFrame, k: int = K, window: int = WINDOW, min_words
     of their own that don't match each other. Other columns are ignored; an empty table gives an empty result.
 
     Two texts that share ``window + k - 1`` words in a row share a seed; a single seed is enough
-    for a candidate, and its ends grow over words that differ.
+    for a candidate, and its ends grow over words that differ. What is in no passage then, though
+    earlier documents hold its seeds, is compared once more with the nearest of these, of which two seeds are asked.
 
     The least holder of each seed comes from a partial aggregation; joining it back uses a
     join that adaptive execution splits where a seed is very frequent. This is done for one
@@ -484,15 +488,13 @@ def _passages(docs: DataFrame, k: int = K, window: int = WINDOW, min_words: int
         matched.append(_matches(seeds.where(F.col("part") == i).drop("part"), place_bits))
         remove(seeds, f"part={i}")
     remove(seeds)
-    matches = reduce(DataFrame.unionByName, matched).repartition("b_doc", "a_doc").sortWithinPartitions("b_doc", "a_doc", "b", "a")
-    shape = "b_doc long, a_doc long, b array<int>, a array<int>"
-    found = written(matches.select(*_CHAIN).mapInArrow(_chainer(k), shape), "chains")
+    matches = reduce(DataFrame.unionByName, matched)
+    out = _found(matches, rows, k, min_words, similarity)
+    later = _second_holders(matches, out)
     for table in matched:
         remove(table)
-    hot = found.groupBy(F.col("a_doc").alias("hot")).agg(F.ceil(F.count("*") / TASK_CHAINS).cast("int").alias("tasks")).where("tasks > 1")
-    hot = written(hot, "hot")
-    out = written(_aligned(found, rows, hot, k, min_words, similarity), "passages")
-    remove(found)
+    out = out.unionByName(_found(later, rows, k, min_words, similarity))
+    remove(later)
     spans = ["start", "end", "ref_start", "ref_end", "n_words", "similarity"]
     if not isinstance(names, DataFrame):
         return out.select((F.col("b_doc") + names).alias("doc_id"), F.lit(None).cast("long").alias("text_key"), (F.col("a_doc") + names).alias("ref_doc_id"), *spans)
@@ -500,6 +502,42 @@ def _passages(docs: DataFrame, k: int = K, window: int = WINDOW, min_words: int
     return out.where("ref_doc_id < doc_id").select("doc_id", "text_key", "ref_doc_id", *spans)
 
 
+def _found(matches: DataFrame, rows: DataFrame, k: int, min_words: int, similarity: float) -> DataFrame:
+    """Passages of matches (b_doc, b, a_doc, a), written: matches of two documents are chained, chains aligned."""
+    ordered = matches.repartition("b_doc", "a_doc").sortWithinPartitions("b_doc", "a_doc", "b", "a")
+    found = written(ordered.select(*_CHAIN).mapInArrow(_chainer(k), "b_doc long, a_doc long, b array<int>, a array<int>"), "chains")
+    hot = found.groupBy(F.col("a_doc").alias("hot")).agg(F.ceil(F.count("*") / TASK_CHAINS).cast("int").alias("tasks")).where("tasks > 1")
+    hot = written(hot, "hot")
+    out = written(_aligned(found, rows, hot, k, min_words, similarity), "passages")
+    remove(found)
+    return out
+
+
+def _second_holders(matches: DataFrame, passages: DataFrame) -> DataFrame:
+    """Matches of the seeds that no passage covers with the nearest earlier document that holds them too, written.
+
+    The least holders of a passage's seeds may be several documents that hold parts of it, each too short. What
+    is left over then meets the document before it among the holders of each seed, however many there are;
+    matches of the same two documents come along. Two documents need ``AGAIN`` seeds for this.
+    """
+    spans = passages.select("b_doc", F.col("start").cast("int").alias("b"), F.col("end").cast("int").alias("end"))
+    both = matches.unionByName(spans, allowMissingColumns=True)
+    so_far = Window.partitionBy("b_doc").orderBy("b", F.col("end").isNull()).rowsBetween(Window.unboundedPreceding, 0)
+    left = both.withColumn("covered", F.max("end").over(so_far)).where("a_doc is not null and (covered is null or covered <= b)")
+    left = written(left.select("b_doc", "b", "a_doc", "a"), "left")
+    # A seed is known by the place of its least holder.
+    holders = matches.join(left.select("a_doc", "a").distinct(), ["a_doc", "a"], "left_semi").groupBy("a_doc", "a", "b_doc").agg(F.min("b").alias("b"))
+    before = carried(holders, ["a_doc", "a"], ["b_doc"], {"before": F.struct("b_doc", "b")}, before=True).where("before is not null")
+    new = left.join(before.select("a_doc", "a", "b_doc", "before"), ["a_doc", "a", "b_doc"])
+    new = new.select("b_doc", "b", F.col("before.b_doc").alias("a_doc"), F.col("before.b").alias("a"))
+    new = written(new, "again")
+    pairs = new.groupBy("b_doc", "a_doc").agg(F.count("*").alias("n")).where(F.col("n") >= AGAIN).drop("n")
+    out = written(new.unionByName(left).join(pairs, ["b_doc", "a_doc"], "left_semi").select("b_doc", "b", "a_doc", "a"), "again")
+    remove(left)
+    remove(new)
+    return out
+
+
 def _aligned(found: DataFrame, rows: DataFrame, hot: DataFrame, k: int, min_words: int, similarity: float) -> DataFrame:
     """Passages of chains: (b_doc, a_doc, start, end, ref_start, ref_end, n_words, similarity)."""
     shape = "b_doc long, a_doc long, b array<int>, a array<int>"

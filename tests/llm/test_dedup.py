@@ -247,3 +247,21 @@ def test_fuzzy_passages_are_found(spark):
     assert max(r[1] - r[0] for r in substr.align(changed, other, [20], [20])) == 60
 
 
+
+
+def test_a_passage_whose_parts_have_earlier_holders(spark):
+    """Three documents hold overlapping thirds of a passage, each too short; of the two that hold it whole the later one repeats the earlier."""
+    rng = np.random.default_rng(8)
+    rows, n = [], 0
+    for case in range(20):
+        word = iter(f"w{case}x{x}" for x in rng.permutation(100_000))
+        passage = [next(word) for _ in range(125)]
+        for a, z in ((0, 45), (40, 85), (80, 125), (0, 125), (0, 125)):
+            own = [next(word) for _ in range(60)]
+            rows.append((n, " ".join(own[:30] + passage[a:z] + own[30:])))
+            n += 1
+    found = {r.doc_id: r for r in substr.shared_passages(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    for case in range(20):
+        r = found[5 * case + 4]
+        assert (r.ref_doc_id, r.start, r.end, r.ref_start, r.ref_end, r.similarity) == (5 * case + 3, 30, 155, 30, 155, 1.0)
+    assert len(found) == 20
