@@ -9,7 +9,7 @@ from functools import reduce
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from siltmark.operators.ordered import carried
@@ -493,7 +493,9 @@ def _passages(docs: DataFrame, k: int = K, window: int = WINDOW, min_words: int
     later = _second_holders(matches, out)
     for table in matched:
         remove(table)
-    out = out.unionByName(_found(later, rows, k, min_words, similarity))
+    named = later.select("b_doc").unionByName(later.select(F.col("a_doc").alias("b_doc"))).distinct()
+    few = rows.join(_sized(written(named, "named")), F.col("doc") == F.col("b_doc"), "left_semi")
+    out = out.unionByName(_found(later, few, k, min_words, similarity))
     remove(later)
     spans = ["start", "end", "ref_start", "ref_end", "n_words", "similarity"]
     if not isinstance(names, DataFrame):
@@ -520,13 +522,13 @@ def _second_holders(matches: DataFrame, passages: DataFrame) -> DataFrame:
     is left over then meets the document before it among the holders of each seed, however many there are;
     matches of the same two documents come along. Two documents need ``AGAIN`` seeds for this.
     """
-    spans = passages.select("b_doc", F.col("start").cast("int").alias("b"), F.col("end").cast("int").alias("end"))
-    both = matches.unionByName(spans, allowMissingColumns=True)
-    so_far = Window.partitionBy("b_doc").orderBy("b", F.col("end").isNull()).rowsBetween(Window.unboundedPreceding, 0)
-    left = both.withColumn("covered", F.max("end").over(so_far)).where("a_doc is not null and (covered is null or covered <= b)")
-    left = written(left.select("b_doc", "b", "a_doc", "a"), "left")
+    spans = passages.groupBy(F.col("b_doc").alias("s_doc")).agg(F.collect_list(F.struct("start", "end")).alias("spans"))
+    covered = F.coalesce(F.exists("spans", lambda s: (F.col("b") >= s["start"]) & (F.col("b") < s["end"])), F.lit(False))
+    joined = matches.join(_sized(written(spans, "spans")), F.col("b_doc") == F.col("s_doc"), "left")
+    left = written(joined.where(~covered).select("b_doc", "b", "a_doc", "a"), "left")
     # A seed is known by the place of its least holder.
-    holders = matches.join(left.select("a_doc", "a").distinct(), ["a_doc", "a"], "left_semi").groupBy("a_doc", "a", "b_doc").agg(F.min("b").alias("b"))
+    known = _sized(written(left.select("a_doc", "a").distinct(), "known"))
+    holders = matches.join(known, ["a_doc", "a"], "left_semi").groupBy("a_doc", "a", "b_doc").agg(F.min("b").alias("b"))
     before = carried(holders, ["a_doc", "a"], ["b_doc"], {"before": F.struct("b_doc", "b")}, before=True).where("before is not null")
     new = left.join(before.select("a_doc", "a", "b_doc", "before"), ["a_doc", "a", "b_doc"])
     new = new.select("b_doc", "b", F.col("before.b_doc").alias("a_doc"), F.col("before.b").alias("a"))
@@ -538,6 +540,11 @@ def _second_holders(matches: DataFrame, passages: DataFrame) -> DataFrame:
     return out
 
 
+def _sized(table: DataFrame, most: int = 1 << 20) -> DataFrame:
+    """A written table of small rows, to be sent to every task if it has at most ``most`` of them."""
+    return F.broadcast(table) if table.count() <= most else table
+
+
 def _aligned(found: DataFrame, rows: DataFrame, hot: DataFrame, k: int, min_words: int, similarity: float) -> DataFrame:
     """Passages of chains: (b_doc, a_doc, start, end, ref_start, ref_end, n_words, similarity)."""
     shape = "b_doc long, a_doc long, b array<int>, a array<int>"
