@@ -488,15 +488,18 @@ def _passages(docs: DataFrame, k: int = K, window: int = WINDOW, min_words: int
         matched.append(_matches(seeds.where(F.col("part") == i).drop("part"), place_bits))
         remove(seeds, f"part={i}")
     remove(seeds)
-    matches = reduce(DataFrame.unionByName, matched)
-    out = _found(matches, rows, k, min_words, similarity)
-    later = _second_holders(matches, out)
+    found = _chained(reduce(DataFrame.unionByName, matched), k)
     for table in matched:
         remove(table)
+    out = _passages_of(found, rows, k, min_words, similarity)
+    later = _second_holders(found, out)
+    remove(found)
     named = later.select("b_doc").unionByName(later.select(F.col("a_doc").alias("b_doc"))).distinct()
     few = rows.join(_sized(written(named, "named")), F.col("doc") == F.col("b_doc"), "left_semi")
-    out = out.unionByName(_found(later, few, k, min_words, similarity))
+    again = _chained(later, k)
     remove(later)
+    out = out.unionByName(_passages_of(again, few, k, min_words, similarity))
+    remove(again)
     spans = ["start", "end", "ref_start", "ref_end", "n_words", "similarity"]
     if not isinstance(names, DataFrame):
         return out.select((F.col("b_doc") + names).alias("doc_id"), F.lit(None).cast("long").alias("text_key"), (F.col("a_doc") + names).alias("ref_doc_id"), *spans)
@@ -504,24 +507,27 @@ def _passages(docs: DataFrame, k: int = K, window: int = WINDOW, min_words: int
     return out.where("ref_doc_id < doc_id").select("doc_id", "text_key", "ref_doc_id", *spans)
 
 
-def _found(matches: DataFrame, rows: DataFrame, k: int, min_words: int, similarity: float) -> DataFrame:
-    """Passages of matches (b_doc, b, a_doc, a), written: matches of two documents are chained, chains aligned."""
+def _chained(matches: DataFrame, k: int) -> DataFrame:
+    """Chains (b_doc, a_doc, b, a) of matches (b_doc, b, a_doc, a) of two documents, written."""
     ordered = matches.repartition("b_doc", "a_doc").sortWithinPartitions("b_doc", "a_doc", "b", "a")
-    found = written(ordered.select(*_CHAIN).mapInArrow(_chainer(k), "b_doc long, a_doc long, b array<int>, a array<int>"), "chains")
+    return written(ordered.select(*_CHAIN).mapInArrow(_chainer(k), "b_doc long, a_doc long, b array<int>, a array<int>"), "chains")
+
+
+def _passages_of(found: DataFrame, rows: DataFrame, k: int, min_words: int, similarity: float) -> DataFrame:
+    """Passages of chains, written."""
     hot = found.groupBy(F.col("a_doc").alias("hot")).agg(F.ceil(F.count("*") / TASK_CHAINS).cast("int").alias("tasks")).where("tasks > 1")
     hot = written(hot, "hot")
-    out = written(_aligned(found, rows, hot, k, min_words, similarity), "passages")
-    remove(found)
-    return out
+    return written(_aligned(found, rows, hot, k, min_words, similarity), "passages")
 
 
-def _second_holders(matches: DataFrame, passages: DataFrame) -> DataFrame:
-    """Matches of the seeds that no passage covers with the nearest earlier document that holds them too, written.
+def _second_holders(found: DataFrame, passages: DataFrame) -> DataFrame:
+    """Matches of the chained seeds that no passage covers with the nearest earlier document that holds them too, written.
 
     The least holders of a passage's seeds may be several documents that hold parts of it, each too short. What
     is left over then meets the document before it among the holders of each seed, however many there are;
     matches of the same two documents come along. Two documents need ``AGAIN`` seeds for this.
     """
+    matches = found.select("b_doc", "a_doc", F.inline(F.arrays_zip("b", "a")))
     spans = passages.groupBy(F.col("b_doc").alias("s_doc")).agg(F.collect_list(F.struct("start", "end")).alias("spans"))
     covered = F.coalesce(F.exists("spans", lambda s: (F.col("b") >= s["start"]) & (F.col("b") < s["end"])), F.lit(False))
     joined = matches.join(_sized(written(spans, "spans")), F.col("b_doc") == F.col("s_doc"), "left")
