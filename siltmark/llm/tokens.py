@@ -12,6 +12,8 @@ import sys
 from array import array
 from collections.abc import Iterator
 
+from siltmark.llm.memory import give_back
+
 TWO_SPACES = re.compile(r"\s\s")
 #: ASCII punctuation but the apostrophe, which may begin a pre-token of its own.
 MARKS = "".join(c for c in string.punctuation if c != "'")
@@ -156,6 +158,7 @@ def encoder(path: str) -> Iterator[Encoder]:
     finally:
         for words in (own.first, own.later):
             words.clear()
+        give_back()
 
 
 def tokenizer_path(name: str) -> str:
