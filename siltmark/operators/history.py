@@ -15,17 +15,17 @@ from siltmark.schemas import MAX_COMMITS
 RECENT_SECONDS = 90 * 86400
 
 
-def walked(commits: DataFrame, max_commits: int = MAX_COMMITS) -> DataFrame:
-    """The latest ``max_commits`` commits of the walk; walk_pos counts from 0, newest first."""
-    return commits.where(F.col("walk_pos") < max_commits)
+def walked(commits: DataFrame, max_commits: int | None = MAX_COMMITS) -> DataFrame:
+    """The latest ``max_commits`` commits of the walk, or all for None; walk_pos counts from 0, newest first."""
+    return commits if max_commits is None else commits.where(F.col("walk_pos") < max_commits)
 
 
 def is_truncated(commits: DataFrame, max_commits: int = MAX_COMMITS) -> Column:
     return F.coalesce(F.max("walk_pos") >= max_commits, F.lit(False)).alias("history_truncated")
 
 
-def rename_map(commits: DataFrame, changes: DataFrame, max_commits: int = MAX_COMMITS) -> DataFrame:
-    """(path, final): where a renamed path ended up within the walked commits.
+def rename_map(commits: DataFrame, changes: DataFrame, max_commits: int | None = MAX_COMMITS) -> DataFrame:
+    """(path, final): where a renamed path ended up within the walked commits, or all of them for ``max_commits`` None.
 
     A rename leads on to the latest known fate of its new path among newer commits. Where a
     path was renamed in several commits, the oldest of them decides for changes under the old

@@ -359,7 +359,7 @@ def rename_resolution(spark: SparkSession, sf_dir: str) -> DataFrame:
     commits = rows.select(ident.alias("commit_id"), (F.col("most") - k).cast("int").alias("walk_pos"), F.lit(0).cast("long").alias("commit_ts"), F.lit("").alias("author_email"), F.lit("").alias("message"))
     name = lambda n: F.concat(F.lit("n"), n.cast("string"))
     changes = rows.select(ident.alias("commit_id"), F.lit(0).alias("delta_pos"), name(k).alias("old_path"), name(k + 1).alias("new_path"), F.lit("R").alias("status"), F.lit(False).alias("is_binary"))
-    return history.rename_map(commits, changes)
+    return history.rename_map(commits, changes, max_commits=None)
 
 
 @query("""

@@ -317,3 +317,12 @@ def test_debug_log_counts_what_a_block_runs(spark, caplog):
     with observed(spark.range(10), "ten", logging.DEBUG, odd=F.count_if(F.col("id") % 2 == 1)) as rows:
         assert rows.where("id > 100").count() == 0
     assert "ten: rows 10, odd 5" in caplog.text
+
+
+def test_renames_beyond_the_default_walk(spark, tmp_path):
+    """The query follows every rename, however many commits there are; a walk is cut only where its caller says so."""
+    from siltmark.plans.queries import rename_resolution
+
+    spark.range(6006).selectExpr("id + 1 AS c_custkey").write.parquet(str(tmp_path / "customer.parquet"))
+    got = {r.path: r.final for r in rename_resolution(spark, str(tmp_path)).collect()}
+    assert got == {f"n{k}": f"n{k // 6 * 6 + 5}" for k in range(1, 6007) if k % 6 < 5 and k // 6 * 6 + 5 <= 6006}
