@@ -179,6 +179,19 @@ def test_copies_do_not_narrow_a_band(spark):
     assert {r.doc_id for r in quality.kept_documents(docs).collect()} == out
 
 
+def test_model_learns_from_every_different_text(spark):
+    """Texts that share most of their shingles count each; exact copies count once."""
+    first = "".join(f"word{i} " for i in range(60))
+    texts = [first + end for end in ("zebra", "quartz crystal", "jumping fox over", "zebra", "zebra")]
+    assert len({quality.copies_key(t) for t in texts}) < len(set(texts))
+    docs = spark.createDataFrame([(i, t, "en") for i, t in enumerate(texts)], "doc_id long, text string, lang string")
+    letters = quality.alphabets(docs)
+    want = Counter()
+    for t in set(texts):
+        want.update(ngram.codes_of(quality.classes(t, letters["en"]), quality.ORDER).tolist())
+    assert {r.code: r.n for r in quality.grams(docs, letters).collect()} == want
+
+
 def test_entropy_equals_plain_model(spark):
     docs = spark.createDataFrame([r for r in corpus() if r[1]][:40], "doc_id long, text string, lang string")
     counts = Counter()
