@@ -6,8 +6,7 @@ context without its oldest word is a state, and the one without its newest word
 examined. It becomes a state if its next words diverge enough from those of the state that
 it extends: the sum over its next words of count * ln(P(word | context) / P(word | shorter)),
 where P(word | context) leaves out the occurrence that it predicts, must exceed
-``threshold``. A context seen more than ``sure`` times is a state without this test, which it
-could only fail with a divergence under threshold / sure a word. The test takes P(word | shorter) in 16 bits. Distributions are smoothed
+``threshold``. The test takes P(word | shorter) in 16 bits. Distributions are smoothed
 towards those of the next shorter state, (count + weight * P(word | shorter)) / (total + weight), and the
 root's is (count + 0.1) / (all + 0.1 * (distinct + 1)); each adds up to 1 over known words and one
 unknown one. A word is scored by the longest state that its history ends with.
@@ -15,14 +14,17 @@ unknown one. A word is scored by the longest state that its history ends with.
 Texts are cut into blocks of words, read once. At each level every block sends its distinct
 n-grams, with their counts in training texts, to the part of the table that owns their
 context, and gets total counts and verdicts back, so the model is nowhere whole; it has as
-many n-grams as the corpus. N-grams of contexts that are states for sure are dealt by
-themselves, so that frequent words do not meet in one task. Words and n-grams are told apart by
+many n-grams as the corpus. N-grams of a frequent context are dealt in buckets, as many as its
+count asks for, so that they do not meet in one task; the buckets' shares of its divergence are added up
+before the verdict, so it is tested like any other. Words and n-grams are told apart by
 64-bit hashes.
 """
 
 from __future__ import annotations
 
 import contextlib
+import math
+from collections import defaultdict
 from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import reduce
@@ -40,7 +42,9 @@ from pyspark.sql import functions as F
 from siltmark.llm.memory import give_back
 from siltmark.plans.session import remove, ship_package, written
 
-DEPTH, MIN_COUNT, THRESHOLD, WEIGHT, SURE = 3, 4, 2.0, 64.0, 1 << 20
+DEPTH, MIN_COUNT, THRESHOLD, WEIGHT = 3, 4, 2.0, 64.0
+#: A context seen more often is dealt in buckets of about ``BUCKET`` occurrences.
+FREQUENT, BUCKET = 1 << 20, 1 << 18
 #: Bytes of a block of texts, and words of the corpus for each part of the table.
 BLOCK, PART = 3 << 20, 1 << 19
 #: Turns in which blocks meet their answers.
@@ -55,7 +59,7 @@ _ASK_BYTES, _ROWS = 1 << 20, 4
 _DOC = np.dtype([("row", "<i8"), ("doc_id", "<i8"), ("null", "?"), ("train", "?"), ("skip", "<i4"), ("size", "<i4"), ("known", "<i8"), ("base", "<f8"), ("score", "<f8")])
 _STATE = "block long, size long, docs binary, words binary, counts binary, ids binary, at binary, p binary, n binary"
 _ASKED = "part int, block long, sizes binary, contexts binary, context_n binary, keys binary, counts binary, p binary"
-_ANSWER = "block long, part int, totals binary, kept binary, n_total long, n_distinct long"
+_ANSWER = "block long, part int, totals binary, kept binary, n_total long, n_distinct long, contexts binary, gains binary"
 _RESULT = "row long, doc_id long, train boolean, n_tokens long, n_known long, base_score double, score double"
 
 
@@ -213,10 +217,10 @@ class _Grams:
     """The distinct n-grams of a level in a block, in the order in which parts are asked about them.
 
     The upper 24 bits of a key are those of its context's hash, which choose its part, or of
-    the n-gram's own where the context is a state for sure; the others are the n-gram's.
+    its context's and bucket's where the context is frequent; the others are the n-gram's.
     """
 
-    def __init__(self, b: _Block, level: int, parts: int, sure: int):
+    def __init__(self, b: _Block, level: int, parts: int, frequent: int):
         h = b.words[b.ids] if level else b.words
         if level == 0:
             keys, context, n = h, np.zeros(len(h), np.uint64), np.zeros(len(h), np.int64)
@@ -226,9 +230,14 @@ class _Grams:
                 context = _mixed(context, h[b.at - i])
             keys = _mixed(_mixed(context, np.full(1, level, np.uint64)), h[b.at])
             del h
-            n = np.where(b.n > sure, 0, b.n)
-            context[n == 0] = 0
-            keys ^= np.where(n > 0, (context ^ keys) & ~_LOW, 0)
+            n = b.n
+            owner = context.copy()
+            many = np.flatnonzero(n > frequent)
+            if len(many):
+                buckets = (1 + n[many] // min(BUCKET, frequent)).astype(np.uint64)
+                owner[many] = _mixed(context[many], keys[many] % buckets)
+            keys ^= (owner ^ keys) & ~_LOW
+            del owner, many
         order = np.argsort(keys)
         ordered = keys[order]
         new = np.ones(len(keys), bool)
@@ -252,6 +261,7 @@ class _Grams:
         new[1:] = (self.part[1:] != self.part[:-1]) | (context[1:] != context[:-1])
         self.heads = np.flatnonzero(new)
         self.contexts, self.context_n = context[self.heads], n[self.heads]
+        self.frequent = self.context_n > frequent
 
     def asked(self, block: int) -> Iterator[pa.RecordBatch]:
         sizes = np.diff(np.append(self.heads, len(self.keys)))
@@ -268,10 +278,11 @@ class _Grams:
         if rows:
             yield from _table(_ASKED, rows).to_batches()
 
-    def at_places(self, totals: np.ndarray, kept: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Answers, given in the order of questions, at the places of the block that asked."""
+    def at_places(self, totals: np.ndarray, kept: np.ndarray, failed: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Answers, given in the order of questions, at the places of the block that asked; ``failed`` are the frequent contexts that are no states."""
         if len(totals) != len(self.keys) or len(kept) != len(self.heads):
             raise ValueError("a part of the table did not answer")
+        kept = np.where(self.frequent, ~np.isin(self.contexts, failed), kept)
         kept = np.repeat(kept, np.diff(np.append(self.heads, len(self.keys))))
         return totals[self.place], kept[self.place]
 
@@ -287,21 +298,21 @@ class Root:
         return (counts + 0.1) / (self.n_all + 0.1 * (self.distinct + 1))
 
 
-def _asker(level: int, parts: int, sure: int, min_count: int, root: Root):
+def _asker(level: int, parts: int, frequent: int, min_count: int, root: Root):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for i in range(batch.num_rows):
                 b = _Block(batch.slice(i, 1).to_pylist()[0], min_count, root)
                 if level == 0 or len(b.at):
-                    yield from _Grams(b, level, parts, sure).asked(b.block)
+                    yield from _Grams(b, level, parts, frequent).asked(b.block)
                 del b
                 give_back()
 
     return run
 
 
-def _answerer(weight: float, threshold: float):
-    """Adds up what blocks counted, and tests contexts, which lie whole in this part."""
+def _answerer(weight: float, threshold: float, frequent: int, sure: int | None):
+    """Adds up what blocks counted, and tests contexts that lie whole in this part; of frequent ones it gives the shares of their divergence, a bucket each."""
 
     def run(asked: pa.Table) -> pa.Table:
         asked = asked.combine_chunks()
@@ -323,21 +334,39 @@ def _answerer(weight: float, threshold: float):
         tested = (totals > 0) & (n > 0)
         t, before, n = totals[tested], _fine(p[first[tested]]), n[tested]
         gain = t * np.log((t - 1 + weight * before) / ((n - 1 + weight) * before))
-        kept = (np.bincount(owner[tested], gain, len(which)) > threshold)[group] | (context_n == 0)
+        kept = (np.bincount(owner[tested], gain, len(which)) > threshold)[group]
+        if sure is not None:
+            kept |= context_n > sure
+        # Buckets are told apart by the upper bits of keys, so that shares do not depend on the number of parts.
+        shared = np.flatnonzero(n > frequent)
+        pairs = np.stack([which[owner[tested][shared]], ordered[new][tested][shared] >> np.uint64(40)], axis=1)
+        buckets, at = np.unique(pairs, axis=0, return_inverse=True)
+        shares = np.bincount(at.reshape(-1), gain[shared], len(buckets)).astype(float)
+        if sure is not None:
+            shares[np.bincount(at.reshape(-1), n[shared] > sure, len(buckets)) > 0] = np.inf
         out, a, i = [], 0, 0
         answers = totals[place]
         part = asked.column("part")[0].as_py()
         for block, m, g in zip(asked.column("block").to_pylist(), pc.binary_length(asked.column("counts")).to_pylist(), pc.binary_length(asked.column("sizes")).to_pylist()):
             m, g = m // 8, g // 4
-            out.append((block, part, _packed(answers[a : a + m]), _packed(kept[i : i + g]), 0, 0))
+            out.append((block, part, _packed(answers[a : a + m]), _packed(kept[i : i + g]), 0, 0, b"", b""))
             a, i = a + m, i + g
-        out.append((-1, part, b"", b"", int(totals.sum()), int((totals > 0).sum())))
+        out.append((-1, part, b"", b"", int(totals.sum()), int((totals > 0).sum()), np.ascontiguousarray(buckets[:, 0]).tobytes(), shares.tobytes()))
         return _table(_ANSWER, out)
 
     return run
 
 
-def _taker(level: int, last: bool, parts: int, sure: int, min_count: int, weight: float, root: Root):
+def _failed(answers: DataFrame, threshold: float) -> np.ndarray:
+    """Frequent contexts that are no states, by the sums of their buckets' shares; there is at most one for ``FREQUENT`` words of the corpus."""
+    shares = defaultdict(list)
+    for r in answers.where("block = -1 and length(contexts) > 0").select("contexts", "gains").toLocalIterator():
+        for context, gain in zip(np.frombuffer(r.contexts, "<u8").tolist(), np.frombuffer(r.gains, "<f8").tolist()):
+            shares[context].append(gain)
+    return np.array([c for c, gains in shares.items() if not math.fsum(gains) > threshold], np.uint64)
+
+
+def _taker(level: int, last: bool, parts: int, frequent: int, failed: np.ndarray, min_count: int, weight: float, root: Root):
     """Takes the answers of a level into a block: what the level settles is scored, the rest goes on."""
 
     def run(blocks: pa.Table, answers: pa.Table) -> pa.Table:
@@ -350,8 +379,8 @@ def _taker(level: int, last: bool, parts: int, sure: int, min_count: int, weight
             if level == 0 or len(b.at):
                 totals = np.concatenate([_unpacked(r["totals"], "<i8") for r in rows])
                 kept = np.concatenate([_unpacked(r["kept"], "?") for r in rows])
-                grams = _Grams(b, level, parts, sure)
-                t, go_on = grams.at_places(totals, kept)
+                grams = _Grams(b, level, parts, frequent)
+                t, go_on = grams.at_places(totals, kept, failed)
             if level == 0:
                 counts = np.zeros(len(b.words), np.int64)
                 counts[b.ids] = t
@@ -383,14 +412,15 @@ def _taker(level: int, last: bool, parts: int, sure: int, min_count: int, weight
 
 
 def score_texts(
-    docs: DataFrame, train: Column, depth: int = DEPTH, min_count: int = MIN_COUNT, threshold: float = THRESHOLD, weight: float = WEIGHT, sure: int = SURE, block: int = BLOCK
+    docs: DataFrame, train: Column, depth: int = DEPTH, min_count: int = MIN_COUNT, threshold: float = THRESHOLD, weight: float = WEIGHT, sure: int | None = None, block: int = BLOCK, frequent: int = FREQUENT
 ) -> DataFrame:
     """Scores of whole texts of ``docs`` (doc_id, text) by a tree learned from the rows where ``train`` is true.
 
     Returns doc_id, train, n_tokens, n_known, train_tokens, base_score and score, a row for
     every row, repeated ones included. Tokens are a text's words, A-Z lower-cased and cut at
     ASCII white space, and an end, so a null or empty text has one token. base_score uses the root alone. Both are sums of log10. A null ``train`` is
-    false; without training rows every word is the unknown one, of probability 1. Texts
+    false; contexts seen more than ``sure`` times, if given, are states untested;
+    ``frequent`` is the count from which a context's n-grams are dealt in buckets, and changes no result; without training rows every word is the unknown one, of probability 1. Texts
     of any length go over several blocks. Other columns are ignored. An empty table gives no rows.
     """
     ship_package(docs.sparkSession)
@@ -398,7 +428,7 @@ def score_texts(
     state = written(rows.mapInArrow(_cutter(depth, block), _STATE), "words")
     parts = 1 + (state.agg(F.sum("size")).first()[0] or 0) // PART
     with _small_batches(docs.sparkSession):
-        return _scored(state, parts, depth, min_count, threshold, weight, sure)
+        return _scored(state, parts, depth, min_count, threshold, weight, sure, frequent)
 
 
 @contextlib.contextmanager
@@ -413,16 +443,17 @@ def _small_batches(spark: SparkSession) -> Iterator[None]:
         spark.conf.set(name, before)
 
 
-def _scored(state: DataFrame, parts: int, depth: int, min_count: int, threshold: float, weight: float, sure: int) -> DataFrame:
+def _scored(state: DataFrame, parts: int, depth: int, min_count: int, threshold: float, weight: float, sure: int | None, frequent: int) -> DataFrame:
     """Scores of the texts in the blocks ``state``, level by level; every level's tables are written."""
     root, held = Root(), [state]
     for level in range(depth + 1):
-        asked = state.mapInArrow(_asker(level, parts, sure, min_count, root), _ASKED)
-        answers = written(asked.groupBy("part").applyInArrow(_answerer(weight, threshold), _ANSWER), "answers")
+        asked = state.mapInArrow(_asker(level, parts, frequent, min_count, root), _ASKED)
+        answers = written(asked.groupBy("part").applyInArrow(_answerer(weight, threshold, frequent, sure), _ANSWER), "answers")
         if level == 0:
             root = Root(*(x or 0 for x in answers.where("block = -1").agg(F.sum("n_total"), F.sum("n_distinct")).first()))
         last = level == depth
-        take = _taker(level, last, parts, sure, min_count, weight, root)
+        failed = _failed(answers, threshold) if level else np.zeros(0, np.uint64)
+        take = _taker(level, last, parts, frequent, failed, min_count, weight, root)
         after = []
         for i in range(TURNS):  # blocks take turns, so that the copies of them on the way to their answers are a fraction
             mine, theirs = (t.where(F.pmod("block", F.lit(TURNS)) == i).groupBy("block") for t in (state, answers.where("block >= 0")))

@@ -114,6 +114,20 @@ def test_longer_contexts_and_sure_states(spark):
     assert got == pytest.approx({i: w[3] for i, w in enumerate(want)}, rel=1e-5)
 
 
+def test_frequent_contexts_are_tested_too(spark, monkeypatch):
+    """Contexts dealt in buckets get the verdicts that they get whole, those that fail included."""
+    rng = random.Random(9)
+    texts = [*texts_of(6), *(" ".join(rng.choice("ghijk") for _ in range(100)) for _ in range(30))]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    train = F.col("doc_id") >= 20
+    kw = dict(min_count=3, threshold=12.0, weight=5.0, depth=2)
+    want, _, states, *_ = plain([(t, i >= 20) for i, t in enumerate(texts)], sure=1 << 40, **kw)
+    assert ("a", "b") in states and not any((a, b) in states for a in "ghijk" for b in "ghijk")  # each is seen over 20 times
+    monkeypatch.setattr(suffixtree, "PART", 100)
+    got = {r.doc_id: r.score for r in suffixtree.score_texts(docs, train, frequent=20, block=500, **kw).collect()}
+    assert got == pytest.approx({i: w[3] for i, w in enumerate(want)}, rel=1e-5)
+
+
 def test_empty_and_nothing_to_learn(spark):
     assert suffixtree.score_texts(fixtures.empty(spark), F.lit(True)).count() == 0
     rows = suffixtree.score_texts(fixtures.frame(spark), F.lit(None).cast("boolean")).collect()
