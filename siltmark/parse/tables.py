@@ -14,16 +14,28 @@ from siltmark.parse.scanner import count_assertions, rust_test_modules
 from siltmark.parse.structure import parse
 from siltmark.plans.session import ship_package
 
+TASKS_A_CORE = 4
 _FUNCTION = "start_line int, end_line int, complexity int, if_total int, if_nested int, if_chained int, if_max_depth int, tokens string"
 _FIELDS = [x.split()[0] for x in _FUNCTION.split(", ")]
 _STRUCT = f"array<struct<{_FUNCTION.replace(' int', ':int').replace(' string', ':string')}>>"
 
 
+def dealt(files: DataFrame, key: str = "path") -> DataFrame:
+    """``files`` over all cores, by ``key``: texts that fill few bytes of few files take long to parse.
+
+    There are a few tasks a core, so that slow ones even out; batches are streamed, so more rows make no task larger in memory.
+    """
+    spark = files.sparkSession
+    tasks = max(TASKS_A_CORE * spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    return files.repartition(tasks, key)
+
+
 def parsed_files(files: DataFrame) -> DataFrame:
     """(path, language, parsed, parse_incomplete, loc, functions) of source files (path, language, source).
 
     Files of a language without a profile are not parsed: their loc counts non-blank lines,
-    and they count as incomplete. A null source is an empty one. Texts stay behind here.
+    and they count as incomplete. A null source is an empty one. Texts stay behind here. The result is
+    computed wherever it is used: who uses it more than once writes it first.
     """
     ship_package(files.sparkSession)
 
@@ -41,7 +53,7 @@ def parsed_files(files: DataFrame) -> DataFrame:
             yield pd.DataFrame(rows, columns=["path", "language", "parsed", "parse_incomplete", "loc", "functions"])
 
     shape = f"path string, language string, parsed boolean, parse_incomplete boolean, loc int, functions {_STRUCT}"
-    return files.select("path", "language", "source").mapInPandas(run, shape)
+    return dealt(files.select("path", "language", "source")).mapInPandas(run, shape)
 
 
 def functions(parsed: DataFrame) -> DataFrame:

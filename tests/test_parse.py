@@ -119,3 +119,20 @@ def test_tables(spark):
     assert parsed["c.go"].loc == 0
     df = parsed_files(spark.createDataFrame(rows, "path string, language string, source string"))
     assert functions(df).first().complexity == 2
+
+
+def test_parsing_is_dealt_over_tasks(spark):
+    """One small file of many sources is parsed by many tasks."""
+    from siltmark.parse import tables
+
+    files = spark.range(100).selectExpr("cast(id AS string) AS path", "'rust' AS language", "'fn f() {}' AS source").coalesce(1)
+    parsed = tables.parsed_files(files)
+    assert parsed.rdd.getNumPartitions() >= tables.TASKS_A_CORE * spark.sparkContext.defaultParallelism
+    assert parsed.count() == 100
+
+
+def test_duplication_parses_once(spark, sf_dir):
+    """Sources are parsed before the duplication dimension, not again for each of its branches."""
+    from siltmark.plans.parser_queries import duplication_of_sources
+
+    assert "MapInPandas" not in duplication_of_sources(spark, sf_dir)._jdf.queryExecution().executedPlan().toString()
