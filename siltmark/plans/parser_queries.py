@@ -9,6 +9,7 @@ from siltmark.functions import scores
 from siltmark.operators import duplication
 from siltmark.parse import tables as parsing
 from siltmark.plans.queries import query, table
+from siltmark.plans.session import written
 from siltmark.sources import lockfiles
 
 LANGUAGES = ("rust", "javascript", "go")
@@ -90,6 +91,7 @@ def assertion_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     go = F.concat(F.lit("package m\nfunc TestA(t *testing.T) {\n"), _times("    assert.Equal(t, 1, 2)\n", n), _times('    t.Errorf("x")\n', more), F.lit('}\nfunc helper() { t.Fatal("n") }\n'))
     files = table(spark, sf_dir, "supplier").select("s_suppkey", _language(k % 3).alias("language"), _by_language(rust, javascript, go, k % 3).alias("source"))
     parsing.ship_package(spark)
+    files = parsing.dealt(files, "s_suppkey")
     inline = parsing.inline_tests(F.when(F.col("language") == "rust", F.col("source")).otherwise(""))
     return files.select("s_suppkey", parsing.assertion_count("source", "language").alias("assertions"), inline["test_loc"].alias("inline_lines"))
 
@@ -164,6 +166,6 @@ def duplication_of_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     lines = F.array_join(F.transform(F.sequence(F.lit(0), F.greatest((k % 9).cast("int") - 1, F.lit(0))), lambda i: F.concat(F.lit("    g"), name, F.lit("(1);\n"))), "")
     source = F.concat(F.lit("fn f"), name, F.lit("() {\n"), F.when(k % 9 > 0, lines).otherwise(""), F.lit("}\nfn s() {\n    h();\n}\n"))
     files = table(spark, sf_dir, "part").select(name.alias("path"), F.when(k % 10 == 0, "unknown").otherwise("rust").alias("language"), source.alias("source"))
-    parsed = parsing.parsed_files(files)
+    parsed = written(parsing.parsed_files(files), "parsed")
     out = duplication.duplication_dimension(parsed, parsing.functions(parsed))
     return out.select(F.col("path").cast("long").alias("p_partkey"), F.round("risk_score", 6).alias("risk_score"), F.col("confidence.type").alias("confidence"))
