@@ -9,10 +9,12 @@ from siltmark.functions.scores import test_risk
 from siltmark.functions.strings import SOURCE_ROOTS, TESTS_DIR, line_count, same_directory_tests, tested_candidates
 from siltmark.operators.dimensions import confidence
 from siltmark.parse.tables import assertion_count, inline_tests
-from siltmark.plans.session import ship_package
+from siltmark.plans.session import ship_package, written
 from siltmark.schemas import DIMENSIONS, MISSING_COVERAGE
 
 NEUTRAL_GAP = 50.0
+#: Files that every test directly under ``tests/`` tests.
+CRATE_ROOT = r"(^|/)src/(lib|main)\.rs$"
 
 
 def same_directory_links(files: DataFrame) -> DataFrame:
@@ -22,10 +24,19 @@ def same_directory_links(files: DataFrame) -> DataFrame:
 
 
 def tests_directory_links(files: DataFrame, pattern: str = TESTS_DIR, roots: tuple[str, ...] = SOURCE_ROOTS) -> DataFrame:
-    """(path, test_path) by the names of files under ``tests/``: candidates are derived from the test's side and joined by path."""
+    """(path, test_path) by the names of files under ``tests/``: candidates are derived from the test's side and joined by path.
+
+    All tests of a crate want its root files. Those are looked up in a table of the root files that exist, written so that
+    its size decides how it is joined; few as they are, the wanted ones are not shuffled to meet in one task.
+    """
     tests = files.select(F.col("path").alias("test_path")).where(F.col("test_path").rlike(pattern))
     wanted = tests.select("test_path", F.explode(F.array_distinct(tested_candidates(F.col("test_path"), pattern, roots))).alias("path"))
-    return files.select("path").join(wanted, "path").select("path", "test_path")
+    names = files.select("path")
+    crates = written(names.where(F.col("path").rlike(CRATE_ROOT)), "crates")
+    shared = crates.join(wanted.where(F.col("path").rlike(CRATE_ROOT)), "path")
+    # Merged by order: paths take far more memory as a table to be sent whole than the shuffled bytes by which Spark would choose that.
+    own = names.where(~F.col("path").rlike(CRATE_ROOT)).hint("merge").join(wanted.where(~F.col("path").rlike(CRATE_ROOT)), "path")
+    return own.unionByName(shared).select("path", "test_path")
 
 
 def first_rule(links: DataFrame) -> DataFrame:

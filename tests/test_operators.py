@@ -326,3 +326,14 @@ def test_renames_beyond_the_default_walk(spark, tmp_path):
     spark.range(6006).selectExpr("id + 1 AS c_custkey").write.parquet(str(tmp_path / "customer.parquet"))
     got = {r.path: r.final for r in rename_resolution(spark, str(tmp_path)).collect()}
     assert got == {f"n{k}": f"n{k // 6 * 6 + 5}" for k in range(1, 6007) if k % 6 < 5 and k // 6 * 6 + 5 <= 6006}
+
+
+def test_tests_of_one_crate_do_not_meet_in_one_task(spark):
+    """What all tests of a crate want is not shuffled by its name, and is found nevertheless."""
+    rows = [(f"tests/t{i}.rs",) for i in range(500)] + [("src/lib.rs",), ("src/t7.rs",), ("a/src/main.rs",), ("a/tests/x.rs",)]
+    out = testing.tests_directory_links(spark.createDataFrame(rows, "path string"))
+    got = sorted((r.path, r.test_path) for r in out.collect())
+    assert got == sorted([("src/lib.rs", f"tests/t{i}.rs") for i in range(500)] + [("src/t7.rs", "tests/t7.rs"), ("a/src/main.rs", "a/tests/x.rs")])
+    assert "BroadcastHashJoin" in out._jdf.queryExecution().executedPlan().toString()
+    none = testing.tests_directory_links(spark.createDataFrame([], "path string"))
+    assert none.columns == ["path", "test_path"] and none.count() == 0
