@@ -53,7 +53,7 @@ class _Model:
         self.base, self.base2 = np.cumsum(sizes) - sizes, self.lane * SLOTS
         self.cells2, self.cells1, self.base_search = self.lane * 8, self.lane * 4, self.lane << _TOTAL
         run, at = _spread(sizes)
-        self.run, self.least, self.first = run.astype(np.int32), (at + 1).astype(np.int16), self.base
+        self.least, self.first = (at + 1).astype(np.int16), self.base
         self.room = ((1 << _TOTAL) - sizes).astype(np.float64)
         self.places = at.astype(np.int16) if search else None
         self.slots1, self.slots2 = np.zeros(len(run), np.int16), np.zeros(lanes * SLOTS, np.int16)
@@ -69,9 +69,9 @@ class _Model:
         total = np.cumsum(self.counts, dtype=np.int64)
         last = total[self.base + self.sizes - 1]
         before = np.r_[0, last[:-1]]
-        total -= before.take(self.run)
+        total -= np.repeat(before, self.sizes)
         # A little more than the ratio, so that the last sum isn't rounded to less than the room.
-        share = (total * (self.room * (1 + 1e-12) / (last - before)).take(self.run)).astype(np.int16)
+        share = (total * np.repeat(self.room * (1 + 1e-12) / (last - before), self.sizes)).astype(np.int16)
         share += self.least
         self.begin[1:] = share[:-1]
         self.begin[self.first] = 0
@@ -83,11 +83,13 @@ class _Model:
         """Both guesses and the mixed counts."""
         self.at1 = self.base + self.before1
         self.at2 = (self.before1 * 421 + self.before2 * 29 & SLOTS - 1) + self.base2
-        self.slot1, self.slot2 = self.slots1.take(self.at1), self.slots2.take(self.at2)
-        self.one, self.two = self.slot1 >> 2, self.slot2 >> 2
-        self.cell2 = self.cells2 + ((self.slot2 & 3) | (self.one == self.two).view(np.int8) << 2)
-        self.cell1 = self.cells1 + (self.slot1 & 3)
-        mixed = self.mix2.take(self.cell2) + self.mix1.take(self.cell1)
+        slot1, slot2 = self.slots1.take(self.at1), self.slots2.take(self.at2)
+        self.one, self.two = slot1 >> 2, slot2 >> 2
+        self.sure1, self.sure2 = slot1 & 3, slot2 & 3
+        self.cell2 = self.cells2 + (self.sure2 | (self.one == self.two).view(np.int8) << 2)
+        self.cell1 = self.cells1 + self.sure1
+        self.mixed2, self.mixed1 = self.mix2.take(self.cell2), self.mix1.take(self.cell1)
+        mixed = self.mixed2 + self.mixed1
         self.n2 = mixed & _MASK
         self.n21 = (mixed >> _FIELD & _MASK) + self.n2
         self.n = (mixed >> 2 * _FIELD) + self.n21
@@ -95,11 +97,11 @@ class _Model:
     def learn(self, x: np.ndarray, wide: np.ndarray, says2: np.ndarray, says1: np.ndarray, kind: np.ndarray, rest: np.ndarray) -> None:
         """Takes in the places (``x``, and ``wide`` as longs). A right guess gains confidence, a wrong one gives way."""
         new = x << 2
-        self.slots2[self.at2] = np.where(says2, np.minimum(self.slot2 + 1, new | 3), new)
-        self.slots1[self.at1] = np.where(says1, np.minimum(self.slot1 + 1, new | 3), new)
+        self.slots2[self.at2] = new + np.minimum(self.sure2 + 1, 3) * says2
+        self.slots1[self.at1] = new + np.minimum(self.sure1 + 1, 3) * says1
         one = _ONE.take(kind)
-        self.mix2[self.cell2] += one
-        self.mix1[self.cell1] += one
+        self.mix2[self.cell2] = self.mixed2 + one
+        self.mix1[self.cell1] = self.mixed1 + one
         self.counts[rest] += _GAIN
         self.before2, self.before1 = self.before1, wide
         self.step += 1
@@ -167,16 +169,18 @@ def read_alphabets(blocks: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndar
     after = _HEAD.itemsize + n_bytes
     bits = np.unpackbits(np.frombuffer(b"".join([b[_HEAD.itemsize : e] for b, e in zip(blocks, after.tolist())]), np.uint8))
     run, at = _spread(sizes)
-    base = ((np.cumsum(n_bytes) - n_bytes) * 8)[run]
+    begin = (np.cumsum(n_bytes) - n_bytes) * 8
+    own = low[run]
+    place = begin[run] + at * own
     steps = np.zeros(len(run), np.int64)
     for i in range(int(low.max())):
-        mine = low[run] > i
-        steps[mine] |= bits[(base + at * low[run] + i)[mine]].astype(np.int64) << i
+        mine = np.flatnonzero(own > i) if low.min() <= i else slice(None)
+        where = place[mine] + i
+        steps[mine] |= bits.take(where).astype(np.int64) << i
+        bits[where] = 0
     # What is left of the bits are the unary parts: a 1 ends each.
-    block, place = _spread(n_bytes * 8)
-    ones = np.flatnonzero((bits == 1) & (place >= (low * sizes)[block]))
-    begin = base + (low * sizes)[run]
-    steps |= ones - np.where(at > 0, np.r_[0, ones[:-1]] + 1, begin) << low[run]
+    ones = np.flatnonzero(bits.view(bool))
+    steps |= ones - np.where(at > 0, np.r_[0, ones[:-1]] + 1, (begin + low * sizes)[run]) << own
     ids = np.cumsum(steps + (at > 0))
     first = np.cumsum(sizes) - sizes
     return ids - np.repeat(ids[first] - steps[first], sizes), sizes, after

@@ -12,11 +12,19 @@ import sys
 from array import array
 from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
+
 from siltmark.llm.memory import give_back
 
 TWO_SPACES = re.compile(r"\s\s")
 #: ASCII punctuation but the apostrophe, which may begin a pre-token of its own.
 MARKS = "".join(c for c in string.punctuation if c != "'")
+#: Words of letters below U+0130, as RE2 writes it.
+LETTERS = "^[" + "".join(c for c in map(chr, range(0x130)) if c.isalpha()) + "]+$"
+#: Texts of about so many bytes are cut into words at once.
+SLICE_BYTES = 8 << 20
 #: What a worker's caches of words may take, in bytes, and what an entry takes besides its characters and ids.
 CACHE_BYTES, ENTRY_BYTES = 128 << 20, 180
 
@@ -35,6 +43,10 @@ def _packed(ids: list[int]) -> bytes:
     return out.tobytes()
 
 
+def _listed(strings: pa.Array) -> list[str]:
+    return strings.to_numpy(zero_copy_only=False).tolist()  # to_pylist makes a scalar of each first
+
+
 class _Words(dict):
     """Ids (little-endian unsigned 16 bits) by word; ``lead`` stands before each word in its text.
 
@@ -45,7 +57,7 @@ class _Words(dict):
         super().__init__()
         self.tokenizer, self.lead, self.lower = tokenizer, lead, lower
         self.model, self.letters = tokenizer.model, _byte_letters()
-        self.lead_letters = lead.translate(self.letters)
+        self.lead_letters, self.line_letter = lead.translate(self.letters), chr(self.letters[10])
         self.tokenize, self.room = self.model.tokenize, room
         self.pair = [i.to_bytes(2, "little") for i in range(tokenizer.get_vocab_size())]
         self.marks: dict[str, bytes] = {}
@@ -58,6 +70,27 @@ class _Words(dict):
             self.room[0] -= ENTRY_BYTES + len(word) + len(ids)
             self[word] = ids
 
+    def _letters(self, text: str) -> bytes:
+        """Ids of a pre-token of letters below U+0130."""
+        plain = text if text.isascii() else text.encode().decode("latin-1").translate(self.letters)
+        pair = self.pair
+        return b"".join([pair[t.id] for t in self.tokenize(self.lead_letters + plain)])
+
+    def _all_letters(self, texts: list[str]) -> list[bytes]:
+        """``_letters`` of each text."""
+        if not texts:
+            return []
+        plain, pair, lead = "\n".join(texts).encode().decode("latin-1").translate(self.letters), self.pair, self.lead_letters
+        return [b"".join([pair[t.id] for t in tokens]) for tokens in map(self.tokenize, [lead + p for p in plain.split(self.line_letter)])]
+
+    def _marks(self, tail: str) -> bytes:
+        mark = self.marks.get(tail)
+        if mark is None:
+            mark = self._encode(tail)
+            if len(self.marks) < 10_000:
+                self.marks[tail] = mark
+        return mark
+
     def __missing__(self, word: str) -> bytes:
         # Letters below U+0130 are one pre-token, and marks behind them another: the letters go to the model as they are.
         stem = word.rstrip(MARKS)
@@ -65,23 +98,43 @@ class _Words(dict):
             text = stem.lower() if self.lower else stem
             ids = self.get(text)  # the same letters may have been seen with other marks or in another case
             if ids is None:
-                plain = text if text.isascii() else text.encode().decode("latin-1").translate(self.letters)
-                pair = self.pair
-                ids = b"".join([pair[t.id] for t in self.tokenize(self.lead_letters + plain)])
+                ids = self._letters(text)
                 if text != word:
                     self._keep(text, ids)
             if tail := word[len(stem) :]:
-                mark = self.marks.get(tail)
-                if mark is None:
-                    mark = self._encode(tail)
-                    if len(self.marks) < 10_000:
-                        self.marks[tail] = mark
-                ids += mark
+                ids += self._marks(tail)
         else:
             ids = self._encode(self.lead + word)
         self._keep(word, ids)
         return ids
 
+    def of(self, words: pa.Array) -> pa.Array:
+        """Ids of each of ``words``, which are all different; letters that words share are encoded and kept once."""
+        stems = pc.utf8_rtrim(words, characters=MARKS)
+        plain = pc.match_substring_regex(stems, LETTERS)
+        chosen = stems.filter(plain)
+        chosen = (pc.utf8_lower(chosen) if self.lower else chosen).dictionary_encode()
+        texts = _listed(chosen.dictionary)
+        found = list(map(self.get, texts))
+        missing = [i for i, ids in enumerate(found) if ids is None]
+        new = [texts[i] for i in missing]
+        coded = self._all_letters(new)
+        for i, ids in zip(missing, coded):
+            found[i] = ids
+        if self.room[0] > 0:
+            self.update(zip(new, coded))
+            self.room[0] -= len(new) * ENTRY_BYTES + sum(map(len, new)) + sum(map(len, coded))
+        heads = pa.array(found, pa.binary()).take(chosen.indices)
+        full = _listed(words.filter(plain))
+        cut = np.asarray(pc.utf8_length(stems.filter(plain))).tolist()
+        marks = self._marks
+        tails = pa.array([marks(w[n:]) if len(w) > n else b"" for w, n in zip(full, cut)], pa.binary())
+        odd = pa.array(map(self.__getitem__, _listed(words.filter(pc.invert(plain)))), pa.binary())
+        mask = np.asarray(plain)
+        place = np.empty(len(words), np.int64)
+        place[mask], place[~mask] = np.arange(len(full)), np.arange(len(full), len(words))
+        return pa.concat_arrays([pc.binary_join_element_wise(heads, tails, pa.scalar(b"", pa.binary())), odd]).take(pa.array(place))
+
 
 @contextlib.contextmanager
 def no_collection() -> Iterator[None]:
@@ -97,8 +150,8 @@ def no_collection() -> Iterator[None]:
 
 def drops_space(tokenizer) -> bool:
     """Whether a file lower-cases and drops white space; False for a plain byte-level file. Others raise ValueError."""
-    spec = json.loads(tokenizer.to_str())
-    normal, pre = spec["normalizer"], spec["pre_tokenizer"] or {}
+    normal, pre = (json.loads(x.__getstate__()) if x else None for x in (tokenizer.normalizer, tokenizer.pre_tokenizer))
+    pre = pre or {}
     steps = [normal, *normal.get("normalizers", [])] if normal else []
     cuts = [pre, *pre.get("pretokenizers", [])]
     levels = [c for c in cuts if c.get("type") == "ByteLevel"]
@@ -148,6 +201,24 @@ class Encoder:
             lines.append(self.first[head] + b"".join(map(self.later.__getitem__, rest)))
         return self.line_end.join(lines)
 
+    def ids_of(self, texts: pa.Array) -> Iterator[bytes]:
+        """``ids`` of each text. Where a file drops white space, different words are encoded once a slice of texts and taken by number."""
+        if not self.drops_space:
+            yield from map(self.ids, texts.to_pylist())
+            return
+        texts = pc.fill_null(texts, "")
+        before = np.cumsum(np.asarray(pc.binary_length(texts)), dtype=np.int64) // SLICE_BYTES
+        cuts = [0, *(np.flatnonzero(np.diff(before)) + 1).tolist(), len(texts)]
+        for a, b in zip(cuts, cuts[1:]):
+            lists = pc.split_pattern(pc.replace_substring(texts.slice(a, b - a), "\n", " "), " ")
+            words = lists.flatten().dictionary_encode()
+            ids = self.first.of(words.dictionary).take(words.indices)
+            ends = np.append(0, np.cumsum(np.asarray(pc.binary_length(ids)), dtype=np.int64))
+            ends = ends[np.append(0, np.cumsum(np.asarray(lists.value_lengths()), dtype=np.int64))].tolist()
+            data = ids.buffers()[2]
+            data = data.to_pybytes() if data else b""
+            yield from (data[x:y] for x, y in zip(ends, ends[1:]))
+
 
 @contextlib.contextmanager
 def encoder(path: str) -> Iterator[Encoder]:

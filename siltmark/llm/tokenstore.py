@@ -129,9 +129,8 @@ def _writer(tokenizer: str, end_id: int):
 
         with encoder(tokenizer_path(tokenizer)) as e, no_collection():
             for batch in batches:
-                coded = [e.ids(text.as_py()) + end for text in batch.column(1)]
-                for doc_id, ids in zip(batch.column(0).to_pylist(), coded):
-                    open_.add(doc_id, ids)
+                for doc_id, ids in zip(batch.column(0).to_pylist(), e.ids_of(batch.column(1))):
+                    open_.add(doc_id, ids + end)
                     if open_.n >= CHUNK_IDS:
                         ready.append(open_)
                         open_ = _Chunk()

@@ -3,12 +3,13 @@
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from siltmark.llm import packing, rangecoder, tokenstore
+from siltmark.llm import packing, rangecoder, tokens, tokenstore
 from siltmark.llm.tokens import Encoder, tokenizer_path
 from siltmark.plans.session import new_path
 from tests.llm.fixtures import documents, empty, frame
@@ -32,6 +33,25 @@ def test_encoder_on_random_text(text):
         assert list(np.frombuffer(encoder.ids(text), "<u2")) == encoder.tokenizer.encode(text, add_special_tokens=False).ids
 
 
+@pytest.mark.parametrize("size", [1, 50, 1 << 23])
+@pytest.mark.parametrize("name", ["word_bpe_49k.json", "byte_bpe_50k.json"])
+def test_many_texts_are_encoded_at_once(monkeypatch, name, size):
+    """Words of plain letters with marks are not looked up one by one, and slices of texts change nothing."""
+    monkeypatch.setattr(tokens, "SLICE_BYTES", size)
+    letters = [c for c in map(chr, range(0x140)) if c.isalpha()]
+    texts = [*ODD, None, *letters, *[f"x{c}{c}y" for c in letters], "Ab.. ab, AB aB!? Ab", "ÄÖ äö. äÖ'", *[r[1] for r in documents()[:50]], None]
+    encoder = Encoder(tokenizer_path(name))
+    want = [encoder.tokenizer.encode(t or "", add_special_tokens=False).ids for t in texts]
+    assert [list(np.frombuffer(b, "<u2")) for b in encoder.ids_of(pa.array(texts))] == want
+    assert list(encoder.ids_of(pa.array(texts[:40])[7:7])) == [] and list(encoder.ids_of(pa.array([None], pa.string()))) == [b""]
+    assert [list(np.frombuffer(b, "<u2")) for b in encoder.ids_of(pa.array(texts)[10:90])] == want[10:90]
+    if encoder.drops_space:
+        asked = []
+        monkeypatch.setattr(tokens._Words, "__missing__", lambda self, word: asked.append(word) or b"")
+        list(Encoder(tokenizer_path(name)).ids_of(pa.array(["Some plain words, of letters. Großer Ärger; 1 don't"])))
+        assert sorted(asked) == ["1", "don't"]
+
+
 def _cached(name, held={}):
     if name not in held:
         held[name] = Encoder(tokenizer_path(name))
