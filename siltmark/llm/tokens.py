@@ -27,6 +27,8 @@ LETTERS = "^[" + "".join(c for c in map(chr, range(0x130)) if c.isalpha()) + "]+
 SLICE_BYTES = 8 << 20
 #: What a worker's caches of words may take, in bytes, and what an entry takes besides its characters and ids.
 CACHE_BYTES, ENTRY_BYTES = 128 << 20, 180
+#: What they may take in a worker that keeps its encoder.
+KEPT_BYTES = 48 << 20
 
 
 def _byte_letters() -> dict[int, int]:
@@ -57,7 +59,7 @@ class _Words(dict):
         super().__init__()
         self.tokenizer, self.lead, self.lower = tokenizer, lead, lower
         self.model, self.letters = tokenizer.model, _byte_letters()
-        self.lead_letters, self.line_letter = lead.translate(self.letters), chr(self.letters[10])
+        self.lead_letters = lead.translate(self.letters)
         self.tokenize, self.room = self.model.tokenize, room
         self.pair = [i.to_bytes(2, "little") for i in range(tokenizer.get_vocab_size())]
         self.marks: dict[str, bytes] = {}
@@ -70,18 +72,11 @@ class _Words(dict):
             self.room[0] -= ENTRY_BYTES + len(word) + len(ids)
             self[word] = ids
 
-    def _letters(self, text: str) -> bytes:
-        """Ids of a pre-token of letters below U+0130."""
-        plain = text if text.isascii() else text.encode().decode("latin-1").translate(self.letters)
-        pair = self.pair
-        return b"".join([pair[t.id] for t in self.tokenize(self.lead_letters + plain)])
-
-    def _all_letters(self, texts: list[str]) -> list[bytes]:
-        """``_letters`` of each text."""
-        if not texts:
-            return []
-        plain, pair, lead = "\n".join(texts).encode().decode("latin-1").translate(self.letters), self.pair, self.lead_letters
-        return [b"".join([pair[t.id] for t in tokens]) for tokens in map(self.tokenize, [lead + p for p in plain.split(self.line_letter)])]
+    def _letters(self, texts: list[str]) -> list[bytes]:
+        """Ids of pre-tokens of letters below U+0130."""
+        letters, lead, pair = self.letters, self.lead_letters, self.pair
+        plain = [lead + (t if t.isascii() else t.encode().decode("latin-1").translate(letters)) for t in texts]
+        return [b"".join([pair[t.id] for t in tokens]) for tokens in map(self.tokenize, plain)]
 
     def _marks(self, tail: str) -> bytes:
         mark = self.marks.get(tail)
@@ -98,7 +93,7 @@ class _Words(dict):
             text = stem.lower() if self.lower else stem
             ids = self.get(text)  # the same letters may have been seen with other marks or in another case
             if ids is None:
-                ids = self._letters(text)
+                ids = self._letters([text])[0]
                 if text != word:
                     self._keep(text, ids)
             if tail := word[len(stem) :]:
@@ -118,17 +113,20 @@ class _Words(dict):
         found = list(map(self.get, texts))
         missing = [i for i, ids in enumerate(found) if ids is None]
         new = [texts[i] for i in missing]
-        coded = self._all_letters(new)
+        coded = self._letters(new)
         for i, ids in zip(missing, coded):
             found[i] = ids
-        if self.room[0] > 0:
-            self.update(zip(new, coded))
-            self.room[0] -= len(new) * ENTRY_BYTES + sum(map(len, new)) + sum(map(len, coded))
+        size = len(new) * ENTRY_BYTES + sum(map(len, new)) + sum(map(len, coded))
+        share = min(1.0, max(0, self.room[0]) / max(1, size))
+        self.update(zip(new[: int(len(new) * share)], coded))  # those that were met first, as they are the common ones
+        self.room[0] -= int(size * share)
         heads = pa.array(found, pa.binary()).take(chosen.indices)
-        full = _listed(words.filter(plain))
-        cut = np.asarray(pc.utf8_length(stems.filter(plain))).tolist()
-        marks = self._marks
-        tails = pa.array([marks(w[n:]) if len(w) > n else b"" for w, n in zip(full, cut)], pa.binary())
+        full, bare = words.filter(plain), np.asarray(pc.utf8_length(stems.filter(plain)))
+        marked = np.asarray(pc.utf8_length(full)) > bare
+        marks, number = self._marks, np.zeros(len(full), np.int64)
+        tails = [b"", *[marks(w[n:]) for w, n in zip(_listed(full.filter(pa.array(marked))), bare[marked].tolist())]]
+        number[marked] = np.arange(1, len(tails))
+        tails = pa.array(tails, pa.binary()).take(pa.array(number))
         odd = pa.array(map(self.__getitem__, _listed(words.filter(pc.invert(plain)))), pa.binary())
         mask = np.asarray(plain)
         place = np.empty(len(words), np.int64)
@@ -220,6 +218,24 @@ class Encoder:
             yield from (data[x:y] for x, y in zip(ends, ends[1:]))
 
 
+_KEPT: dict[str, Encoder] = {}
+
+
+def kept_encoder(path: str) -> Encoder:
+    """An encoder that stays with its worker from task to task, so that words which one task has met are not encoded again by the next; ``forget`` lets it go."""
+    if path not in _KEPT:
+        forget()
+        _KEPT[path] = Encoder(path, KEPT_BYTES)
+    return _KEPT[path]
+
+
+def forget() -> None:
+    """Frees what ``kept_encoder`` has kept in this worker."""
+    if _KEPT:
+        _KEPT.clear()
+        give_back()
+
+
 @contextlib.contextmanager
 def encoder(path: str) -> Iterator[Encoder]:
     """An encoder for a task: what it keeps goes with the task, as the worker may next serve an operator that needs the room."""

@@ -24,7 +24,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from siltmark.llm import rangecoder
-from siltmark.llm.tokens import encoder, no_collection, tokenizer_path
+from siltmark.llm.memory import give_back
+from siltmark.llm.tokens import forget, kept_encoder, no_collection, tokenizer_path
 from siltmark.operators.ranking import running_total
 from siltmark.plans.session import ship_package, written
 
@@ -127,7 +128,8 @@ def _writer(tokenizer: str, end_id: int):
             written, ready = written + n, []
             return pa.record_batch(columns, names=names)
 
-        with encoder(tokenizer_path(tokenizer)) as e, no_collection():
+        e = kept_encoder(tokenizer_path(tokenizer))
+        with no_collection():
             for batch in batches:
                 for doc_id, ids in zip(batch.column(0).to_pylist(), e.ids_of(batch.column(1))):
                     open_.add(doc_id, ids + end)
@@ -140,6 +142,7 @@ def _writer(tokenizer: str, end_id: int):
             ready.append(open_)
         if ready:
             yield flush()
+        give_back()
 
     return run
 
@@ -176,6 +179,7 @@ def read_tokens(spark: SparkSession, path: str) -> DataFrame:
     names = ["doc_id", "start", "n_tokens", "ids"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forget()
         for batch in batches:
             bases, data = batch.column(0).to_pylist(), batch.column(1).to_pylist()
             for a in range(0, len(data), 8):

@@ -52,6 +52,28 @@ def test_many_texts_are_encoded_at_once(monkeypatch, name, size):
         assert sorted(asked) == ["1", "don't"]
 
 
+def test_kept_encoder_meets_words_again(monkeypatch):
+    path = tokenizer_path("word_bpe_49k.json")
+    tokens.forget()
+    first = tokens.kept_encoder(path)
+    want = list(first.ids_of(pa.array(["Wörter once, and again."])))
+    again = tokens.kept_encoder(path)
+    monkeypatch.setattr(again.first, "tokenize", None)  # nothing is asked of the model
+    assert again is first and list(again.ids_of(pa.array(["Wörter once, and again."]))) == want
+    tokens.forget()
+    assert tokens.kept_encoder(path) is not first
+    tokens.forget()
+
+
+@pytest.mark.parametrize("room", [0, 300, 3000])
+def test_words_are_kept_within_their_room(room):
+    encoder = Encoder(tokenizer_path("word_bpe_49k.json"), room)
+    texts = [r[1] for r in documents()[:20]]
+    for _ in range(2):
+        assert list(encoder.ids_of(pa.array(texts, pa.string()))) == [_cached("word_bpe_49k.json").ids(t) for t in texts]
+    assert len(encoder.first) <= room // tokens.ENTRY_BYTES + 1
+
+
 def _cached(name, held={}):
     if name not in held:
         held[name] = Encoder(tokenizer_path(name))
