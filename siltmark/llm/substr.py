@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import reduce
 
 import numpy as np
@@ -34,6 +34,8 @@ AGAIN = 2
 SEED_WORDS = 100_000
 #: Growing ends go on after a mismatch if words agree again within so many, and stop after so many words that don't agree.
 REACH, LOST = 8, 10
+#: So many words are tried first when an end grows.
+NEAR = 32
 _MULTIPLIERS = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5, 0x85EBCA77C2B2AE63], dtype=np.uint64)
 
 
@@ -174,6 +176,8 @@ def _hop(x: list[bytes], i: int, y: list[bytes], j: int) -> tuple[int, int] | No
     Where the numbers differ two words have to agree; of equally large ones those that differ least come first.
     """
     near_x, near_y = x[i : i + REACH + 1], y[j : j + REACH + 1]
+    if set(near_x).isdisjoint(near_y):
+        return None
     n_x, n_y = len(near_x), len(near_y)
     for m in range(1, min(REACH + 1, max(n_x, n_y))):
         a, b = near_x[m] if m < n_x else None, near_y[m] if m < n_y else None
@@ -219,6 +223,17 @@ def grow(x: list[bytes], y: list[bytes], similarity: float = SIMILARITY) -> list
         i, j = i + hop[0], j + hop[1]
 
 
+def grow_near(near: Callable[[int], tuple[list[bytes], list[bytes]]], n_x: int, n_y: int, similarity: float = SIMILARITY) -> list[tuple[int, int, int]]:
+    """``grow`` over texts of ``n_x`` and ``n_y`` words, of which ``near(n)`` gives the first n: most ends lie near, and no word behind their reach is looked at."""
+    n = NEAR
+    while True:
+        ends = grow(*near(n), similarity)
+        i, j, _ = ends[-1]
+        if (n >= n_x or i + REACH + 2 <= n) and (n >= n_y or j + REACH + 2 <= n):
+            return ends
+        n = max(n_x, n_y)
+
+
 def align(wb: list[bytes], wa: list[bytes], b: list[int], a: list[int], k: int = K, similarity: float = SIMILARITY, min_words: int = 0) -> list[tuple[int, int, int, int, int]]:
     """Passages (b start, b end, a start, a end, words in common) of a chain of matches, those that can't reach ``min_words`` left out.
 
@@ -231,8 +246,8 @@ def align(wb: list[bytes], wa: list[bytes], b: list[int], a: list[int], k: int =
     same = k
 
     def close() -> None:
-        before_b, before_a = wb[:start_b][::-1], wa[:start_a][::-1]
-        lefts, rights = grow(before_b, before_a, similarity), grow(wb[end_b:], wa[end_a:], similarity)
+        lefts = grow_near(lambda n: (wb[max(0, start_b - n) : start_b][::-1], wa[max(0, start_a - n) : start_a][::-1]), start_b, start_a, similarity)
+        rights = grow_near(lambda n: (wb[end_b : end_b + n], wa[end_a : end_a + n]), len(wb) - end_b, len(wa) - end_a, similarity)
         if end_b - start_b + lefts[-1][0] + rights[-1][0] < min_words:
             return
         # Growth over equal words alone is the second end at most, and the least that is taken.
@@ -247,7 +262,7 @@ def align(wb: list[bytes], wa: list[bytes], b: list[int], a: list[int], k: int =
                     break
         if best is None:
             lb, rb = 0, 0
-            while lb < min(start_b, start_a) and before_b[lb] == before_a[lb]:
+            while lb < min(start_b, start_a) and wb[start_b - lb - 1] == wa[start_a - lb - 1]:
                 lb += 1
             while end_b + rb < len(wb) and end_a + rb < len(wa) and wb[end_b + rb] == wa[end_a + rb]:
                 rb += 1
@@ -378,6 +393,17 @@ def _slicer(k: int):
     return run
 
 
+def _column(values: pa.Array) -> list:
+    """``to_pylist`` without a scalar for each value; nulls of numbers are 0, those of lists are empty."""
+    if pa.types.is_list(values.type):
+        flat = np.asarray(values.flatten()).tolist()
+        ends = np.append(0, np.cumsum(np.asarray(values.value_lengths().fill_null(0)))).tolist()
+        return [flat[s:e] for s, e in zip(ends, ends[1:])]
+    if pa.types.is_integer(values.type):
+        return np.asarray(values.fill_null(0)).tolist()
+    return values.to_numpy(zero_copy_only=False).tolist()
+
+
 def _aligner(k: int, min_words: int, similarity: float):
     """Aligns each chain's words of the earlier document with the later document's text, which stands before its chains."""
     names = ["b_doc", "a_doc", "start", "end", "ref_start", "ref_end", "n_words", "similarity"]
@@ -402,7 +428,7 @@ def _aligner(k: int, min_words: int, similarity: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         doc, words, done, held, out = None, [], {}, [], []
         for batch in batches:
-            columns = [batch.column(c).to_pylist() for c in ("b_doc", "a_doc", "b", "a", "first", "words")]
+            columns = [_column(batch.column(c)) for c in _CHAIN] + [_column(batch.column(c)) for c in ("first", "words")]
             texts = batch.column("text")
             is_text = np.asarray(texts.is_valid()).tolist()
             for i, (b_doc, a_doc, b, a, first, cut) in enumerate(zip(*columns)):

@@ -1,6 +1,7 @@
 """Near duplicates, components, line dedup and shared passages against plain computations."""
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import xxhash
 from pyspark.sql import functions as F
@@ -265,3 +266,22 @@ def test_a_passage_whose_parts_have_earlier_holders(spark):
         r = found[5 * case + 4]
         assert (r.ref_doc_id, r.start, r.end, r.ref_start, r.ref_end, r.similarity) == (5 * case + 3, 30, 155, 30, 155, 1.0)
     assert len(found) == 20
+
+
+def test_ends_that_grow_near_are_those_of_whole_texts(monkeypatch):
+    """The same ends as over whole texts, and of texts that soon differ only the nearest words are taken."""
+    rng = np.random.default_rng(7)
+    for _ in range(400):
+        x = [b"%d" % i for i in rng.integers(0, rng.choice([3, 50, 5000]), rng.integers(0, 200))]
+        y = [b"%d" % rng.integers(0, 50) if rng.random() < rng.choice([0, 0.1, 0.5]) else w for w in x if rng.random() > 0.05]
+        y = y[: int(rng.integers(0, len(y) + 1))] if rng.random() < 0.3 else y
+        assert substr.grow_near(lambda n: (x[:n], y[:n]), len(x), len(y)) == substr.grow(x, y)
+    asked = []
+    substr.grow_near(lambda n: (asked.append(n), ([b"a", *[b"x"] * n][:n], [b"a", *[b"y"] * n][:n]))[1], 500, 500)
+    assert asked == [substr.NEAR]
+
+
+def test_columns_equal_their_lists():
+    lists = pa.array([[1, 2], [], None, [3]], pa.list_(pa.int32()))
+    assert substr._column(lists) == [[1, 2], [], [], [3]] and substr._column(lists[1:]) == [[], [], [3]]
+    assert substr._column(pa.array([5, None, 7])) == [5, 0, 7] and substr._column(pa.array([b"a b", None], pa.binary())) == [b"a b", None]
